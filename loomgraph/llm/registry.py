@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, sharding
+from . import licenses, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_sharding": sharding.op2_sharding,
+        "op4_bpe": tokens.op4_bpe,
+        "op10_simhash": simhash.op10_simhash,
     }
 
 
