@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, sharding, simhash, tokens
+from . import ann, licenses, sharding, simhash, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_licenses": licenses.op1_licenses,
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": tokens.op4_bpe,
+        "op8_topk": topk.op8_topk,
+        "op9_ann": ann.op9_ann,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": licenses.oracle()}
+    return {"op1_licenses": licenses.oracle(), "op8_topk": topk.oracle()}
