@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, licenses, sharding, simhash, tokenfile, tokens, topk
+from . import ann, licenses, pii, sharding, simhash, tokenfile, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_licenses": licenses.op1_licenses,
         "op2_sharding": sharding.op2_sharding,
         "op4_bpe": tokens.op4_bpe,
+        "op5_pii": pii.op5_pii,
         "op6_tokenfile": tokenfile.op6_tokenfile,
         "op8_topk": topk.op8_topk,
         "op9_ann": ann.op9_ann,
