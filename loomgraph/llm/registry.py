@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, licenses, pii, sharding, simhash, tokenfile, tokens, topk
+from . import ann, licenses, pii, sharding, simhash, tokenfile, tokens, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_sharding": sharding.op2_sharding,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_bpe": tokens.op4_bpe,
         "op5_pii": pii.op5_pii,
         "op6_tokenfile": tokenfile.op6_tokenfile,
