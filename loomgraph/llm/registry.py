@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, licenses, pii, sharding, simhash, tokenfile, tokens, topk, toxicity
+from . import ann, licenses, mixing, pii, sharding, simhash, tokenfile, tokens, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": tokens.op4_bpe,
         "op5_pii": pii.op5_pii,
         "op6_tokenfile": tokenfile.op6_tokenfile,
+        "op7_mixing": mixing.op7_mixing,
         "op8_topk": topk.op8_topk,
         "op9_ann": ann.op9_ann,
         "op10_simhash": simhash.op10_simhash,
