@@ -176,7 +176,7 @@ def weigh(cells: DataFrame) -> DataFrame:
     return cells.sparkSession.createDataFrame(data, f"source {kinds['source']}, lang {kinds['lang']}, _topic int, weight double, probability double")
 
 
-def _weigh_large(cells: DataFrame, rounds: int = 30) -> DataFrame:
+def _weigh_large(cells: DataFrame) -> DataFrame:
     """The same for more cells than the driver should hold: every step is a grouped sum."""
     total = cells.agg(F.sum("_tokens")).first()[0] or 0
     at = saved(cells.withColumn("weight", F.lit(1.0)))
@@ -192,14 +192,14 @@ def _weigh_large(cells: DataFrame, rounds: int = 30) -> DataFrame:
             sums = sums.withColumn("_g", F.when(named > 0, named).otherwise(F.col("_t") * REST / rest))
         whole = sums.agg(F.sum("_g")).first()[0] or 1.0
         goals[m] = saved(sums.select(m, (F.col("_g") / whole).alias("_g")))
-    for _ in range(rounds):
+    for _ in range(min(ROUNDS, 30)):
         for m, _p in MARGINS:
             have = at.groupBy(m).agg((F.sum(F.col("weight") * F.col("_tokens")) / F.lit(float(total or 1))).alias("_h"))
             step = goals[m].join(have, goals[m][m].eqNullSafe(have[m])).select(goals[m][m].alias("_m"), F.when(F.col("_h") > 0, F.col("_g") / F.col("_h")).otherwise(1.0).alias("_s"))
             at = at.join(step, at[m].eqNullSafe(step["_m"])).withColumn("weight", F.col("weight") * F.col("_s")).drop("_m", "_s")
         at = saved(at)
     low, high = 0.0, 1.0 / max(at.where("_tokens > 0").agg(F.min("weight")).first()[0] or 1.0, 1e-300)
-    for _ in range(60):
+    for _ in range(40):
         mid = (low + high) / 2
         kept = at.agg(F.sum(F.col("_tokens") * F.least(F.lit(1.0), F.col("weight") * mid))).first()[0] or 0.0
         low, high = (mid, high) if kept < BUDGET * total else (low, mid)

@@ -293,8 +293,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Scorer.fit(model, [np.asarray(f.values) for f in got["f"]], y)
 
 
-def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """`docs` with a column `score` between 0 and 1."""
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a column `out` between 0 and 1; `out` must be a new name."""
     ready(docs.sparkSession)
     place = docs.columns.index(text)
 
@@ -302,16 +302,19 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
         tokens = scorer.tokens()
         for batch in batches:
             scores = pa.array([scorer.score(t.as_py() or "", tokens) for t in batch.column(place)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, out])
 
     columns = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{columns}, score double")
+    return docs.mapInArrow(run, f"{columns}, `{out}` double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that score below `threshold`, all columns kept."""
-    kept = score(docs.withColumn("_t", F.col("text")), train(docs, labels), "_t")
-    return kept.where(F.col("score") < threshold).select(*docs.columns)
+    name = "_toxicity"
+    while name in docs.columns:
+        name += "_"
+    kept = score(docs, train(docs, labels), out=name)
+    return kept.where(F.col(name) < threshold).select(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
