@@ -1,13 +1,13 @@
 """Exact top-k inner products by sorted lists without random access.
 
-The rows are cut into blocks by a hash of their key. In a block every dimension is a sorted list of
-(value, row). A query reads all lists in step from the end that favours it: descending where its
-component is positive, ascending where negative. What has been read of a row is a partial score; an
-unread part is at most the query's component times the last value read from that list, and at least
-the component times the value at the list's far end. That gives each row an upper and a lower
-bound. Reading stops once every row outside a short candidate set, seen or unseen, has an upper
-bound below the k-th best lower bound; ties stay candidates. The candidates' scores are then
-resolved in full. Blocks are merged by a window that keeps k rows of each query.
+The rows are cut into blocks by a hash of their key, and the dimensions into `LISTS` runs. For a
+query, each run ranks a block's rows by their inner product over that run: one sorted list of (row,
+partial score) per run. The lists are read in step from the top, in growing depths. A row's unread
+parts are at most the last value read from their list and at least the list's lowest value, so each
+row has an upper and a lower bound, and a row not read anywhere is bounded by the sum of the last
+values. Reading stops once no row outside a short candidate set, seen or unseen, can reach the k-th
+best lower bound; ties stay candidates. The candidates' scores are then resolved in full. Blocks are
+merged by a window that keeps k rows of each query.
 
 Queries meet the rows block by block: rows go to each group of queries and queries to each block,
 so a task holds one block and one group, whatever the table's size; no key decides the dealing, so
@@ -31,52 +31,70 @@ from pyspark.sql import functions as F
 from .common import ready, table
 from .vectors import BLOCK_ROWS, GROUP_QUERIES, best, finite, matrix
 
-#: Shares of a list read between two looks at the bounds.
-DEPTHS = (0.08, 0.16, 0.24, 0.32, 0.42, 0.55, 0.75, 1.0)
-
-
-class SortedLists:
-    """One block's lists: for each dimension the rows in ascending order and their values."""
+#: Sorted lists a query reads, share of a list read first, queries ranked at a time, rows of a block.
+LISTS, FIRST, TOGETHER, ROWS, GROUP = 4, 1 / 24, 16, 4 * BLOCK_ROWS, GROUP_QUERIES // 4
+
+
+def aggregate(lists: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
+    """Rows that may be among the k best sums over `lists` (list, row), rows `skip` left out.
+
+    No list is looked into for a given row: each is only read from its top down.
+    """
+    m, n = lists.shape
+    lowest = lists.min(axis=1)
+    depth = max(4 * k, int(n * FIRST))
+    while depth < n:
+        tops = np.argpartition(lists, n - depth, axis=1)[:, n - depth :]
+        read = np.take_along_axis(lists, tops, axis=1)
+        last = read.min(axis=1)  # where reading has come to in each list
+        seen = np.zeros(n, bool)
+        seen[tops.ravel()] = True
+        seen[skip] = False
+        rows = np.flatnonzero(seen)
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        partial, least, most = np.zeros(len(rows)), np.full(len(rows), lowest.sum()), np.full(len(rows), last.sum())
+        for g in range(m):
+            at = place[tops[g]]
+            ok = at >= 0
+            partial[at[ok]] += read[g][ok]
+            least[at[ok]] -= lowest[g]
+            most[at[ok]] -= last[g]
+        if len(rows) >= k:
+            low = partial + least
+            bar = np.partition(low, len(low) - k)[len(low) - k]
+            if last.sum() < bar:
+                found = rows[partial + most >= bar]
+                if len(found) <= max(8 * k, n // 8):
+                    return found
+        depth *= 2
+    rows = np.ones(n, bool)
+    rows[skip] = False
+    return np.flatnonzero(rows)
+
+
+class Block:
+    """Rows of one block in order of their ids."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.order = np.argsort(self.rows, axis=0, kind="stable").T.copy()
-        self.values = np.take_along_axis(self.rows.T, self.order, axis=1).astype(np.float64)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows, best first, smaller id first among equals."""
-        n, dims = self.rows.shape
-        q = query.astype(np.float64)
-        up = q > 0
-        other = self.ids != own
-        if min(k, int(other.sum())) == 0:
-            return self.ids[:0], np.zeros(0, np.int64)
-        worst = q * np.where(up, self.values[:, 0], self.values[:, -1])
-        partial = np.zeros(n)
-        unread = np.ones((n, dims))
-        column = np.arange(dims)[:, None]
-        candidates, done = np.flatnonzero(other), 0
-        for depth in DEPTHS:
-            upto = max(done + 1, math.ceil(depth * n))
-            upto = min(upto, n)
-            low, high = slice(done, upto), slice(n - upto, n - done)
-            rows = np.where(up[:, None], self.order[:, high], self.order[:, low])
-            values = np.where(up[:, None], self.values[:, high], self.values[:, low])
-            partial += np.bincount(rows.ravel(), weights=(values * q[:, None]).ravel(), minlength=n)
-            unread[rows, column] = 0.0
-            done = upto
-            last = q * np.where(up, self.values[:, n - done], self.values[:, done - 1])
-            open_ = unread[candidates]
-            least = partial[candidates] + open_ @ worst
-            if len(least) > k:
-                bar = np.partition(least, len(least) - k)[len(least) - k]
-                candidates = candidates[partial[candidates] + open_ @ last >= bar]
-            if done == n or len(candidates) <= max(4 * k, n // 64):
-                break
-        scores = self.rows[candidates] @ query
-        top = np.lexsort((self.ids[candidates], -scores))[:k]
-        return self.ids[candidates[top]], scores[top]
+        self.wide = self.rows.astype(np.float64)
+
+    def search(self, queries: np.ndarray, owns: list[int], k: int):
+        """For each query (ids, scores) of the k best rows, best first, smaller id first among equals."""
+        dims = self.rows.shape[1]
+        cuts = np.linspace(0, dims, min(LISTS, dims) + 1).astype(int)
+        q = queries.astype(np.float64)
+        for at in range(0, len(q), TOGETHER):
+            part = q[at : at + TOGETHER]
+            parts = np.stack([part[:, a:b] @ self.wide[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)])
+            for i in range(len(part)):
+                own = slice(*np.searchsorted(self.ids, [owns[at + i], owns[at + i] + 1]))
+                rows = aggregate(parts[:, i], k, np.arange(own.start, own.stop))
+                scores = self.rows[rows] @ queries[at + i]
+                top = np.lexsort((self.ids[rows], -scores))[:k]
+                yield self.ids[rows[top]], scores[top]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec: str = "codes") -> DataFrame:
@@ -86,8 +104,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec:
         F.col(key).cast("long").alias("_id"), F.col(vec).cast("array<long>").alias("_v"), queries.alias("_q")
     ).withColumn("_d", F.size("_v"))
     size = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_q"), 1))).first()
-    blocks = max(1, math.ceil(size[0] / BLOCK_ROWS))
-    groups = max(1, math.ceil(size[1] / GROUP_QUERIES))
+    blocks = max(1, math.ceil(size[0] / ROWS))
+    groups = max(1, math.ceil(size[1] / GROUP))
     deal = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("_id", "_v", "_d", deal(blocks).alias("_b")).withColumn("_g", each(groups))
@@ -99,9 +117,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec:
     def scan(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if rows.num_rows and queries.num_rows:
-            lists = SortedLists(matrix(rows["_v"], np.int64), rows["_id"].to_numpy())
-            for own, q in zip(queries["_id"].to_pylist(), matrix(queries["_v"], np.int64), strict=True):
-                ids, scores = lists.search(q, own, k)
+            block = Block(matrix(rows["_v"], np.int64), rows["_id"].to_numpy())
+            owns = queries["_id"].to_pylist()
+            for own, (ids, scores) in zip(owns, block.search(matrix(queries["_v"], np.int64), owns, k), strict=True):
                 out.append((np.full(len(ids), own, np.int64), ids, scores))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
         return pa.table({"query_id": cols[0], key: cols[1], "score": cols[2]})
