@@ -1284,7 +1284,7 @@ class Planner:
         if isinstance(b, Value):
             return Arg(col(b.column), b.type)
         c = self.value_of(b, env.scope)
-        return Arg(c, self.value_type(b, env.scope))
+        return Arg(c, self.typed(c, env) if env.df is not None else self.value_type(b, env.scope))
 
     def value_of(self, b: Binding, scope: dict[str, Binding] | None = None) -> Column:
         """An entity as one struct value; null where an optional pattern found none."""
