@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ready, table
+from .tokens import byte_letters
 
 #: Ids of a block, ids between bit-offset checkpoints, longest code, rows of a key range.
 BLOCK_IDS, STEP, LIMIT, RANGE_ROWS = 1 << 15, 128, 16, 4096
@@ -154,12 +156,13 @@ class Words:
     """Ids of texts by a tokenizers file, looked up word by word.
 
     Its normaliser works character by character and its splitting never joins over white space, so
-    a text may be cut at blanks, tabs and line breaks. ASCII words are lowered and split here, as
-    the file says, others go to the library whole.
+    a text may be cut at blanks, tabs and line breaks. Words of Latin-1 characters are lowered, split
+    and byte-mapped here, as the file says, and their parts go to its merge model; others go to the
+    library whole.
     """
 
-    SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-    BLANKS = str.maketrans("\n\t\r", "   ")
+    #: Contractions, letters, single numerals, other signs: the file's split over lower-case Latin-1.
+    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\t-\r \u0085\u00a0a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u00b2\u00b3\u00b9\u00bc-\u00be]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -167,16 +170,18 @@ class Words:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.merge = self.lib.model.tokenize
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.size = self.lib.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         outer = self
 
         class Cache(dict):
             def __missing__(self, word: str) -> bytes:
-                if word.isascii():
-                    small = word.lower()
-                    parts = outer.SPLIT.findall(small)
-                    ids = outer.part(small) if parts == [small] else b"".join([outer.part(p) for p in parts])
+                if not word:
+                    ids = b""
+                elif word.isascii() or max(word) <= "\u00ff":
+                    ids = b"".join([outer.part(p) for p in outer.SPLIT.findall(word.lower())])
                 else:
                     ids = outer.direct(word)
                 if len(word) <= 40:
@@ -194,7 +199,8 @@ class Words:
     def part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            ids = self.direct(part)
+            mapped = part.encode().decode("latin-1").translate(self.letters)
+            ids = array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.merge(mapped)]).tobytes()
             if len(part) <= 40:
                 if len(self.parts) >= CACHE:
                     self.parts.clear()
@@ -203,7 +209,8 @@ class Words:
 
     def encode(self, text: str) -> bytes:
         words = self.words
-        return b"".join([words[w] for w in text.translate(self.BLANKS).split(" ") if w])
+        cut = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        return b"".join([words[w] for w in cut])
 
 
 _tokenisers: dict[str, Words] = {}
