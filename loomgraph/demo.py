@@ -27,6 +27,9 @@ MAPPING = {
         _node("Vector", "embeddings", "vec_id", "", "vec_id embedding label"),
         _node("Page", "pages", "page_id", "", "page_id url"),
         _node("Passage", "benchmark", "item_id", "", "item_id text"),
+        _node("BigOrder", "orders", "o_orderkey", "o_", "orderkey custkey totalprice", where="o_totalprice > 350000"),
+        _node("Component", "components", "id", "", "id position value", query="SELECT concat(vec_id, ':', position) AS id, position, CAST(value AS DOUBLE) AS value FROM (SELECT vec_id, posexplode(embedding) AS (position, value) FROM {embeddings})"),
+        _node("Number", "numbers", "value", "", "value", query="SELECT id AS value FROM range(100)"),
         _node("Rating", "labels", "doc_id", "", "doc_id quality toxic"),
     ],
     "edges": [
@@ -40,6 +43,9 @@ MAPPING = {
          "properties": {"quantity": "l_quantity", "extendedprice": "l_extendedprice"}},
         {"type": "DID", "table": "events", "source": "Customer", "target": "Event", "source_key": "user_id", "target_key": "event_id", "enforced": True},
         {"type": "RATED", "table": "labels", "source": "Document", "target": "Rating", "source_key": "doc_id", "target_key": "doc_id", "enforced": True},
+        {"type": "PLACED_BIG", "table": "orders", "source": "Customer", "target": "BigOrder", "source_key": "o_custkey", "target_key": "o_orderkey", "where": "o_totalprice > 350000", "id": "o_orderkey"},
+        {"type": "HAS_VALUE", "table": "components", "source": "Vector", "target": "Component", "source_key": "vec_id", "target_key": "id", "id": "id",
+         "query": "SELECT vec_id, concat(vec_id, ':', position) AS id FROM (SELECT vec_id, posexplode(embedding) AS (position, value) FROM {embeddings})"},
         {"type": "NEIGHBOUR", "table": "nation", "source": "Nation", "target": "Nation", "source_key": "n_nationkey", "target_key": "next_key", "id": "n_nationkey",
          "query": "SELECT n_nationkey, CAST((n_nationkey * 7 + 3) % 25 AS INT) AS next_key FROM {nation}", "enforced": True},
     ],

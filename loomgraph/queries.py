@@ -167,6 +167,32 @@ q("json_edit", "WITH '{\"a\":{\"b\":[1,2]}}' AS j RETURN json.set(j, '$.a.c', '5
 q("vector_functions", "MATCH (a:Vector {vec_id: 0}), (b:Vector) WHERE b.vec_id < 50 RETURN b.vec_id AS b, round(vector.dot(a.embedding, b.embedding), 5) AS d, round(vector.l2_distance(a.embedding, b.embedding), 5) AS l",
   "SELECT b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS d, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS l FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id < 50")
 
+q("fn_strings", "MATCH (p:Part) WHERE p.partkey < 150 RETURN p.partkey AS k, fn.upper(p.name) AS u, fn.strpos(p.name, 'e') AS pos, fn.translate(p.name, 'aeiou', '12345') AS t, fn.split_part(p.name, ' ', 1) AS w, fn.sha256(p.name) AS h, fn.rpad(p.brand, 10, '-') AS r, fn.repeat('ab', 2) AS rep, fn.ascii(p.name) AS a, fn.octet_length(p.name) AS n",
+  "SELECT p_partkey AS k, upper(p_name) AS u, strpos(p_name, 'e')::INTEGER AS pos, translate(p_name, 'aeiou', '12345') AS t, split_part(p_name, ' ', 1) AS w, sha256(p_name) AS h, rpad(p_brand, 10, '-') AS r, 'abab' AS rep, ascii(p_name)::INTEGER AS a, strlen(p_name)::INTEGER AS n FROM part WHERE p_partkey < 150")
+q("fn_math", "MATCH (p:Part) WHERE p.partkey < 150 RETURN p.partkey AS k, round(fn.cbrt(p.size), 6) AS c, fn.trunc(p.retailprice) AS t, round(fn.atan2(p.size, 3), 6) AS a, fn.lcm(p.size, 6) AS l, fn.greatest(p.size, 25) AS g, fn.least(p.size, 25) AS s, round(fn.tanh(p.size / 50.0), 6) AS h, fn.iszero(p.size - 1) AS z",
+  "SELECT p_partkey AS k, round(cbrt(p_size), 6) AS c, trunc(p_retailprice) AS t, round(atan2(p_size, 3), 6) AS a, lcm(p_size, 6)::BIGINT AS l, greatest(p_size, 25)::BIGINT AS g, least(p_size, 25)::BIGINT AS s, round(tanh(p_size / 50.0::DOUBLE), 6) AS h, p_size = 1 AS z FROM part WHERE p_partkey < 150")
+q("fn_arrays", "WITH [5, 3, 5, null] AS xs RETURN fn.cardinality(fn.array_distinct(xs)) AS a, fn.array_min(xs) AS b, fn.array_position(xs, 3) AS c, fn.cardinality(fn.array_remove_all(xs, 5)) AS d, fn.array_has_any(xs, [3, 9]) AS e, fn.array_to_string([1, 2, 3], '-') AS f, fn.array_element(xs, -2) AS g, fn.array_reverse([1, 2])[0] AS h, fn.array_union([1], [2, 1])[1] AS i, fn.array_except([1, 2], [2])[0] AS j, fn.flatten([[1], [2, 3]])[2] AS l, fn.array_repeat(7, 3)[2] AS m",
+  "SELECT 3::BIGINT AS a, 3::BIGINT AS b, 2::BIGINT AS c, 2::BIGINT AS d, true AS e, '1-2-3' AS f, 5::BIGINT AS g, 2::BIGINT AS h, 2::BIGINT AS i, 1::BIGINT AS j, 3::BIGINT AS l, 7::BIGINT AS m")
+q("fn_times", "MATCH (o:Order) WHERE o.orderkey < 200 RETURN o.orderkey AS k, fn.date_part('doy', o.orderdate) AS d, fn.to_char(o.orderdate, 'yyyy-MM') AS c, last_day(o.orderdate) AS l, fn.to_unixtime(o.orderdate) AS u, century(o.orderdate) AS ce, date_add('days', 40, o.orderdate) AS p, make_date(2020, 13, 1) AS bad",
+  "SELECT o_orderkey AS k, dayofyear(o_orderdate) AS d, strftime(o_orderdate, '%Y-%m') AS c, last_day(o_orderdate) AS l, epoch(o_orderdate)::BIGINT AS u, century(o_orderdate) AS ce, o_orderdate + INTERVAL 40 DAY AS p, NULL::DATE AS bad FROM orders WHERE o_orderkey < 200")
+q("fn_conditional", "UNWIND [1, null, 3] AS x RETURN fn.coalesce(x, 0) AS a, fn.nullif(x, 3) AS b, fn.nvl2(x, 'set', 'none') AS c, ifnull(x, 9) AS d",
+  "SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 'set', 1::BIGINT), (0, NULL, 'none', 9), (3, NULL, 'set', 3)) t(a, b, c, d)")
+q("fn_maps", "WITH {a: 1, b: 2} AS m RETURN keys(m)[0] AS k, m.b AS b, map_keys(map(['x', 'y'], [1, 2]))[1] AS mk, map_extract(map(['x'], [4]), 'x')[0] AS me, struct_extract(m, 'a') AS s, size(m) AS n, union_tag(union_value('t', 5)) AS u",
+  "SELECT 'a' AS k, 2::BIGINT AS b, 'y' AS mk, 4::BIGINT AS me, 1::BIGINT AS s, 2::BIGINT AS n, 't' AS u")
+q("strict_casts", "RETURN to_int32('12') AS a, to_double('1.5') AS b, to_uint8(200) AS c, cast(1.9, 'STRING') AS d, to_string(true) AS e, tobool('true') AS f, CAST(3 AS DOUBLE) AS g, uuid('A0EEBC99-9C0B-4EF8-BB6D-6BB9BD380A11') AS h",
+  "SELECT 12::INTEGER AS a, 1.5::DOUBLE AS b, 200::SMALLINT AS c, '1.9' AS d, 'true' AS e, true AS f, 3.0::DOUBLE AS g, 'a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11' AS h")
+q("durations", "WITH duration({days: 3, hours: 5}) AS d RETURN d.days AS days, d.hours AS hours, toString(d * 2) AS twice, toString(d + duration({hours: 20})) AS more, toString(to_minutes(90)) AS m, toString(localdatetime('2020-01-31T10:00:00') + duration({months: 1, hours: 3})) AS t, toString(duration.inSeconds(localdatetime('2020-01-01T00:00:00'), localdatetime('2020-01-02T01:00:00'))) AS s",
+  "SELECT 3::BIGINT AS days, 5::BIGINT AS hours, 'P6DT10H' AS twice, 'P3DT25H' AS more, 'PT1H30M' AS m, '2020-02-29 13:00:00' AS t, 'PT25H' AS s")
+q("source_query_label", "MATCH (b:BigOrder)<-[:PLACED_BIG]-(c:Customer) RETURN c.custkey AS c, count(b) AS n",
+  "SELECT o_custkey AS c, count(*) AS n FROM orders WHERE o_totalprice > 350000 GROUP BY 1")
+q("collection_source", "MATCH (v:Vector)-[:HAS_VALUE]->(x:Component) WHERE v.vec_id < 20 AND x.position < 2 RETURN v.vec_id AS v, x.position AS i, round(x.value, 5) AS value",
+  "SELECT vec_id AS v, (i - 1)::INTEGER AS i, round(embedding[i]::DOUBLE, 5) AS value FROM embeddings, range(1, 3) r(i) WHERE vec_id < 20")
+q("table_function", "MATCH (n:Number) WHERE n.value % 7 = 0 RETURN n.value AS v", "SELECT range AS v FROM range(0, 100) WHERE range % 7 = 0")
+q("collect_subquery", "MATCH (r:Region) RETURN r.name AS region, size(COLLECT { MATCH (r)<-[:IN_REGION]-(n) RETURN n.name }) AS n",
+  "SELECT r_name AS region, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+q("exists_full_query", "MATCH (c:Customer) WHERE c.custkey < 200 AND EXISTS { MATCH (c)-[:PLACED]->(o) WITH count(o) AS n WHERE n > 12 RETURN n } RETURN c.custkey AS k",
+  "SELECT o_custkey AS k FROM orders WHERE o_custkey < 200 GROUP BY 1 HAVING count(*) > 12")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(text: str, params: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
