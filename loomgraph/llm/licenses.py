@@ -118,17 +118,22 @@ def recognise(
     )
 
 
+def _run(rule: Sequence[str]) -> str:
+    """A rule's identifiers as they stand in a sequence; identifiers hold no comma or semicolon."""
+    return "," + ",,".join(rule) + ","
+
+
 def _apply_rules(ids: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """Fold the ordered rules over the identifier string; texts without identifiers skip the fold."""
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit("," + ",".join(r) + ",").alias("r")) for n, r in rules])
-    # the separators are doubled so that neighbouring runs of one rule never share one
+    # every identifier has two commas of its own, so runs lie side by side; a consumed run leaves a
+    # mark, so what stood on either side of it never becomes neighbours
+    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(_run(r)).alias("r")) for n, r in rules])
     start = F.struct(F.replace(ids, F.lit(","), F.lit(",,")).alias("rest"), F.array().cast("array<string>").alias("names"))
 
     def step(acc: Column, rule: Column) -> Column:
-        run = F.replace(rule["r"], F.lit(","), F.lit(",,"))
-        found = F.contains(acc["rest"], run)
+        found = F.contains(acc["rest"], rule["r"])
         return F.struct(
-            F.when(found, F.replace(acc["rest"], run, F.lit(",,"))).otherwise(acc["rest"]).alias("rest"),
+            F.when(found, F.replace(acc["rest"], rule["r"], F.lit(";"))).otherwise(acc["rest"]).alias("rest"),
             F.when(found & ~F.array_contains(acc["names"], rule["n"]), F.array_append(acc["names"], rule["n"]))
             .otherwise(acc["names"])
             .alias("names"),
@@ -137,7 +142,7 @@ def _apply_rules(ids: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Col
     def finish(acc: Column) -> Column:
         return F.struct(
             F.array_join(acc["names"], ",").alias("licenses"),
-            F.trim(F.regexp_replace(acc["rest"], ",+", ","), F.lit(",")).alias("rest"),
+            F.trim(F.regexp_replace(acc["rest"], "[,;]+", ","), F.lit(",")).alias("rest"),
         )
 
     none = F.struct(F.lit("").alias("licenses"), F.lit("").alias("rest"))
@@ -154,12 +159,11 @@ def oracle() -> str:
     """The same result in DuckDB SQL: nested REPLACE calls stand for the fold over rules."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({q(normal(s))}, {q(i)})" for i, s in SENTENCES)
-    dbl = lambda r: ",," + ",,".join(r) + ",,"
-    steps, rest = [], "t0"
+    steps = []
     for n, (name, rule) in enumerate(RULES):
         steps.append(
-            f"s{n + 1} AS (SELECT *, contains(r{n}, {q(dbl(rule))}) AS h{n}, "
-            f"replace(r{n}, {q(dbl(rule))}, ',,') AS r{n + 1} FROM s{n})"
+            f"s{n + 1} AS (SELECT *, contains(r{n}, {q(_run(rule))}) AS h{n}, "
+            f"replace(r{n}, {q(_run(rule))}, ';') AS r{n + 1} FROM s{n})"
         )
     names = ", ".join(f"CASE WHEN h{n} THEN {q(name)} END" for n, (name, _) in enumerate(RULES))
     last = len(RULES)
@@ -183,7 +187,7 @@ s0 AS (
 {", ".join(steps)}
 SELECT doc_id, sentence_ids,
        array_to_string(list_filter(list_distinct_ordered, lambda x: x IS NOT NULL), ',') AS licenses,
-       trim(regexp_replace(r{last}, ',+', ',', 'g'), ',') AS unmatched
+       trim(regexp_replace(r{last}, '[,;]+', ',', 'g'), ',') AS unmatched
 FROM (SELECT *, list_reduce(list_transform([{names}], lambda x: [x]),
         lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END) AS list_distinct_ordered
       FROM s{last})
