@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, pii, simhash, tokenfile, tokens, toxicity
+from loomgraph.llm import mixing, nearcopies, pii, tokenfile, tokens, toxicity
 from loomgraph.llm.common import ready, table
 
 
@@ -21,9 +21,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least doc_id stays; null keys stay."""
-    groups = simhash.cluster(docs).where("component_id < doc_id")
-    return docs.join(groups.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of texts that share 0.8 or more of their five-word shingles, the document with the
+    least doc_id stays; null keys stay."""
+    gone = nearcopies.groups(docs).where("component_id < doc_id")
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
