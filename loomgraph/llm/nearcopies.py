@@ -4,16 +4,16 @@
 texts count as near duplicates when the sets of their `WIDTH`-word shingles have a Jaccard similarity
 of `SIMILARITY` or more; such fingerprints differ in up to a fifth of their bits.
 
-Fingerprints have three words of 64 bits: the shingles' XXH64 values and two mixtures of them. Their
-first 184 bits are eight segments of 23. The bits whose votes are closest are the ones that an edit
+Fingerprints have four words of 64 bits: the shingles' XXH64 values and three mixtures of them. Their
+first 230 bits are ten segments of 23. The bits whose votes are closest are the ones that an edit
 turns, so a segment is decoded to Golay codewords under all changes of its `DOUBTFUL` closest bits:
 at most eight codes. Two segments side by side make one key of 24 bits; similar texts agree in both
-segments of at least one of the four pairs (99 of 100 pairs of similar texts in the test tables).
+segments of at least one of the five pairs (over 99 of 100 pairs of similar texts in the test tables).
 
 Rows that share a key and differ in at most `BITS` of their first 128 bits are candidates. Keys with
-up to `SMALL` rows give all of them; larger ones give links to the first `PIVOTS` texts reached and a
-spanning forest of the rest, so a dense group of m texts gives some m links a key. Beyond `HELD` rows
-of one key, a block at a time is treated so, and roots of earlier blocks are carried along.
+up to `SMALL` rows give all of them; larger ones give each row's `NEAREST` closest rows and a spanning
+forest, so a dense group of m texts gives some m links a key. Beyond `HELD` rows of one key, a block at
+a time is treated so, and roots of earlier blocks are carried along.
 
 Candidates are verified on whole texts: first the closest link of each text, then every further link
 whose ends are not yet in one component. So all candidates are decided, and a group of thousands of
@@ -38,13 +38,13 @@ from .simhash import SEED, components, decode
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bits of a segment, segments, doubtful bits of each that are tried both ways.
-SEGMENT, SEGMENTS, DOUBTFUL = 23, 8, 3
+SEGMENT, SEGMENTS, DOUBTFUL = 23, 10, 3
 #: Differing bits of 128 up to which rows are candidates.
 BITS = 40
-#: Rows of a key that are compared pairwise, texts linked in full beyond, rows of one block.
-SMALL, PIVOTS, HELD, GATHERED = 12, 3, 20_000, 100_000
+#: Rows of a key that are compared pairwise, closest rows linked beyond, rows of one block.
+SMALL, NEAREST, HELD, GATHERED = 12, 3, 20_000, 100_000
 #: Odd factors that mix a shingle's hash into further words.
-FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> tuple[bytes, np.ndarray]:
@@ -76,17 +76,17 @@ def _mixed(h: np.ndarray, factor: int) -> np.ndarray:
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
-    """For each of 192 bits, the shingles that have it less those that do not."""
-    counts = np.zeros(192, np.int64)
+    """For each of 256 bits, the shingles that have it less those that do not."""
+    counts = np.zeros(256, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
         words = np.stack([part, *(_mixed(part, f) for f in FACTORS)], axis=1).astype(">u8")
-        counts += np.unpackbits(words.view(np.uint8).reshape(len(part), 24), axis=1).sum(axis=0, dtype=np.int32)
+        counts += np.unpackbits(words.view(np.uint8).reshape(len(part), 32), axis=1).sum(axis=0, dtype=np.int32)
     return counts * 2 - len(hashes)
 
 
 def segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The eight segments of a fingerprint, and for each the masks of its doubtful bits."""
+    """The segments of a fingerprint, and for each the masks of its doubtful bits."""
     cut = counts[: SEGMENT * SEGMENTS].reshape(SEGMENTS, SEGMENT)
     words = ((cut > 0) << np.arange(SEGMENT)).sum(axis=1)
     return words, 1 << np.argsort(np.abs(cut), axis=1, kind="stable")[:, :DOUBTFUL]
@@ -141,7 +141,7 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def linked(fps: np.ndarray, known: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Candidate links of one large key's rows, and the roots of their forest; `known`: earlier roots."""
     links: list[tuple[np.ndarray, np.ndarray]] = []
-    rest, frontier, popped, roots = fps, list(known), 0, [*known]
+    rest, frontier, roots = fps, list(known), [*known]
     while len(rest):
         if not frontier:
             frontier.append(rest[0])
@@ -149,15 +149,20 @@ def linked(fps: np.ndarray, known: np.ndarray) -> tuple[list[tuple[np.ndarray, n
             rest = rest[1:]
         x = frontier.pop(0)
         near = _far(rest, x) <= BITS
-        new = rest[near]
-        rest = rest[~near]
-        popped += 1
-        if popped <= PIVOTS:
-            links.append((x, fps[(_far(fps, x) <= BITS) & (fps != x).any(axis=1)]))
-        elif len(new):
-            links.append((x, new))
-        frontier.extend(new)
-    return links, np.array(roots).reshape(-1, 2)
+        if near.any():
+            new, rest = rest[near], rest[~near]
+            links.append((np.broadcast_to(x, new.shape), new))
+            frontier.extend(new)
+    for at in range(0, len(fps), 128):
+        part = fps[at : at + 128]
+        far = _far(part[:, None], fps[None, :])
+        far[np.arange(len(part)), np.arange(at, at + len(part))] = 129
+        for _ in range(NEAREST):
+            best = far.argmin(axis=1)
+            ok = far[np.arange(len(part)), best] <= BITS
+            links.append((part[ok], fps[best[ok]]))
+            far[np.arange(len(part)), best] = 129
+    return links, np.array(roots, np.int64).reshape(-1, 2)
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +175,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.nda
         large[0] = True
     for s, n in zip(starts[large].tolist(), lengths[large].tolist(), strict=True):
         for x, y in linked(fps[s : s + n], known if s == 0 else known[:0])[0]:
-            left.append(np.broadcast_to(x, y.shape))
+            left.append(x)
             right.append(y)
     small = np.repeat(~large & (lengths > 1), lengths)
     k, f = keys[small], fps[small]
