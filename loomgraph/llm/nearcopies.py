@@ -11,8 +11,8 @@ at most eight codes. Two segments side by side make one key of 24 bits; similar
 segments of at least one of the five pairs (over 99 of 100 pairs of similar texts in the test tables).
 
 Rows that share a key and differ in at most `BITS` of their first 128 bits are candidates. Keys with
-up to `SMALL` rows give all of them; larger ones give each row's `NEAREST` closest rows and a spanning
-forest, so a dense group of m texts gives some m links a key. Beyond `HELD` rows of one key, a block at
+up to `SMALL` rows give all of them; larger ones give each row's `NEAREST` closest rows and the closest
+links that a spanning forest has between what those join, so a dense group of m texts gives some m links a key. Beyond `HELD` rows of one key, a block at
 a time is treated so, and roots of earlier blocks are carried along.
 
 Candidates are verified on whole texts: first the closest link of each text, then every further link
@@ -42,7 +42,7 @@ SEGMENT, SEGMENTS, DOUBTFUL = 23, 10, 3
 #: Differing bits of 128 up to which rows are candidates.
 BITS = 40
 #: Rows of a key that are compared pairwise, closest rows linked beyond, rows of one block.
-SMALL, NEAREST, HELD, GATHERED = 12, 3, 20_000, 100_000
+SMALL, NEAREST, HELD, GATHERED = 12, 2, 20_000, 40_000
 #: Odd factors that mix a shingle's hash into further words.
 FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -92,42 +92,59 @@ def segments(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, 1 << np.argsort(np.abs(cut), axis=1, kind="stable")[:, :DOUBTFUL]
 
 
-def keys_of(words: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
-    """The keys of one text: codes of neighbouring segments, every way the doubtful bits may fall."""
-    tried = words[:, None]
+def keys_of(words: np.ndarray, doubtful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every key of texts (text, segment): codes of neighbouring segments, every way the
+    doubtful bits may fall."""
+    tried = words[:, :, None]
     for i in range(DOUBTFUL):
-        tried = np.concatenate([tried, tried ^ doubtful[:, i, None]], axis=1)
-    codes = decode(tried)
-    out = []
+        tried = np.concatenate([tried, tried ^ doubtful[:, :, i, None]], axis=2)
+    codes = np.sort(decode(tried), axis=2)
+    again = codes[:, :, 1:] == codes[:, :, :-1]
+    codes[:, :, 1:][again] = -1
+    rows, keys = [], []
     for s in range(0, SEGMENTS, 2):
-        left, right = np.unique(codes[s]), np.unique(codes[s + 1])
-        out.append((s << 24 | left[:, None] << 12 | right[None, :]).ravel())
-    return np.concatenate(out)
+        left, right = codes[:, s, :, None], codes[:, s + 1, None, :]
+        ok = (left >= 0) & (right >= 0)
+        rows.append(np.nonzero(ok)[0])
+        keys.append((s << 24 | left << 12 | right)[ok])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def packed(words: np.ndarray, doubtful: np.ndarray) -> bytes:
+    """A text's segments as int32, then the places of their doubtful bits as bytes."""
+    return words.astype("<i4").tobytes() + np.log2(doubtful).round().astype(np.uint8).tobytes()
+
+
+def unpacked(cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Segments (text, segment) and masks of doubtful bits (text, segment, bit)."""
+    raw = np.frombuffer(b"".join(cuts), np.uint8).reshape(len(cuts), SEGMENTS * (4 + DOUBTFUL))
+    words = np.ascontiguousarray(raw[:, : 4 * SEGMENTS]).view("<i4").astype(np.int64)
+    return words, 1 << raw[:, 4 * SEGMENTS :].reshape(-1, SEGMENTS, DOUBTFUL).astype(np.int64)
 
 
 def described(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Key, d (digest of the word sequence), a and b (fingerprint), keys (int32, packed) of every row."""
+    """Key, d (digest of the word sequence), a and b (fingerprint), cut (see `packed`) of every row."""
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            digest, prints, keys = [], [], []
+            digest, prints, cuts = [], [], []
             for t in batch.column(1):
                 joined, hashes = shingles(t.as_py(), width)
                 counts = votes(hashes)
                 digest.append(xxhash.xxh3_128_digest(joined))
                 prints.append(np.packbits(counts[:128] > 0).view(">i8"))
-                keys.append(keys_of(*segments(counts)).astype("<i4").tobytes())
+                cuts.append(packed(*segments(counts)))
             ab = np.array(prints, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(keys, pa.binary())],
-                names=["id", "d", "a", "b", "keys"],
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(cuts, pa.binary())],
+                names=["id", "d", "a", "b", "cut"],
             )
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), text)
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[key]}, d binary, a long, b long, keys binary")
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[key]}, d binary, a long, b long, cut binary")
 
 
 # --- candidates -----------------------------------------------------------------------------
@@ -138,31 +155,59 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int64)
 
 
-def linked(fps: np.ndarray, known: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Candidate links of one large key's rows, and the roots of their forest; `known`: earlier roots."""
-    links: list[tuple[np.ndarray, np.ndarray]] = []
-    rest, frontier, roots = fps, list(known), [*known]
+def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row that each of `n` rows reaches by links (x, y)."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, x, label[y])
+        np.minimum.at(least, y, label[x])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def linked(fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate links (x, y) of one large key's rows, and its roots; `known`: those of earlier blocks.
+
+    Links reach whatever a chain of links within `BITS` reaches.
+    """
+    every = np.concatenate([known, fps])
+    xs, ys, far_of = [], [], []
+    for at in range(0, len(every), 32):
+        rows = np.arange(at, min(at + 32, len(every)))
+        far = _far(every[rows][:, None], every[None, :])
+        far[rows - at, rows] = 129
+        for _ in range(NEAREST):
+            best = far.argmin(axis=1)
+            ok = far[rows - at, best] <= BITS
+            xs.append(rows[ok])
+            ys.append(best[ok])
+            far[rows - at, best] = 129
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    label = _labels(len(every), x, y)
+    rest, frontier, roots = np.arange(len(every)), [], []
     while len(rest):
         if not frontier:
             frontier.append(rest[0])
             roots.append(rest[0])
             rest = rest[1:]
-        x = frontier.pop(0)
-        near = _far(rest, x) <= BITS
-        if near.any():
-            new, rest = rest[near], rest[~near]
-            links.append((np.broadcast_to(x, new.shape), new))
-            frontier.extend(new)
-    for at in range(0, len(fps), 128):
-        part = fps[at : at + 128]
-        far = _far(part[:, None], fps[None, :])
-        far[np.arange(len(part)), np.arange(at, at + len(part))] = 129
-        for _ in range(NEAREST):
-            best = far.argmin(axis=1)
-            ok = far[np.arange(len(part)), best] <= BITS
-            links.append((part[ok], fps[best[ok]]))
-            far[np.arange(len(part)), best] = 129
-    return links, np.array(roots, np.int64).reshape(-1, 2)
+        i = frontier.pop(0)
+        far = _far(every[rest], every[i])
+        new, rest = rest[far <= BITS], rest[far > BITS]
+        cross = label[new] != label[i]
+        xs.append(np.full(int(cross.sum()), i))
+        ys.append(new[cross])
+        far_of.append(far[far <= BITS][cross])
+        frontier.extend(new.tolist())
+    # of the forest, the closest link between two labels
+    a, b, far = np.concatenate(xs[-len(far_of) :]), np.concatenate(ys[-len(far_of) :]), np.concatenate(far_of)
+    ends = np.sort(np.stack([label[a], label[b]], axis=1), axis=1)
+    order = np.lexsort((far, ends[:, 1], ends[:, 0]))
+    first = np.unique(ends[order], axis=0, return_index=True)[1]
+    x, y = np.concatenate([x, a[order][first]]), np.concatenate([y, b[order][first]])
+    return every[x], every[y], every[np.array(roots, np.int64)]
 
 
 def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +219,9 @@ def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.nda
     if len(known):
         large[0] = True
     for s, n in zip(starts[large].tolist(), lengths[large].tolist(), strict=True):
-        for x, y in linked(fps[s : s + n], known if s == 0 else known[:0])[0]:
-            left.append(x)
-            right.append(y)
+        x, y, _ = linked(fps[s : s + n], known if s == 0 else known[:0])
+        left.append(x)
+        right.append(y)
     small = np.repeat(~large & (lengths > 1), lengths)
     k, f = keys[small], fps[small]
     for shift in range(1, SMALL):
@@ -214,7 +259,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(c) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1], far)], names=["a", "b", "a2", "b2", "far"]
                 )
             if cut > whole:
-                known = linked(f[whole:cut], known if k[whole] == over else known[:0])[1]
+                known = linked(f[whole:cut], known if k[whole] == over else known[:0])[2]
                 over = int(k[-1])
         held_k, held_f = [k[cut:]], [f[cut:]]
 
@@ -230,16 +275,15 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            keys = [np.frombuffer(x, "<i4") for x in part.column(2).to_pylist()]
-            n = [len(x) for x in keys]
-            a, b = (np.repeat(part.column(i).to_numpy(), n) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(a), pa.array(b)], names=["k", "a", "b"])
+            row, keys = keys_of(*unpacked(part.column(2).to_pylist()))
+            a, b = (part.column(i).to_numpy()[row] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(a), pa.array(b)], names=["k", "a", "b"])
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
-    """Links (u, v, far), u > v, between the ids of `firsts` (id, a, b, keys)."""
-    reps = saved(firsts.groupBy("a", "b").agg(F.min(F.struct("id", "keys")).alias("r")).select("a", "b", "r.id", "r.keys"))
-    keyed = reps.select("a", "b", "keys").mapInArrow(_expand, "k int, a long, b long")
+    """Links (u, v, far), u > v, between the ids of `firsts` (id, a, b, cut)."""
+    reps = saved(firsts.groupBy("a", "b").agg(F.min(F.struct("id", "cut")).alias("r")).select("a", "b", "r.id", "r.cut"))
+    keyed = reps.select("a", "b", "cut").mapInArrow(_expand, "k int, a long, b long")
     pairs = saved(
         keyed.repartition("k").sortWithinPartitions("k")
         .mapInArrow(_stream, "a long, b long, a2 long, b2 long, far int").distinct()
@@ -273,7 +317,7 @@ def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> Da
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """One row per input row with a key: `key` and component_id, the least key that similar texts reach."""
     prints = saved(described(docs, key, text, width))
-    firsts = saved(prints.groupBy("d").agg(F.min(F.struct("id", "a", "b", "keys")).alias("r")).select("d", "r.*"))
+    firsts = saved(prints.groupBy("d").agg(F.min(F.struct("id", "a", "b", "cut")).alias("r")).select("d", "r.*"))
     links = candidates(firsts)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     nearest = lambda me, other: links.groupBy(me).agg(F.min(F.struct("far", other)).alias("r")).select(me, f"r.{other}")
