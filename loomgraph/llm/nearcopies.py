@@ -16,8 +16,12 @@ links that a spanning forest has between what those join, so a dense group of m
 a time is treated so, and roots of earlier blocks are carried along.
 
 Candidates are verified on whole texts: first the closest link of each text, then every further link
-whose ends are not yet in one component. So all candidates are decided, and a group of thousands of
-copies costs a few comparisons a text. Equal word sequences are collapsed before any of this.
+whose ends are not yet in one component. What large keys did not propose comes last: rows with more
+than `NEAREST` others within `BITS` whose component still has a refused link meet in all their keys
+again, and every pair within `BITS` whose ends are in two components is verified. So every pair of a
+key is decided, by comparison or by being in one component already: a group of thousands of copies
+costs a few comparisons a text, and only texts that are close in bits but not similar cost one a pair.
+Equal word sequences are collapsed before any of this.
 
 Defined edge cases: texts without words are one group; with fewer words than `WIDTH` the only shingle
 is the whole sequence; a null key names no component and is never dropped; rows repeated under one key
@@ -173,12 +177,18 @@ def linked(fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
     Links reach whatever a chain of links within `BITS` reaches.
     """
+    return _linked(fps, known)[:3]
+
+
+def _linked(fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `linked` gives, and the crowded rows: a pair within `BITS` that is not a link has two of them."""
     every = np.concatenate([known, fps])
-    xs, ys, far_of = [], [], []
+    xs, ys, far_of, crowded = [], [], [], []
     for at in range(0, len(every), 32):
         rows = np.arange(at, min(at + 32, len(every)))
         far = _far(every[rows][:, None], every[None, :])
         far[rows - at, rows] = 129
+        crowded.append(rows[(far <= BITS).sum(axis=1) > NEAREST])
         for _ in range(NEAREST):
             best = far.argmin(axis=1)
             ok = far[rows - at, best] <= BITS
@@ -207,21 +217,22 @@ def linked(fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     order = np.lexsort((far, ends[:, 1], ends[:, 0]))
     first = np.unique(ends[order], axis=0, return_index=True)[1]
     x, y = np.concatenate([x, a[order][first]]), np.concatenate([y, b[order][first]])
-    return every[x], every[y], every[np.array(roots, np.int64)]
+    return every[x], every[y], every[np.array(roots, np.int64)], every[np.concatenate(crowded)]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links among sorted rows; `known` are roots of earlier blocks of the first key."""
+def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate links among sorted rows, and crowded rows; `known` are roots of earlier blocks of the first key."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
-    left, right = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    left, right, crowded = ([np.zeros((0, 2), np.int64)] for _ in range(3))
     large = lengths > SMALL
     if len(known):
         large[0] = True
     for s, n in zip(starts[large].tolist(), lengths[large].tolist(), strict=True):
-        x, y, _ = linked(fps[s : s + n], known if s == 0 else known[:0])
+        x, y, _, many = _linked(fps[s : s + n], known if s == 0 else known[:0])
         left.append(x)
         right.append(y)
+        crowded.append(many)
     small = np.repeat(~large & (lengths > 1), lengths)
     k, f = keys[small], fps[small]
     for shift in range(1, SMALL):
@@ -235,7 +246,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, known: np.ndarray) -> tuple[np.nda
     swap = (x[:, 0] < y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] < y[:, 1]))
     x, y = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
     both = np.unique(np.concatenate([x, y], axis=1), axis=0)
-    return both[:, :2], both[:, 2:]
+    return both[:, :2], both[:, 2:], np.unique(np.concatenate(crowded), axis=0)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +262,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = len(k)
         if cut:
             mine = known if k[0] == over else known[:0]
-            x, y = _links(k[:cut], f[:cut], mine)
+            x, y, crowded = _links(k[:cut], f[:cut], mine)
+            # a crowded row is a link to itself
+            x, y = np.concatenate([x, crowded]), np.concatenate([y, crowded])
             for at in range(0, len(x), 10_000):
                 p, q = x[at : at + 10_000], y[at : at + 10_000]
                 far = _far(p, q).astype(np.int32)
@@ -277,23 +290,84 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 200)
             row, keys = keys_of(*unpacked(part.column(2).to_pylist()))
             a, b = (part.column(i).to_numpy()[row] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(a), pa.array(b)], names=["k", "a", "b"])
+            more = [part.column(i).take(pa.array(row)) for i in range(3, part.num_columns)]
+            names = ["k", "a", "b", *part.schema.names[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(a), pa.array(b), *more], names=names)
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Links (u, v, far), u > v, between the ids of `firsts` (id, a, b, cut)."""
+def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v, far), u > v, between the ids of `firsts` (id, a, b, cut); crowded rows (id, a, b, cut)."""
     reps = saved(firsts.groupBy("a", "b").agg(F.min(F.struct("id", "cut")).alias("r")).select("a", "b", "r.id", "r.cut"))
     keyed = reps.select("a", "b", "cut").mapInArrow(_expand, "k int, a long, b long")
     pairs = saved(
         keyed.repartition("k").sortWithinPartitions("k")
         .mapInArrow(_stream, "a long, b long, a2 long, b2 long, far int").distinct()
     )
-    named = pairs.join(reps.select("a", "b", F.col("id").alias("x")), ["a", "b"]).join(
+    itself = (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
+    crowded = reps.join(pairs.where(itself).select("a", "b"), ["a", "b"], "left_semi")
+    named = pairs.where(~itself).join(reps.select("a", "b", F.col("id").alias("x")), ["a", "b"]).join(
         reps.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("y")), ["a2", "b2"]
     ).select("x", "y", "far")
     equal = firsts.join(reps.select("a", "b", F.col("id").alias("y")), ["a", "b"]).select(F.col("id").alias("x"), "y", F.lit(0).alias("far"))
     both = named.unionByName(equal).where("x <> y")
-    return saved(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"), "far").distinct())
+    return saved(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"), "far").distinct()), crowded
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every pair within `BITS` of rows of one key (k, a, b, c) whose labels c differ; rows come sorted by key."""
+    held: list[pa.RecordBatch] = []
+
+    def flush(last: bool) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        k = rows["k"].to_numpy()
+        cut = len(k) if last else int(np.searchsorted(k, k[-1]))
+        held[:] = rows.slice(cut).combine_chunks().to_batches()
+        if not cut:
+            return
+        k, rows = k[:cut], rows.slice(0, cut)
+        f = np.stack([rows["a"].to_numpy(), rows["b"].to_numpy()], axis=1)
+        label = rows["c"].combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        found, size = [np.zeros((0, 4), np.int64)], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            both = np.unique(np.concatenate(found), axis=0)
+            for at in range(0, len(both), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in both[at : at + 10_000].T], names=["a", "b", "a2", "b2"])
+
+        for s, e in zip(starts[mixed].tolist(), np.append(starts[1:], cut)[mixed].tolist(), strict=True):
+            order = np.lexsort((f[s:e, 1], f[s:e, 0])) + s
+            for at in range(0, e - s, 256):
+                mine, rest = order[at : at + 256], order[at:]
+                far = _far(f[mine][:, None], f[rest][None, :])
+                i, j = np.nonzero((far <= BITS) & (label[mine][:, None] != label[rest][None, :]))
+                i, j = i[i < j], j[i < j]
+                found.append(np.concatenate([f[mine[i]], f[rest[j]]], axis=1))
+                size += len(i)
+                if size > 200_000:
+                    yield from out()
+                    found, size = found[:1], 0
+        yield from out()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= GATHERED:
+            yield from flush(False)
+    if held:
+        yield from flush(True)
+
+
+def parted(rows: DataFrame) -> DataFrame:
+    """Links (u, v) between all of `rows` (id, a, b, cut, c) that share a key, are within `BITS` and differ in c."""
+    kind = dict(rows.dtypes)["c"]
+    keyed = rows.select("a", "b", "cut", "c").mapInArrow(_expand, f"k int, a long, b long, c {kind}")
+    pairs = keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_parted, "a long, b long, a2 long, b2 long").distinct()
+    x = rows.select("a", "b", F.col("id").alias("x"))
+    y = rows.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("y"))
+    named = pairs.join(x, ["a", "b"]).join(y, ["a2", "b2"])
+    return saved(named.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
 
 
 def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -318,17 +392,26 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """One row per input row with a key: `key` and component_id, the least key that similar texts reach."""
     prints = saved(described(docs, key, text, width))
     firsts = saved(prints.groupBy("d").agg(F.min(F.struct("id", "a", "b", "cut")).alias("r")).select("d", "r.*"))
-    links = candidates(firsts)
+    links, crowded = candidates(firsts)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     nearest = lambda me, other: links.groupBy(me).agg(F.min(F.struct("far", other)).alias("r")).select(me, f"r.{other}")
     first = nearest("u", "v").unionByName(nearest("v", "u")).distinct()
     sure = verified(first, texts, width, least)
     member = saved(components(sure).distinct())
-    at = lambda end, name: member.select(F.col("fp").alias(end), F.col("root").alias(name))
-    apart = (
-        links.join(first, ["u", "v"], "left_anti").join(at("u", "_p"), "u", "left").join(at("v", "_q"), "v", "left")
-        .where(F.coalesce("_p", "u") != F.coalesce("_q", "v")).select("u", "v")
+    at = lambda of, end, name: of.select(F.col("fp").alias(end), F.col("root").alias(name))
+    cross = lambda pairs, of: (
+        pairs.select("u", "v").join(at(of, "u", "_p"), "u", "left").join(at(of, "v", "_q"), "v", "left")
+        .select("u", "v", F.coalesce("_p", "u").alias("_p"), F.coalesce("_q", "v").alias("_q")).where("_p <> _q")
     )
-    member = components(sure.unionByName(verified(apart, texts, width, least))).distinct()
+    apart = saved(cross(links.join(first, ["u", "v"], "left_anti"), member).select("u", "v"))
+    sure = sure.unionByName(verified(apart, texts, width, least))
+    member = saved(components(sure).distinct())
+    # components with a refused link: all pairs of crowded rows between them are left to decide
+    ends = cross(first.select("u", "v").unionByName(apart), member)
+    refused = ends.select(F.col("_p").alias("c")).unionByName(ends.select(F.col("_q").alias("c"))).distinct()
+    rest = crowded.join(at(member, "id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    rest = saved(rest.join(refused, "c", "left_semi").select("id", "a", "b", "cut", "c"))
+    if not rest.isEmpty():
+        member = components(sure.unionByName(verified(parted(rest), texts, width, least))).distinct()
     named = firsts.select("d", F.col("id").alias("fp")).join(member, "fp", "left").select("d", F.coalesce("root", "fp").alias("component_id"))
     return prints.select("id", "d").join(saved(named), "d").select(F.col("id").alias(key), "component_id")

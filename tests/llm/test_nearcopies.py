@@ -68,6 +68,34 @@ def test_groups_equal_all_pairs(spark, rows, held, gathered, monkeypatch):
     assert firsts <= {k for k in got if got[k] == k}  # nothing without a near copy is taken for one
 
 
+def family(seed, n=240):
+    """One template with five words of its own a row (pairwise under 0.8), and for every third row a copy at 0.8 or more."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(n):
+        places = rng.choice(np.arange(5, 295, 6), 8, replace=False)
+        row = list(base)
+        for at in places[:5]:
+            row[at] = f"r{i}x{at}"
+        texts.append(" ".join(row))
+        if i % 3 == 0:
+            for at in places[2:5]:
+                row[at] = base[at]
+            for at in places[5:]:
+                row[at] = f"c{i}x{at}"
+            texts.append(" ".join(row))
+    return [(int(i), texts[o]) for i, o in enumerate(rng.permutation(len(texts)))]
+
+
+def test_similar_rows_meet_though_others_are_closer_in_bits(spark):
+    rows = family(7)
+    want = slow_groups(rows)
+    assert len(rows) - len(set(want.values())) >= 80
+    got = {r.doc_id: r.component_id for r in N.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_blocks_of_a_large_key_keep_one_component():
     rng = np.random.default_rng(1)
     base = rng.integers(-(1 << 63), 1 << 63, 2)
