@@ -21,6 +21,7 @@ than `NEAREST` others within `BITS` whose component still has a refused link mee
 again, and every pair within `BITS` whose ends are in two components is verified. So every pair of a
 key is decided, by comparison or by being in one component already: a group of thousands of copies
 costs a few comparisons a text, and only texts that are close in bits but not similar cost one a pair.
+All rows of a key beyond `HELD` take part in this, as every pair of blocks of such a key.
 Equal word sequences are collapsed before any of this.
 
 Defined edge cases: texts without words are one group; with fewer words than `WIDTH` the only shingle
@@ -31,6 +32,7 @@ are kept or dropped together; an empty table gives an empty result; further colu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -269,8 +271,15 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, q = x[at : at + 10_000], y[at : at + 10_000]
                 far = _far(p, q).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1], far)], names=["a", "b", "a2", "b2", "far"]
+                    [*(pa.array(c) for c in (p[:, 0], p[:, 1], q[:, 0], q[:, 1], far)), pa.nulls(len(p), pa.int32())],
+                    names=["a", "b", "a2", "b2", "far", "k"],
                 )
+            blocked = {over} | ({int(k[-1])} if cut > whole else set())
+            rows = np.isin(k[:cut], list(blocked))
+            for at in range(0, int(rows.sum()), 10_000):  # a row of a blocked key is a link to itself that names the key
+                p, q = f[:cut][rows][at : at + 10_000].T, k[:cut][rows][at : at + 10_000]
+                zero = np.zeros(len(q), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*p, *p, zero, q)], names=["a", "b", "a2", "b2", "far", "k"])
             if cut > whole:
                 known = linked(f[whole:cut], known if k[whole] == over else known[:0])[2]
                 over = int(k[-1])
@@ -295,22 +304,24 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(a), pa.array(b), *more], names=names)
 
 
-def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v, far), u > v, between the ids of `firsts` (id, a, b, cut); crowded rows (id, a, b, cut)."""
+def candidates(firsts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (u, v, far), u > v, between the ids of `firsts` (id, a, b, cut); crowded rows (id, a, b, cut,
+    blocked: in a key beyond `HELD`); such keys with their number of blocks (k, n)."""
     reps = saved(firsts.groupBy("a", "b").agg(F.min(F.struct("id", "cut")).alias("r")).select("a", "b", "r.id", "r.cut"))
     keyed = reps.select("a", "b", "cut").mapInArrow(_expand, "k int, a long, b long")
     pairs = saved(
         keyed.repartition("k").sortWithinPartitions("k")
-        .mapInArrow(_stream, "a long, b long, a2 long, b2 long, far int").distinct()
+        .mapInArrow(_stream, "a long, b long, a2 long, b2 long, far int, k int").distinct()
     )
     itself = (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2"))
-    crowded = reps.join(pairs.where(itself).select("a", "b"), ["a", "b"], "left_semi")
+    crowded = reps.join(pairs.where(itself).groupBy("a", "b").agg(F.max(F.col("k").isNotNull()).alias("blocked")), ["a", "b"])
+    hot = pairs.where("k IS NOT NULL").groupBy("k").agg(F.ceil(F.count("*") / HELD).cast("int").alias("n"))
     named = pairs.where(~itself).join(reps.select("a", "b", F.col("id").alias("x")), ["a", "b"]).join(
         reps.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("y")), ["a2", "b2"]
     ).select("x", "y", "far")
     equal = firsts.join(reps.select("a", "b", F.col("id").alias("y")), ["a", "b"]).select(F.col("id").alias("x"), "y", F.lit(0).alias("far"))
     both = named.unionByName(equal).where("x <> y")
-    return saved(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"), "far").distinct()), crowded
+    return saved(both.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"), "far").distinct()), crowded, hot
 
 
 def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +349,8 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for s, e in zip(starts[mixed].tolist(), np.append(starts[1:], cut)[mixed].tolist(), strict=True):
             order = np.lexsort((f[s:e, 1], f[s:e, 0])) + s
-            for at in range(0, e - s, 256):
-                mine, rest = order[at : at + 256], order[at:]
+            for at in range(0, e - s, 32):
+                mine, rest = order[at : at + 32], order[at:]
                 far = _far(f[mine][:, None], f[rest][None, :])
                 i, j = np.nonzero((far <= BITS) & (label[mine][:, None] != label[rest][None, :]))
                 i, j = i[i < j], j[i < j]
@@ -359,10 +370,18 @@ def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(True)
 
 
-def parted(rows: DataFrame) -> DataFrame:
-    """Links (u, v) between all of `rows` (id, a, b, cut, c) that share a key, are within `BITS` and differ in c."""
+def parted(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Links (u, v) between all of `rows` (id, a, b, cut, c) that share a key, are within `BITS` and differ in c.
+
+    Keys in `hot` (k, n) are dealt as pairs of n blocks, so that a task holds two blocks at a time.
+    """
     kind = dict(rows.dtypes)["c"]
     keyed = rows.select("a", "b", "cut", "c").mapInArrow(_expand, f"k int, a long, b long, c {kind}")
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64("a", "b"), F.col("n")).cast("int")
+        block = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda t: F.least(mine, t) * F.col("n") + F.greatest(mine, t))
+        dealt = keyed.join(F.broadcast(hot), "k", "left").withColumn("g", F.explode(F.coalesce(block, F.array(F.lit(0)))))
+        keyed = dealt.select((F.shiftleft(F.col("k").cast("long"), 32) + F.col("g")).alias("k"), "a", "b", "c")
     pairs = keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_parted, "a long, b long, a2 long, b2 long").distinct()
     x = rows.select("a", "b", F.col("id").alias("x"))
     y = rows.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("y"))
@@ -374,9 +393,10 @@ def verified(links: DataFrame, texts: DataFrame, width: int, least: float) -> Da
     """The links (u, v) whose texts (id, text) are similar enough, compared as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = lru_cache(256)(lambda t: shingles(t, width)[1])
         for batch in batches:
             keep = [
-                similarity(shingles(x.as_py(), width)[1], shingles(y.as_py(), width)[1]) >= least
+                similarity(hashes(x.as_py()), hashes(y.as_py())) >= least
                 for x, y in zip(batch.column(2), batch.column(3), strict=True)
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -392,7 +412,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """One row per input row with a key: `key` and component_id, the least key that similar texts reach."""
     prints = saved(described(docs, key, text, width))
     firsts = saved(prints.groupBy("d").agg(F.min(F.struct("id", "a", "b", "cut")).alias("r")).select("d", "r.*"))
-    links, crowded = candidates(firsts)
+    links, crowded, hot = candidates(firsts)
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     nearest = lambda me, other: links.groupBy(me).agg(F.min(F.struct("far", other)).alias("r")).select(me, f"r.{other}")
     first = nearest("u", "v").unionByName(nearest("v", "u")).distinct()
@@ -410,8 +430,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     ends = cross(first.select("u", "v").unionByName(apart), member)
     refused = ends.select(F.col("_p").alias("c")).unionByName(ends.select(F.col("_q").alias("c"))).distinct()
     rest = crowded.join(at(member, "id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    rest = saved(rest.join(refused, "c", "left_semi").select("id", "a", "b", "cut", "c"))
+    rest = rest.join(refused.withColumn("_open", F.lit(True)), "c", "left").where("_open OR blocked")
+    rest = saved(rest.select("id", "a", "b", "cut", "c"))
     if not rest.isEmpty():
-        member = components(sure.unionByName(verified(parted(rest), texts, width, least))).distinct()
+        member = components(sure.unionByName(verified(parted(rest, hot), texts, width, least))).distinct()
     named = firsts.select("d", F.col("id").alias("fp")).join(member, "fp", "left").select("d", F.coalesce("root", "fp").alias("component_id"))
     return prints.select("id", "d").join(saved(named), "d").select(F.col("id").alias(key), "component_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,34 @@ def test_similar_rows_meet_though_others_are_closer_in_bits(spark):
     assert got == want
 
 
+def test_every_block_of_a_large_key_meets_every_other(spark, monkeypatch):
+    monkeypatch.setattr(N, "HELD", 8)
+    monkeypatch.setattr(N, "GATHERED", 12)
+    df = spark.createDataFrame(family(3, 60), "doc_id long, text string")
+    prints = N.described(df, "doc_id", "text", 5).drop("d").collect()
+    fps = np.array([(r.a, r.b) for r in prints])
+    at, keys = N.keys_of(*N.unpacked([bytes(r.cut) for r in prints]))
+    order = np.argsort(keys, kind="stable")
+    k, f = keys[order].astype(np.int32), fps[at[order]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in (k, f[:, 0], f[:, 1])], names=["k", "a", "b"]) for i in range(0, len(k), 7)]
+    rows = pa.Table.from_batches(N._stream(iter(batches))).to_pylist()  # HELD holds here, not in workers
+    members = {}
+    for r in rows:
+        if r["k"] is not None:
+            assert (r["a"], r["b"]) == (r["a2"], r["b2"])
+            members.setdefault(r["k"], set()).add((r["a"], r["b"]))
+    assert members and all(m == {tuple(x) for x in f[k == key].tolist()} for key, m in members.items())
+    hot = spark.createDataFrame([(key, -(-len(m) // 8)) for key, m in members.items()], "k int, n int")
+    assert hot.where("n > 2").count()
+    blocked = set().union(*members.values())
+    left = [(r.id, r.a, r.b, r.cut, r.id) for r in prints if (r.a, r.b) in blocked]
+    got = {(r.u, r.v) for r in N.parted(spark.createDataFrame(left, "id long, a long, b long, cut binary, c long"), hot).collect()}
+    ids = {(r.a, r.b): r.id for r in prints}
+    near = lambda x, y: N._far(np.array(x), np.array(y)) <= N.BITS
+    want = {(ids[x], ids[y]) for m in members.values() for x in m for y in m if ids[x] > ids[y] and near(x, y)}
+    assert want and want <= got
+
+
 def test_blocks_of_a_large_key_keep_one_component():
     rng = np.random.default_rng(1)
     base = rng.integers(-(1 << 63), 1 << 63, 2)
