@@ -37,8 +37,8 @@ from .common import ready, table
 
 #: Labelled rows fitted on; features looked at (a power of two); features kept.
 TRAIN, BUCKETS, KEPT = 8000, 1 << 18, 4000
-#: Cached tokens of a worker, longest token decoded, held-out fold.
-CACHE, LONGEST, FOLDS = 500_000, 40, 5
+#: Cached tokens of a worker, held-out fold.
+CACHE, FOLDS = 500_000, 5
 
 #: Letters of the language model; symbol 0 is any other character, the last one any other letter.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëàâçñóíáúîïôûù"
@@ -55,7 +55,10 @@ SUBSTITUTED, INSERTED, MEANT, REPEATED = 1.0, 0.7, 2.5, 0.5
 
 EDGES = ".,;:?\"'()[]{}%#*&|~`<>/\\-_="
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-GAPPED = re.compile(r"(?<!\S)[\w@$!+|]([ .\-*])(?:[\w@$!+|]\1){2,30}[\w@$!+|](?!\S)")
+GAPPED = re.compile(r"(?<!\S)[\w@$!+|]([ .\-*_])(?:[\w@$!+|]\1){2,}[\w@$!+|](?!\S)")
+
+#: Signs that stand for no letter and may join words.
+JOINERS = re.compile(r"[^\w@$!+|(€£¡]|_")
 
 
 def _symbol_table() -> np.ndarray:
@@ -141,11 +144,12 @@ class CharModel:
         return out
 
     def decode(self, token: str) -> str:
-        """The likeliest intended text of a written token; blanks part words."""
+        """The likeliest intended text of a written token, in time linear in it; blanks part words."""
         cost, table = self.cost, _TABLE
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # a state's text is a chain of words, the last first
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for ways in [*self.lattice(token), [(" ", 0.0)]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (paid, text) in states.items():
                 for word, price in ways:
                     x, y, total = a, b, paid + price
@@ -154,9 +158,18 @@ class CharModel:
                         total += float(cost[x, y, z])
                         x, y = y, z
                     if (x, y) not in after or total < after[x, y][0]:
-                        after[x, y] = (total, text + word)
+                        after[x, y] = (total, (text, word) if word else text)
             states = after
-        return min(states.values())[1].strip()
+
+        def spelt(chain: tuple) -> str:
+            words = []
+            while chain:
+                chain, word = chain
+                words.append(word)
+            return "".join(reversed(words))
+
+        least = min(paid for paid, _ in states.values())
+        return min(spelt(chain) for paid, chain in states.values() if paid == least).strip()
 
     def restore(self, token: str) -> str:
         """A lower-case token as it was meant: itself unless it shows signs of disguise."""
@@ -168,16 +181,20 @@ class CharModel:
         if token.isalpha() and not TRIPLE.search(token):
             return token
         letters = sum(c.isalpha() for c in token)
-        if letters == 0 or len(token) > LONGEST or len(token) < 3:
+        if letters == 0 or len(token) < 3:
             return token
         return self.decode(token)
 
     def spelled(self, text: str) -> Iterator[str]:
         """Words written with gaps between their letters, restored."""
         for m in GAPPED.finditer(text):
-            body = re.sub(r"[ .\-*]", "", m.group())
+            body = re.sub(r"[ .\-*_]", "", m.group())
             if len(set(body)) > 2:
-                yield self.decode(body)
+                word = self.decode(body)
+                yield word
+                words = self.decode(m.group())  # a run may be several words
+                if words != word:
+                    yield words
 
 
 def _hashed(word: str) -> list[int]:
@@ -195,7 +212,11 @@ class _Tokens(dict):
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         found = set()
-        for word in self.model.restore(token).split():
+        restored = self.model.restore(token).split()
+        parts = JOINERS.split(token.strip(EDGES))
+        if len(parts) > 1:  # words joined by signs, besides one word with signs put in
+            restored += [w for p in parts if len(p) >= 3 for w in self.model.restore(p).split()]
+        for word in restored:
             if len(word) >= 3:
                 found.update(_hashed(word))
         if self.keep is not None:

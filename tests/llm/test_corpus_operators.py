@@ -183,6 +183,19 @@ def test_toxicity_restores_and_scores(spark, data):
     assert list(model.spelled("he is an i d i o t ok")) == ["idiot"]
 
 
+def test_long_disguises_are_restored(spark, data):
+    model = toxicity.CharModel(toxicity.count_trigrams(common.table(common.ready(spark), data, "documents")))
+    for sign in ",/._":
+        written = sign.join(["$tupid", "wretched", "m0r0n", "completely", "idiooooot", "garbage", "people"])
+        got = set(toxicity._Tokens(model, None)[written])
+        assert all(got.issuperset(toxicity._hashed(word)) for word in ("stupid", "moron", "idiot", "garbage")), sign
+    letters = "stupidmoronidiotpathetictrashgarbageworthless"
+    for sign in " .-*_":
+        assert "".join(next(iter(model.spelled(sign.join(letters)))).split()) == letters, sign
+    long = "$tupid," * 3000
+    assert model.restore(long).count("stupid") == 3000
+
+
 def test_toxicity_learns_from_allowed_rows_only(spark):
     import zlib
 
