@@ -105,7 +105,7 @@ EIGHT = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?
 def candidates(text: str, doubtful: list[Span]) -> list[Span]:
     """Spans the base patterns miss; they may overlap each other and base spans."""
     out = list(doubtful)
-    if "at" in text and re.search(r"[\[({]\s?at\s?[\])}]", text, re.IGNORECASE):
+    if re.search(r"[\[({]\s?at\s?[\])}]", text, re.IGNORECASE):
         out += [("email", *m.span()) for m in SPELLED.finditer(text)]
     if DIGIT.search(text):
         out += [("phone", *m.span()) for m in LOCAL_PHONE.finditer(text)]

@@ -190,6 +190,11 @@ def test_pii_rows_and_redaction(spark):
     assert pii.find(table(spark, []), model=model).count() == 0
 
 
+def test_pii_spelled_out_in_capitals():
+    text = "SALES [AT] ACME [DOT] COM"
+    assert pii.candidates(text, []) == [("email", 0, len(text))]
+
+
 def test_pii_model_adds_and_refuses():
     model = pii.Model.fit(3000)
     yes = ["mail john [at] corp [dot] com now", "call (212) 555-1234 today"]
