@@ -39,6 +39,8 @@ LANG_TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 REST = 0.05
 ROUNDS, TOLERANCE, MAX_CELLS = 200, 1e-9, 50_000
 CACHE = 400_000
+#: Groups of a margin up to which its factors are broadcast while large cell tables are raked.
+MAX_GROUPS = 100_000
 
 
 # --- topics ---------------------------------------------------------------------------------
@@ -179,7 +181,6 @@ def weigh(cells: DataFrame) -> DataFrame:
 def _weigh_large(cells: DataFrame) -> DataFrame:
     """The same for more cells than the driver should hold: every step is a grouped sum."""
     total = cells.agg(F.sum("_tokens")).first()[0] or 0
-    at = saved(cells.withColumn("weight", F.lit(1.0)))
     goals = {}
     for m, power in MARGINS:
         sums = cells.groupBy(m).agg(F.sum("_tokens").cast("double").alias("_t"))
@@ -192,15 +193,38 @@ def _weigh_large(cells: DataFrame) -> DataFrame:
             sums = sums.withColumn("_g", F.when(named > 0, named).otherwise(F.col("_t") * REST / rest))
         whole = sums.agg(F.sum("_g")).first()[0] or 1.0
         goals[m] = saved(sums.select(m, (F.col("_g") / whole).alias("_g")))
-    for _ in range(min(ROUNDS, 30)):
-        for m, _p in MARGINS:
-            have = at.groupBy(m).agg((F.sum(F.col("weight") * F.col("_tokens")) / F.lit(float(total or 1))).alias("_h"))
-            step = goals[m].join(have, goals[m][m].eqNullSafe(have[m])).select(goals[m][m].alias("_m"), F.when(F.col("_h") > 0, F.col("_g") / F.col("_h")).otherwise(1.0).alias("_s"))
-            at = at.join(step, at[m].eqNullSafe(step["_m"])).withColumn("weight", F.col("weight") * F.col("_s")).drop("_m", "_s")
-        at = saved(at)
+    # a weight is the product of one factor of each margin; a round makes three small tables of factors
+    names = [m for m, _ in MARGINS]
+    factors = {m: saved(goals[m].withColumn("_f", F.lit(1.0))) for m in names}
+
+    few = {m: goals[m].count() <= MAX_GROUPS for m in names}
+    sent = lambda df, m: F.broadcast(df) if few[m] else df
+
+    def weighed() -> DataFrame:
+        at = cells.withColumn("weight", F.lit(1.0))
+        for m in names:
+            f = sent(factors[m].select(F.col(m).alias("_m"), "_f"), m)
+            at = at.join(f, at[m].eqNullSafe(f["_m"])).withColumn("weight", F.col("weight") * F.col("_f")).drop("_m", "_f")
+        return at
+
+    for _ in range(ROUNDS):
+        off = 0.0
+        for m in names:
+            have = weighed().groupBy(F.col(m).alias("_m")).agg((F.sum(F.col("weight") * F.col("_tokens")) / F.lit(float(total or 1))).alias("_h"))
+            step = F.when(F.col("_h") > 0, F.col("_g") / F.col("_h")).otherwise(1.0)
+            old = factors[m].select(m, "_g", "_f")
+            have = sent(have, m)
+            new = old.join(have, old[m].eqNullSafe(have["_m"])).select(m, "_g", (F.col("_f") * step).alias("_f"), F.abs(step - 1).alias("_o"))
+            factors[m] = saved(new)
+            off = max(off, factors[m].where("_g > 0").agg(F.max("_o")).first()[0] or 0.0)
+        if off < TOLERANCE:
+            break
+    at = saved(weighed())
     low, high = 0.0, 1.0 / max(at.where("_tokens > 0").agg(F.min("weight")).first()[0] or 1.0, 1e-300)
-    for _ in range(40):
+    for _ in range(200):
         mid = (low + high) / 2
+        if mid in (low, high):  # neighbours: no further halving changes high
+            break
         kept = at.agg(F.sum(F.col("_tokens") * F.least(F.lit(1.0), F.col("weight") * mid))).first()[0] or 0.0
         low, high = (mid, high) if kept < BUDGET * total else (low, mid)
     return at.select("source", "lang", "_topic", "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))

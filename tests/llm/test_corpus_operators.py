@@ -256,6 +256,19 @@ def test_many_cells_are_raked_alike(spark, monkeypatch):
     assert all(abs(small[c].weight - large[c].weight) < 1e-9 and abs(small[c].probability - large[c].probability) < 1e-6 for c in small)
 
 
+def test_many_cells_are_raked_alike_to_the_end(spark, monkeypatch):
+    common.ready(spark)
+    langs = ["en", "de", "fr"]  # sources of nearly one language: raking takes some 40 rounds
+    rows = [(f"s{i}", lang, k, 1000 * (i + 1) if lang == langs[i % 3] and k == i % 2 else 1 + i + k) for i in range(6) for lang in langs for k in range(2)]
+    cells = common.saved(spark.createDataFrame(rows, "source string, lang string, _topic int, _tokens long").coalesce(1))
+    done = {}
+    for most in (50_000, 1):
+        monkeypatch.setattr(mixing, "MAX_CELLS", most)
+        done[most] = {(r.source, r.lang, r._topic): (r.weight, r.probability) for r in mixing.weigh(cells).collect()}
+    assert done[1].keys() == done[50_000].keys()
+    assert all(np.allclose(done[1][c], done[50_000][c], rtol=1e-9, atol=0) for c in done[1])
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
