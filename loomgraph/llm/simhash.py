@@ -104,6 +104,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _UPPER, _ERRORS = _tables()
 
 
+def codewords() -> np.ndarray:
+    """The 4096 codewords, each at the index that `decode` gives."""
+    upper = np.arange(1 << 12)
+    return upper << 11 | _UPPER
+
+
 def decode(words: np.ndarray) -> np.ndarray:
     """Index (0 to 4095) of the codeword nearest to each 23-bit word."""
     return (words ^ _ERRORS[_UPPER[words >> 11] ^ (words & 0x7FF)]) >> 11
