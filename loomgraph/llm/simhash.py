@@ -40,6 +40,8 @@ from .common import ready, saved, table
 WIDTH, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints under one key that a task compares by itself, and rows it gathers before it does.
 HELD, GATHERED = 20_000, 100_000
+#: Links of one partition while components are sought.
+EDGES = 50_000
 #: The Golay code's generator polynomial: a fixed value.
 GENERATOR = 0b110001110101
 
@@ -278,12 +280,14 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             break
         seen = mark
+        few = -(-mark[0] // EDGES)  # the loop shuffles as many files as the links fill, not as the session has partitions
+        edges = edges.coalesce(few)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         wide = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         narrow = wide.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(narrow.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = saved(narrow.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(few))
     roots = edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
 
