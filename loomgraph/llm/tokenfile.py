@@ -17,7 +17,7 @@ Nothing here depends on one task seeing all rows: a key repeated in many rows is
 ranges that it fills, and prefix sums use one row a range and then one row a block.
 
 Defined edge cases: null and empty texts hold only the end id; null keys come first; rows repeated
-under one key stay side by side, ordered by their ids; one text is never split over blocks; an empty
+under one key stay side by side, in an order that their ids alone decide; one text is never split over blocks; an empty
 table gives an empty result.
 """
 
@@ -42,7 +42,8 @@ from .tokens import byte_letters
 
 #: Ids of a block, ids between bit-offset checkpoints, longest code, rows of a key range.
 BLOCK_IDS, STEP, LIMIT, RANGE_ROWS = 1 << 15, 128, 16, 4096
-MAX_RANGES = 4096
+#: Most key ranges; a task sorts its range with spilling and packs it as a stream, so ranges may be large.
+MAX_RANGES = 16_384
 MAGIC = b"LGH1"
 #: Cache entries of a worker, per cache.
 CACHE = 700_000
@@ -155,8 +156,9 @@ def unpack_blocks(blocks: list[bytes], table: np.ndarray) -> list[tuple[np.ndarr
 class Words:
     """Ids of texts by a tokenizers file, looked up word by word.
 
-    Its normaliser works character by character and its splitting never joins over white space, so
-    a text may be cut at blanks, tabs and line breaks. Words of Latin-1 characters are lowered, split
+    Added tokens are cut out of a text first, as the library does. The normaliser works character by
+    character and the splitting never joins over white space, so the rest may be cut at blanks, tabs
+    and line breaks. Words of Latin-1 characters are lowered, split
     and byte-mapped here, as the file says, and their parts go to its merge model; others go to the
     library whole.
     """
@@ -169,7 +171,12 @@ class Words:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        added = self.lib.get_added_tokens_decoder()
+        #: added tokens that are found as they stand; files with other ones go to the library text by text
+        self.plain = not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.added = {t.content: i for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.merge = self.lib.model.tokenize
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.size = self.lib.get_vocab_size()
@@ -208,6 +215,15 @@ class Words:
         return ids
 
     def encode(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        if not self.plain:
+            return self.direct(text)
+        if self.cut is None or not self.cut.search(text):
+            return self.ordinary(text)
+        parts = self.cut.split(text)  # every other part is an added token
+        return b"".join(np.array([self.added[p]], self.kind).tobytes() if i % 2 else self.ordinary(p) for i, p in enumerate(parts))
+
+    def ordinary(self, text: str) -> bytes:
         words = self.words
         cut = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join([words[w] for w in cut])
@@ -242,7 +258,7 @@ def key_bounds(rows: DataFrame, key: str) -> np.ndarray:
     ranges = int(min(MAX_RANGES, max(1, n // RANGE_ROWS)))
     if ranges < 2:
         return np.zeros(0, np.int64)
-    cuts = F.percentile_approx(F.col(key), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * MAX_RANGES))
+    cuts = F.percentile_approx(F.col(key), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))
     return np.array(rows.select(cuts.alias("c")).first()["c"] or [], np.int64)
 
 
@@ -255,13 +271,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
         end = np.array([end_id], words.kind).tobytes()
-        turn = 0
         for batch in batches:
             ids = pa.array([words.encode(t.as_py() or "") + end for t in batch.column(1)], pa.binary())
             keys = pc.fill_null(batch.column(0), LOWEST).to_numpy()
             low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
-            turn += len(keys)  # a key that fills several ranges goes round them
-            spread = low + (np.arange(turn - len(keys), turn) % (high - low + 1))
+            # a key that fills several ranges is dealt by its ids: the same on any recomputation
+            spread = low + np.array([zlib.crc32(i.as_buffer()) for i in ids], np.int64) % (high - low + 1) if (high > low).any() else low
             spread[batch.column(0).is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int32)), batch.column(0), ids], names=["range", "key", "ids"])
 
