@@ -1,13 +1,16 @@
 """Exact top-k inner products by sorted lists without random access.
 
-The rows are cut into blocks by a hash of their key, and the dimensions into `LISTS` runs. For a
-query, each run ranks a block's rows by their inner product over that run: one sorted list of (row,
-partial score) per run. The lists are read in step from the top, in growing depths. A row's unread
-parts are at most the last value read from their list and at least the list's lowest value, so each
-row has an upper and a lower bound, and a row not read anywhere is bounded by the sum of the last
-values. Reading stops once no row outside a short candidate set, seen or unseen, can reach the k-th
-best lower bound; ties stay candidates. The candidates' scores are then resolved in full. Blocks are
-merged by a window that keeps k rows of each query.
+The rows are cut into blocks by a hash of their key. A block sorts its rows once by each dimension:
+one list of (row, component) a dimension, shared by all queries. A query reads a list from its high
+end where its own component is positive and from its low end where it is negative, so what comes
+next in a list never adds more than what came before. All lists are read in step, in growing depths.
+For each row seen, the sum of what was read, with the last values read in place of the rest, bounds
+its score from above, and with the lists' far ends from below; a row not seen yet is bounded by the
+last values of all lists. Reading stops once fewer than `few` rows, seen or unseen, can reach the
+bar: the k-th best lower bound, or the k-th best score among `SAMPLE` rows that every query is
+compared with beforehand, whichever is more. Ties with the bar stay candidates. Only then are whole
+rows looked up, and the candidates' scores resolved. Blocks are merged by a window that keeps k rows
+of each query.
 
 Queries meet the rows block by block: rows go to each group of queries and queries to each block,
 so a task holds one block and one group, whatever the table's size; no key decides the dealing, so
@@ -22,79 +25,72 @@ repeated query key asks once, with its least vector; a query's own key is exclud
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, table
 from .vectors import BLOCK_ROWS, GROUP_QUERIES, best, finite, matrix
 
-#: Sorted lists a query reads, share of a list read first, queries ranked at a time, rows of a block.
-LISTS, FIRST, TOGETHER, ROWS, GROUP = 4, 1 / 24, 16, 4 * BLOCK_ROWS, GROUP_QUERIES // 4
-
-
-def aggregate(lists: np.ndarray, k: int, skip: np.ndarray) -> np.ndarray:
-    """Rows that may be among the k best sums over `lists` (list, row), rows `skip` left out.
-
-    No list is looked into for a given row: each is only read from its top down.
-    """
-    m, n = lists.shape
-    lowest = lists.min(axis=1)
-    depth = max(4 * k, int(n * FIRST))
-    while depth < n:
-        tops = np.argpartition(lists, n - depth, axis=1)[:, n - depth :]
-        read = np.take_along_axis(lists, tops, axis=1)
-        last = read.min(axis=1)  # where reading has come to in each list
-        seen = np.zeros(n, bool)
-        seen[tops.ravel()] = True
-        seen[skip] = False
-        rows = np.flatnonzero(seen)
-        place = np.full(n, -1)
-        place[rows] = np.arange(len(rows))
-        partial, least, most = np.zeros(len(rows)), np.full(len(rows), lowest.sum()), np.full(len(rows), last.sum())
-        for g in range(m):
-            at = place[tops[g]]
-            ok = at >= 0
-            partial[at[ok]] += read[g][ok]
-            least[at[ok]] -= lowest[g]
-            most[at[ok]] -= last[g]
-        if len(rows) >= k:
-            low = partial + least
-            bar = np.partition(low, len(low) - k)[len(low) - k]
-            if last.sum() < bar:
-                found = rows[partial + most >= bar]
-                if len(found) <= max(8 * k, n // 8):
-                    return found
-        depth *= 2
-    rows = np.ones(n, bool)
-    rows[skip] = False
-    return np.flatnonzero(rows)
-
-
-class Block:
-    """Rows of one block in order of their ids."""
+#: Share of a list that is read first, rows and components of a block, queries of a group, rows and bytes compared beforehand.
+FIRST, ROWS, HELD, GROUP, SAMPLE, SAMPLE_BYTES = 1 / 16, 2 * BLOCK_ROWS, 4 << 20, GROUP_QUERIES, 1024, 8 << 20
+
+
+class Lists:
+    """A block's rows in order of their ids, and one list sorted by each dimension."""
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        self.wide = self.rows.astype(np.float64)
-
-    def search(self, queries: np.ndarray, owns: list[int], k: int):
+        self.order = np.ascontiguousarray(np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32))
+        self.values = np.take_along_axis(self.rows.T, self.order, axis=1).astype(np.float64)
+        self.read_rows = 0
+
+    def candidates(self, query: np.ndarray, k: int, bar: float, skip: slice) -> np.ndarray:
+        """Rows that may be among the k best; each list is only read from one end on."""
+        dims, n = self.values.shape
+        ways = [np.s_[::-1] if q > 0 else np.s_[:] for q in query.tolist()]  # where a list starts
+        ends = np.array([q * v[way][-1] for q, v, way in zip(query, self.values, ways, strict=True)])
+        partial, seen = np.zeros(n), np.zeros((n, dims), np.float32)
+        few, at, depth = max(8 * k, n // 64), 0, max(k, int(n * FIRST))
+        while True:
+            upto, last = min(n, depth), np.zeros(dims)
+            for d, way in enumerate(ways):
+                if query[d] == 0:
+                    seen[:, d] = 1
+                    continue
+                rows, read = self.order[d][way][at:upto], query[d] * self.values[d][way][at:upto]
+                partial[rows] += read
+                seen[rows, d] = 1
+                last[d] = read[-1]
+            at = upto
+            self.read_rows += upto
+            if at == n:
+                low = most = partial
+            else:
+                most = partial + last.sum() - seen @ last
+                low = partial + ends.sum() - seen @ ends
+            free = np.ones(n, bool)
+            free[skip] = False
+            if free.sum() >= k:
+                bar = max(bar, np.partition(low[free], -k)[-k])
+            rest = np.flatnonzero(free & (most >= bar - 1e-6 * (1 + abs(bar))))
+            if len(rest) <= few or at == n:
+                return rest
+            depth = upto * 2
+
+    def search(self, queries: np.ndarray, owns: list[int], bars: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query (ids, scores) of the k best rows, best first, smaller id first among equals."""
-        dims = self.rows.shape[1]
-        cuts = np.linspace(0, dims, min(LISTS, dims) + 1).astype(int)
-        q = queries.astype(np.float64)
-        for at in range(0, len(q), TOGETHER):
-            part = q[at : at + TOGETHER]
-            parts = np.stack([part[:, a:b] @ self.wide[:, a:b].T for a, b in zip(cuts, cuts[1:], strict=False)])
-            for i in range(len(part)):
-                own = slice(*np.searchsorted(self.ids, [owns[at + i], owns[at + i] + 1]))
-                rows = aggregate(parts[:, i], k, np.arange(own.start, own.stop))
-                scores = self.rows[rows] @ queries[at + i]
-                top = np.lexsort((self.ids[rows], -scores))[:k]
-                yield self.ids[rows[top]], scores[top]
+        for query, own, bar in zip(queries, owns, bars.tolist(), strict=True):
+            mine = slice(*np.searchsorted(self.ids, [own, own + 1]))
+            rows = self.candidates(query.astype(np.float64), k, bar, mine)
+            scores = self.rows[rows] @ query
+            top = np.lexsort((self.ids[rows], -scores))[:k]
+            yield self.ids[rows[top]], scores[top]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec: str = "codes") -> DataFrame:
@@ -103,9 +99,15 @@ def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec:
     rows = vectors.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("_id"), F.col(vec).cast("array<long>").alias("_v"), queries.alias("_q")
     ).withColumn("_d", F.size("_v"))
-    size = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_q"), 1))).first()
-    blocks = max(1, math.ceil(size[0] / ROWS))
+    size = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("_q"), 1)), F.max("_d")).first()
+    blocks = max(1, math.ceil(size[0] / max(64, min(ROWS, HELD // (size[2] or 1)))))
     groups = max(1, math.ceil(size[1] / GROUP))
+    few = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * (size[2] or 1))))
+    some = rows.groupBy("_id", "_d").agg(F.min("_v").alias("_v")).orderBy(F.xxhash64("_id"), "_id", "_d").limit(few).toArrow()
+    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by length: ids and vectors of at most SAMPLE rows
+    for d in set(some["_d"].to_pylist()):
+        part = some.filter(pa.compute.equal(some["_d"], d))
+        known[d] = part["_id"].to_numpy(), matrix(part["_v"], np.int64)
     deal = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.select("_id", "_v", "_d", deal(blocks).alias("_b")).withColumn("_g", each(groups))
@@ -117,9 +119,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec:
     def scan(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if rows.num_rows and queries.num_rows:
-            block = Block(matrix(rows["_v"], np.int64), rows["_id"].to_numpy())
-            owns = queries["_id"].to_pylist()
-            for own, (ids, scores) in zip(owns, block.search(matrix(queries["_v"], np.int64), owns, k), strict=True):
+            lists = Lists(matrix(rows["_v"], np.int64), rows["_id"].to_numpy())
+            owns, asked = queries["_id"].to_pylist(), matrix(queries["_v"], np.int64)
+            bars = np.full(len(owns), -np.inf)
+            if asked.shape[1] in known:
+                ids, vectors = known[asked.shape[1]]
+                scores = (asked @ vectors.T).astype(float)
+                scores[np.array(owns)[:, None] == ids[None, :]] = -np.inf
+                if len(ids) >= k:
+                    bars = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            for own, (ids, scores) in zip(owns, lists.search(asked, owns, bars, k), strict=True):
                 out.append((np.full(len(ids), own, np.int64), ids, scores))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
         return pa.table({"query_id": cols[0], key: cols[1], "score": cols[2]})
