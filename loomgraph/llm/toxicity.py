@@ -3,9 +3,12 @@
 A character language model is counted over all documents: trigrams of folded letters, one bounded
 table whatever the corpus, summed map-side. A written token is a lattice: a digit or sign may stand
 for the letters it resembles, may have been put in between, or may be itself; a letter repeated
-three times or more may be meant once or twice; a row of single characters may be one word spelled
-with gaps. Viterbi decoding finds the cheapest path under the language model and the channel's
-costs. Only tokens with such traits are decoded; others restore to themselves.
+three times or more may be meant once or twice. A run of single characters with gaps between them is
+one lattice too, in which every gap may be dropped or may part two words, at a price that depends on
+whether it is the run's usual gap: so `a n i d i o t` is two words. Where gaps part words, the reading
+without any gap counts as well. Viterbi decoding finds the
+cheapest path under the language model and the channel's costs. Only tokens and runs with such
+traits are decoded; others restore to themselves.
 
 The restored tokens and their beginnings are the features of a logistic regression. It is fitted on
 at most `TRAIN` labelled rows (those first in a hash order of doc_id among rows whose crc32(doc_id
@@ -26,6 +29,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,9 +57,15 @@ LOOKS = {
 #: Costs of the channel, in nats: substitution, insertion of a sign, keeping it, repetition.
 SUBSTITUTED, INSERTED, MEANT, REPEATED = 1.0, 0.7, 2.5, 0.5
 
+#: Costs of a run's usual gap and of any other one: dropped, and kept as the end of a word.
+GAP, OTHER_GAP = (0.2, 2.5), (1.5, 0.3)
+
 EDGES = ".,;:?\"'()[]{}%#*&|~`<>/\\-_="
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
-GAPPED = re.compile(r"(?<!\S)[\w@$!+|]([ .\-*_])(?:[\w@$!+|]\1){2,}[\w@$!+|](?!\S)")
+_SINGLE, _BETWEEN = r"[^\W_]|[@$!+|(€£¡]", r"[\s.\-*_,/~:;]"
+#: Three single characters or more with gaps between them; no character is both, so matching is linear.
+GAPPED = re.compile(rf"(?<![^\s\"'\[])(?:{_SINGLE})(?:{_BETWEEN}+(?:{_SINGLE})){{2,}}(?![^\s.,;:?\"')\]])")
+PARTS = re.compile(rf"({_BETWEEN}+)")
 
 #: Signs that stand for no letter and may join words.
 JOINERS = re.compile(r"[^\w@$!+|(€£¡]|_")
@@ -143,12 +153,26 @@ class CharModel:
             i = j
         return out
 
-    def decode(self, token: str) -> str:
-        """The likeliest intended text of a written token, in time linear in it; blanks part words."""
+    def gapped(self, run: str) -> list[list[tuple[str, float]]]:
+        """The lattice of single characters with gaps."""
+        parts = PARTS.split(run)
+        gaps = parts[1::2]
+        usual = min(Counter(gaps).items(), key=lambda g: (-g[1], len(g[0]), g[0]))[0]
+        out: list[list[tuple[str, float]]] = []
+        for i, part in enumerate(parts):
+            if i % 2:
+                dropped, kept = GAP if part == usual else OTHER_GAP
+                out.append([("", dropped), (" ", kept)])
+            else:
+                out += self.lattice(part)
+        return out
+
+    def decode(self, lattice: list[list[tuple[str, float]]]) -> str:
+        """The cheapest text of a lattice, in time linear in it; blanks part words."""
         cost, table = self.cost, _TABLE
         # a state's text is a chain of words, the last first
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for ways in [*self.lattice(token), [(" ", 0.0)]]:
+        for ways in [*lattice, [(" ", 0.0)]]:
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (paid, text) in states.items():
                 for word, price in ways:
@@ -183,18 +207,18 @@ class CharModel:
         letters = sum(c.isalpha() for c in token)
         if letters == 0 or len(token) < 3:
             return token
-        return self.decode(token)
+        return self.decode(self.lattice(token))
 
     def spelled(self, text: str) -> Iterator[str]:
         """Words written with gaps between their letters, restored."""
         for m in GAPPED.finditer(text):
-            body = re.sub(r"[ .\-*_]", "", m.group())
-            if len(set(body)) > 2:
-                word = self.decode(body)
-                yield word
-                words = self.decode(m.group())  # a run may be several words
-                if words != word:
-                    yield words
+            letters = {c for c in m.group() if c.isalpha()}
+            if len(letters) > 1:
+                lattice = self.gapped(m.group())
+                read = self.decode(lattice)
+                yield read
+                if " " in read:  # the second reading: every gap dropped
+                    yield self.decode([[w for w in ways if w[0] != " "] or ways for ways in lattice])
 
 
 def _hashed(word: str) -> list[int]:
@@ -308,7 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             found = [sorted(doc_features(t.as_py() or "", tokens)) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], names=["f", "y"])
 
-    sample = docs.select(key, text).join(F.broadcast(picked), key).select(text, "_y")  # at most TRAIN rows
+    # at most TRAIN keys; one row of each: the least text
+    sample = docs.select(key, text).join(F.broadcast(picked), key).groupBy(key).agg(F.min(text).alias(text), F.first("_y").alias("_y")).select(text, "_y")
     got = sample.mapInArrow(run, "f array<int>, y int").toArrow()
     y = got["y"].to_numpy().astype(float)
     return Scorer.fit(model, [np.asarray(f.values) for f in got["f"]], y)

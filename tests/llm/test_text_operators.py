@@ -45,6 +45,28 @@ def test_licences(spark):
     assert licenses.recognise(table(spark).limit(0)).count() == 0
 
 
+def test_printed_licences(spark):
+    """Printed texts are found however they are wrapped, in comments, below copyright lines and between other text."""
+    import textwrap
+
+    texts, want = [], []
+    for name, text in licenses.PRINTED:
+        for width in (40, 70, 1000):
+            body = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.split("\n\n"))
+            for form in (body, body.replace("\n", "\r\n"), "\n".join(f" * {line}" for line in body.split("\n")), f"Some words first.\n\nCopyright 2020 A B\n{body}\n\nAnd last."):
+                texts.append(form)
+                want.append(name)
+    rows = table(spark, texts).select("doc_id", "text").selectExpr("*", "'mine' AS _ids", "1 AS _hit", "2 AS licenses")
+    got = by_id(licenses.recognise(rows))
+    for r, name in zip(got, want, strict=True):
+        assert (r["licenses"], r["unmatched"], r["_ids"]) == (name, "", "mine"), (texts[r["doc_id"]], r)
+
+
+def test_long_sentences_are_normalised_before_any_test(spark):
+    (row,) = by_id(licenses.recognise(table(spark, ["Licensed under" + " " * 700 + "the Apache License, Version 2.0."]).select("doc_id", "text")))
+    assert row["licenses"] == "Apache-2.0"
+
+
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_sharding_laws(spark, shards):
     got = by_id(sharding.assign(table(spark), shards))
@@ -130,7 +152,6 @@ def test_token_files(spark, monkeypatch):
     tokenfile.write(table(spark, TEXTS, ids), path, P.path("word_bpe_49k.json"), 1)
     got = by_id(tokenfile.read(spark, path))
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     at = 0
     for r, t in zip(got, TEXTS, strict=True):
         want = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -145,11 +166,11 @@ def test_words_equal_the_library():
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     words = tokenfile.Words(P.path("word_bpe_49k.json"))
     rng = random.Random(5)
-    for _ in range(500):
-        t = "".join(rng.choice("abT'sLl \n\téÉß日1.9\x0b\x1c\x85 İΣ") for _ in range(rng.randint(0, 30)))
+    signs = [*"abT'sLl \n\téÉß日1.9\x0b\x1c\x85 İΣ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext"]
+    for _ in range(1500):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(words.encode(t), words.kind).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
