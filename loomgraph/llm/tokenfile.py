@@ -247,7 +247,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this session wrote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -355,7 +356,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
         .write.option("compression", "none").parquet(f"{path}/blocks")
     )
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
-    _delete(spark, staged)
+    delete(spark, staged)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
