@@ -1,4 +1,4 @@
-"""The corpus pipeline: one stage per operator, each reading what the one before it kept.
+"""The corpus pipeline: five stages, each calling one operator and reading what the one before it kept.
 
 `STAGES` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame that
 is written as Parquet and read again as the next one's docs. All but the last return the columns of
@@ -62,9 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written to the shared folder and read again."""
-    docs = table(ready(spark), sf_dir, "documents")
+    docs, before = table(ready(spark), sf_dir, "documents"), None
     for name, stage in STAGES:
         path = tokenfile.shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            tokenfile.delete(spark, before)  # written and read again: no longer needed
+        before = path
     return docs
