@@ -51,7 +51,7 @@ MAPPING = {
     ],
     "computed": [
         {"type": "BEFORE", "source": "Event", "target": "Order", "kind": "as_of", "options": {"source_time": "ts", "target_time": "orderdate", "partition": [["user_id", "custkey"]]}},
-        {"type": "SIMILAR", "source": "Vector", "target": "Vector", "kind": "top_k", "options": {"vector": ["embedding", "embedding"], "k": 3, "where": "a.vec_id % 50 = 0"}},
+        {"type": "SIMILAR", "source": "Vector", "target": "Vector", "kind": "top_k", "options": {"vector": ["embedding", "embedding"], "k": 3, "where": "a.vec_id % 20 = 0"}},
         {"type": "MATCHES", "source": "Passage", "target": "Document", "kind": "search", "options": {"text": ["text", "text"], "k": 3}},
         {"type": "SAME_SIZE", "source": "Part", "target": "Part", "kind": "predicate", "options": {"on": "a.size = b.size AND a.brand = b.brand AND a.partkey < b.partkey"}},
         {"type": "BUYS", "source": "Customer", "target": "Part", "kind": "cypher", "options": {

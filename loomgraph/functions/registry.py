@@ -96,6 +96,14 @@ def _log(fn: Callable[[Column], Column]) -> Builder:
 
 
 register("ln", "fn.ln")(_log(F.ln))
+
+
+@register("fn.log")
+def _log_base(a: Arg, b: Arg | None = None) -> Column:
+    """log(x) to base 10, log(base, x)."""
+    return _log(F.log10)(a) if b is None else _log(F.ln)(b) / _log(F.ln)(a)
+
+
 register("log", "log10", "fn.log10")(_log(F.log10))
 register("log2", "fn.log2")(_log(F.log2))
 
@@ -112,11 +120,13 @@ def _trunc(x: Arg) -> Column:
 
 @register("gcd", "fn.gcd")
 def _gcd(a: Arg, b: Arg) -> Column:
-    @F.pandas_udf("long")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(p) or pd.isna(q) else math.gcd(int(p), int(q)) for p, q in zip(x, y, strict=True)], dtype="Int64")
-
-    return run(a.col.cast("long"), b.col.cast("long"))
+    """Euclid's steps as a fold: two longs need fewer than 93 of them."""
+    x, y = F.abs(a.col.cast("long")), F.abs(b.col.cast("long"))
+    zero = F.lit(0).cast("long")
+    step = lambda s, _: F.struct(s["y"].alias("x"), F.when(s["y"] == 0, zero).otherwise(s["x"] % s["y"]).alias("y"))
+    start = F.struct(F.greatest(x, y).alias("x"), F.least(x, y).alias("y"))
+    keep = lambda s, i: F.when(s["y"] == 0, s).otherwise(step(s, i))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(93)), start, keep, lambda s: s["x"]))
 
 
 @register("lcm", "fn.lcm")
@@ -125,13 +135,36 @@ def _lcm(a: Arg, b: Arg) -> Column:
     return F.when((a.col == 0) | (b.col == 0), F.lit(0).cast("long")).otherwise((F.abs(a.col * b.col) / g).cast("long"))
 
 
+#: The Lanczos series of nine terms around 7.
+LANCZOS = (
+    0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
+    12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7,
+)
+
+
+def _lgamma(x: Column) -> Column:
+    """ln |gamma(x)| by the Lanczos series, and by reflection below one half."""
+
+    def above(z: Column) -> Column:
+        total = F.lit(LANCZOS[0])
+        for i, c in enumerate(LANCZOS[1:]):
+            total = total + F.lit(c) / (z + F.lit(float(i)))
+        t = z + F.lit(6.5)
+        return F.lit(0.5 * math.log(2 * math.pi)) + (z - 0.5) * F.ln(t) - t + F.ln(total)
+
+    below = F.ln(F.lit(math.pi) / F.abs(F.sin(F.lit(math.pi) * x))) - above(F.lit(1.0) - x)
+    pole = (x <= 0) & (x == F.floor(x))
+    return F.when(pole, F.lit(float("inf"))).when(x < 0.5, below).otherwise(above(x))
+
+
 def _gamma(name: str) -> Builder:
     def build(x: Arg) -> Column:
-        @F.pandas_udf("double")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: None if pd.isna(v) else math.lgamma(v) if name == "lgamma" else math.exp(math.lgamma(v)))
-
-        return run(_double(x.col))
+        c = _double(x.col)
+        if name == "lgamma":
+            return _lgamma(c)
+        sign = F.when((c < 0) & (F.floor(c).cast("long") % 2 != 0), F.lit(-1.0)).otherwise(F.lit(1.0))
+        exact = F.when((c == F.floor(c)) & (c >= 1) & (c <= 21), F.factorial((c - 1).cast("int")).cast("double"))
+        return F.coalesce(exact, sign * F.exp(_lgamma(c)))
 
     return build
 
@@ -202,13 +235,23 @@ plain(lambda s: F.when(s.rlike("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{
 plain(lambda s: F.encode(s, "UTF-8"), "encode", "blob", "to_blob", "fn.encode")
 plain(lambda b: F.decode(b, "UTF-8"), "decode", "fn.decode")
 plain(lambda s, p: F.regexp_like(s, p), "regexp_matches", "fn.regexp_like")
-plain(lambda s, p: F.regexp_like(s, F.concat(F.lit("^(?:"), p, F.lit(")$"))), "regex_match", "regexp_full_match")
+plain(lambda s, p: F.regexp_like(s, F.concat(F.lit(r"\A(?:"), p, F.lit(r")\z"))), "regex_match", "regexp_full_match")
 plain(lambda s, p: F.regexp_count(s, p), "fn.regexp_count")
 plain(lambda s, p: F.regexp_instr(s, p), "fn.regexp_instr")
 for _bits in (224, 256, 384, 512):
     plain((lambda b: lambda s: F.sha2(s, b))(_bits), f"sha{_bits}", f"fn.sha{_bits}")
 
 
+@register("fn.digest")
+def _digest(s: Arg, method: Arg) -> Column:
+    name = str(method.value).lower()
+    if name == "md5":
+        return F.unhex(F.md5(s.col.cast("binary")))
+    if name not in ("sha224", "sha256", "sha384", "sha512"):
+        raise ArgumentFault(f"no digest {name!r}")
+    return F.unhex(F.sha2(s.col.cast("binary"), int(name[3:])))
+
+
 def _stripped(where: str) -> Builder:
     def build(s: Arg, chars: Arg | None = None) -> Column:
         c = s.col
@@ -392,6 +435,58 @@ plain(lambda x, v: F.transform(F.filter(F.transform(x, lambda y, i: F.struct(y.a
 plain(lambda x: F.transform(x, lambda v, i: F.struct(v.alias("value"), i.cast("long").alias("index"))), "index_list")
 
 
+def _ndims(t: T.DataType) -> int:
+    return 1 + _ndims(t.elementType) if isinstance(t, T.ArrayType) else 0
+
+
+@register("fn.array_ndims")
+def _array_ndims(x: Arg) -> Column:
+    return F.when(x.col.isNotNull(), F.lit(_ndims(x.type)).cast("long"))
+
+
+@register("fn.array_dims")
+def _array_dims(x: Arg) -> Column:
+    sizes, at, t = [], x.col, x.type
+    while isinstance(t, T.ArrayType):
+        sizes.append(F.size(at).cast("long"))
+        at, t = F.get(at, F.lit(0)), t.elementType
+    return F.when(x.col.isNotNull(), F.array(*sizes))
+
+
+def _nth_of(x: Column, v: Column) -> Column:
+    """(value, its number among equal ones) of each element."""
+    return F.transform(x, lambda y, i: F.struct(y.alias("y"), F.when(y.eqNullSafe(v), F.size(F.filter(F.slice(x, F.lit(1), i + 1), lambda z: z.eqNullSafe(v)))).alias("n")))
+
+
+plain(lambda x, v, n: F.transform(F.filter(_nth_of(x, v), lambda s: s["n"].isNull() | (s["n"] > n)), lambda s: s["y"]), "fn.array_remove_n")
+plain(lambda x, v: F.transform(F.filter(_nth_of(x, v), lambda s: s["n"].isNull() | (s["n"] > 1)), lambda s: s["y"]), "fn.array_remove")
+plain(lambda x, a, b, n: F.transform(_nth_of(x, a), lambda s: F.when(s["n"] <= n, b).otherwise(s["y"])), "fn.array_replace_n")
+plain(lambda x, a, b: F.transform(_nth_of(x, a), lambda s: F.when(s["n"] == 1, b).otherwise(s["y"])), "fn.array_replace")
+
+
+@register("fn.array_resize")
+def _resize(x: Arg, n: Arg, fill: Arg | None = None) -> Column:
+    k = F.greatest(n.col.cast("int"), F.lit(0))
+    t = x.type.elementType
+    more = F.array_repeat(fill.col.cast(t) if fill is not None else F.lit(None).cast(t), F.greatest(k - F.size(x.col), F.lit(0)))
+    return F.slice(F.concat(x.col, more), F.lit(1), k)
+
+
+@register("appendelement")
+def _append_element(xs: Arg, x: Arg, keep: Arg) -> Column:
+    """The list with `x` at its end, or as it is where `keep` is not true."""
+    return F.when(keep.col.cast("boolean"), F.array_append(xs.col, x.col)).otherwise(xs.col)
+
+
+@register("fn.struct")
+def _fn_struct(*xs: Arg) -> Column:
+    return F.struct(*(x.col.alias(f"c{i}") for i, x in enumerate(xs)))
+
+
+plain(lambda: F.lit("1.0"), "fn.version")
+register("fn.arrow_metadata")(lambda x, key=None: F.create_map().cast("map<string,string>") if key is None else F.lit(None).cast("string"))
+
+
 @register("list_prepend", "array_prepend", "array_push_front", "fn.array_prepend")
 def _prepend(a: Arg, b: Arg) -> Column:
     return F.array_prepend(a.col, b.col) if isinstance(a.type, T.ArrayType) else F.array_prepend(b.col, a.col)
@@ -725,6 +820,25 @@ plain(lambda s: F.timestamp_micros(s).cast("timestamp_ntz"), "fn.to_timestamp_mi
 plain(lambda t: F.unix_seconds(t.cast("timestamp")), "fn.to_unixtime")
 plain(lambda: F.current_date(), "current_date", "fn.current_date")
 plain(lambda: F.current_timestamp(), "now", "fn.now", "current_timestamp")
+_clock = lambda c: F.date_format(c, "HH:mm:ss.SSSSSS")
+plain(lambda: _clock(F.current_timestamp()), "fn.current_time", "current_time")
+plain(lambda h, m, s: F.when((h >= 0) & (h < 24) & (m >= 0) & (m < 60) & (s >= 0) & (s < 60), F.format_string("%02d:%02d:%02d", h.cast("int"), m.cast("int"), s.cast("int"))), "fn.make_time")
+plain(lambda s: _clock(F.concat(F.lit("2000-01-01 "), s.cast("string")).try_cast("timestamp_ntz")), "fn.to_time")
+plain(lambda s: s.try_cast("timestamp_ntz"), "fn.to_timestamp", "fn.to_local_time")
+plain(lambda n: F.timestamp_micros(F.floor(n / 1000)).cast("timestamp_ntz"), "fn.to_timestamp_nanos")
+
+
+@register("fn.date_bin")
+def _date_bin(width: Arg, at: Arg, origin: Arg | None = None) -> Column:
+    """The start of the bin of `width` (a duration of days and shorter parts) that `at` lies in."""
+    w = width.col if is_duration(width.type) else temporal.duration_of(width)
+    micros = (w.getField("days") * 86_400 + w.getField("seconds")) * 1_000_000 + F.floor(w.getField("nanos") / 1000)
+    moment = lambda c: F.unix_micros(c.cast("timestamp"))
+    zero = moment(origin.col) if origin is not None else F.lit(0).cast("long")
+    off = F.pmod(moment(at.col) - zero, micros)
+    return F.timestamp_micros(moment(at.col) - off).cast("timestamp_ntz")
+
+
 register("fn.to_char")(lambda x, f: F.date_format(x.col, f.value))
 
 
@@ -765,6 +879,37 @@ register("json.remove")(lambda d, p: jsonfns.edit("remove", d.col, p.value, None
 for _m in ("merge_patch", "equals", "contains"):
     register(f"json.{_m}")((lambda m: lambda a, b: jsonfns.pair(m, a.col, b.col))(_m))
 
+#: Parameters by name, for calls that name their arguments.
+PARAMETERS: dict[str, tuple[str, ...]] = {
+    **dict.fromkeys(("substring",), ("s", "start", "length")),
+    **dict.fromkeys(("substr", "fn.substr"), ("s", "position", "length")),
+    **dict.fromkeys(("left", "right", "fn.left", "fn.right", "repeat", "fn.repeat"), ("s", "n")),
+    **dict.fromkeys(("replace", "fn.replace"), ("s", "search", "replacement")),
+    **dict.fromkeys(("split", "string_split", "str_split", "string_to_array"), ("s", "delimiter")),
+    "split_part": ("s", "delimiter", "position"),
+    **dict.fromkeys(("lpad", "rpad", "fn.lpad", "fn.rpad"), ("s", "length", "pad")),
+    **dict.fromkeys(("trim", "btrim", "ltrim", "rtrim"), ("s", "characters")),
+    **dict.fromkeys(("round", "fn.round"), ("x", "digits")),
+    **dict.fromkeys(("range", "cypher_range"), ("start", "stop", "step")),
+    **dict.fromkeys(("pow", "power", "fn.power"), ("base", "exponent")),
+    **dict.fromkeys(("atan2", "fn.atan2"), ("y", "x")),
+    **dict.fromkeys(("mod", "gcd", "lcm", "fn.gcd", "fn.lcm"), ("a", "b")),
+    **dict.fromkeys(("contains", "starts_with", "ends_with", "startswith", "endswith", "prefix", "suffix"), ("s", "part")),
+    **dict.fromkeys(("regexp_matches", "regexp_full_match", "regex_match", "fn.regexp_like"), ("s", "pattern")),
+    **dict.fromkeys(("regexp_replace", "fn.regexp_replace"), ("s", "pattern", "replacement", "flags")),
+    **dict.fromkeys(("regexp_extract", "regexp_extract_all"), ("s", "pattern", "group")),
+    **dict.fromkeys(("list_append", "list_contains", "list_position", "array_append", "array_contains"), ("list", "value")),
+    **dict.fromkeys(("list_slice", "array_slice"), ("list", "low", "high")),
+    "make_date": ("year", "month", "day"),
+    **dict.fromkeys(("date_part", "date_trunc"), ("unit", "at")),
+    "date_add": ("unit", "n", "at"),
+    "date_diff": ("unit", "start", "stop"),
+    **dict.fromkeys(("json.value", "json.query", "json.exists", "json.remove"), ("json", "path")),
+    **dict.fromkeys(("json.set", "json.insert", "json.replace"), ("json", "path", "value")),
+    **dict.fromkeys(("vector.dot", "vector.cosine_similarity", "vector.l2_distance", "vector.maxsim"), ("a", "b")),
+    "cast": ("value", "type"),
+}
+
 AGGREGATES = {
     "count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "percentilecont", "percentiledisc", "count_if", "json.array_agg", "json.object_agg",
 }

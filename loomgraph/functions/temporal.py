@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -60,10 +61,12 @@ def parse_duration(text: str) -> dict[str, int]:
             out[part] += int(n) * factor
         return out
     sign = -1 if m[1] else 1
-    y, mo, w, d, h, mi, s = (float(x or 0) for x in m.groups()[1:])
-    whole = int(h) * 3600 + int(mi) * 60
-    nanos = round(s * NANOS)
-    return {"months": sign * int(y * 12 + mo), "days": sign * int(w * 7 + d), "seconds": sign * whole, "nanos": sign * nanos}
+    y, mo, w, d, h, mi, s = (Fraction(x or 0) for x in m.groups()[1:])
+    # a fraction goes down to the next unit: a month has 30.436875 days, a day 24 hours
+    months = y * 12 + mo
+    days = w * 7 + d + (months - int(months)) * Fraction("30.436875")
+    nanos = ((days - int(days)) * 86_400 + h * 3600 + mi * 60 + s) * NANOS
+    return {"months": sign * int(months), "days": sign * int(days), "seconds": 0, "nanos": sign * round(nanos)}
 
 
 def duration_text(d: Column) -> Column:

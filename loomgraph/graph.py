@@ -33,6 +33,7 @@ class Graph:
         self.functions: dict[str, Callable[..., Column]] = {}
         self.procedures: dict[str, Callable[..., DataFrame]] = {}
         self._frames: dict[str, DataFrame] = {}
+        self._kinds: dict[str, str] = {}
 
     # --- what the planner asks ---
 
@@ -67,6 +68,12 @@ class Graph:
     def rows(self, m: NodeMapping) -> DataFrame:
         return self._source(m)
 
+    def key_kind(self, m: NodeMapping, planner: Planner) -> str:
+        """The type of a table's keys, asked once."""
+        if m.tag not in self._kinds:
+            self._kinds[m.tag] = str(self.rows(m).select(planner._key(m.key, False).alias("k")).schema["k"].dataType)
+        return self._kinds[m.tag]
+
     def edge_rows(self, e: EdgeMapping | ComputedMapping, planner: Planner) -> tuple[DataFrame, Column, Column, Column, dict[str, Column]]:
         """Rows of a relationship type with its ends, identity and properties."""
         if isinstance(e, ComputedMapping):
@@ -100,7 +107,7 @@ class Graph:
         sc = self.spark.sparkContext
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             where = sc.getConf().get("spark.checkpoint.dir", None)
-            if where is None and not sc.master.startswith("local"):
+            if where is None and sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="loomgraph-checkpoint-"))
         return df.checkpoint()

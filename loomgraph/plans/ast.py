@@ -138,6 +138,7 @@ class RelPat:
     variable: bool = False
     step_vars: tuple[str, str] | None = None
     step_where: Expr | None = None
+    mode: str | None = None  # of a variable length: TRAIL, WALK, SIMPLE, ACYCLIC, SHORTEST, ALL SHORTEST
 
 
 @dataclass(frozen=True)
@@ -147,6 +148,14 @@ class Part:
     selector: str | None = None  # None, "shortest", "all_shortest"
 
 
+@dataclass(frozen=True)
+class Named(Expr):
+    """An argument given by name."""
+
+    name: str
+    value: Expr
+
+
 @dataclass(frozen=True)
 class PatternComp(Expr):
     part: Part

@@ -42,7 +42,7 @@ class Node:
 
     @property
     def single(self) -> bool:
-        return len({m.label for m in self.mappings}) == 1
+        return len({m.tag for m in self.mappings}) == 1
 
 
 @dataclass
@@ -67,6 +67,9 @@ class RelList:
 
     column: str
     between: str
+    #: types of the properties that the relationships, and the nodes between, carry
+    props: dict[str, T.DataType] = field(default_factory=dict)
+    fields: dict[str, T.DataType] = field(default_factory=dict)
 
     def columns(self) -> list[str]:
         return [self.column, self.between]
@@ -77,6 +80,8 @@ class Path:
     """A path: names of its parts in the scope."""
 
     items: tuple[str, ...]
+    #: node properties that its value carries
+    fields: dict[str, T.DataType] = field(default_factory=dict)
 
     def columns(self) -> list[str]:
         return []

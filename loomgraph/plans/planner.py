@@ -25,7 +25,10 @@ from ..sources.types import fraction, is_duration, kind, numeric, whole
 from . import ast as A
 from .bindings import Binding, Node, Path, Rel, RelList, Value, col
 
+#: Functions whose result holds no element, whatever they are given.
+PLAIN = frozenset("size length id elementid type typeof label labels count sum avg min max exists is_trail is_acyclic reduce startnode endnode".split())
 UNROLL = 8  # longest variable-length range that is unrolled without asking whether it has ended
+STARTS, ENDS = frozenset(("startnode", "start_node", "edge_src")), frozenset(("endnode", "end_node", "edge_dst"))
 _names = itertools.count()
 
 
@@ -58,6 +61,15 @@ class Env:
         return Env(self.df, self.scope, self.locals | more, self.swap)
 
 
+def joint(a: T.DataType | None, b: T.DataType) -> T.DataType:
+    """One type for a property that several tables have."""
+    if a is None or a == b:
+        return b
+    if numeric(a) and numeric(b):
+        return T.LongType() if whole(a) and whole(b) else T.DoubleType()
+    return T.StringType()
+
+
 def conjuncts(e: A.Expr | None) -> list[A.Expr]:
     if e is None:
         return []
@@ -108,6 +120,10 @@ class Planner:
     def __init__(self, graph: Any, params: dict[str, Any]):
         self.graph, self.params, self.spark = graph, params, graph.spark
         self.used: dict[str, set[str]] = {}
+        #: property names read anywhere, and whether whole elements may be returned: what path values carry
+        self.keys: set[str] = set()
+        self.whole = False
+        self.fields: dict[str, T.DataType] = {}
 
     # === queries ===========================================================================
 
@@ -161,6 +177,17 @@ class Planner:
         """Which properties of each name are read; '*' where a whole value is."""
 
         def visit(e: Any) -> None:
+            if isinstance(e, A.Prop):
+                self.keys.add(e.key)
+            if isinstance(e, A.Index):
+                if isinstance(e.at, A.Lit) and isinstance(e.at.value, str):
+                    self.keys.add(e.at.value)
+                elif not isinstance(e.at, A.Lit):
+                    self.whole = True
+            if isinstance(e, A.Func) and e.name in ("properties", "property_map", "keys"):
+                self.whole = True
+            if isinstance(e, A.Projection) and (e.star or any(self._carries(i.expr) for i in e.items)):
+                self.whole = True
             if isinstance(e, A.Prop) and isinstance(e.owner, A.Var):
                 self.used.setdefault(e.owner.name, set()).add(e.key)
                 return
@@ -187,6 +214,20 @@ class Planner:
 
         visit(q)
 
+    def _carries(self, e: Any) -> bool:
+        """Whether the value of an expression may hold a whole node, relationship or path."""
+        if isinstance(e, A.Var):
+            return True
+        if isinstance(e, A.Func):
+            return e.name not in PLAIN and any(self._carries(a) for a in e.args)
+        if isinstance(e, (A.Index, A.Slice)):
+            return self._carries(e.owner)
+        if isinstance(e, A.ListComp):
+            return self._carries(e.source if e.out is None else e.out)
+        if isinstance(e, (A.ListLit, A.MapLit, A.Case)):
+            return any(self._carries(c) for c in children(e))
+        return isinstance(e, A.Bin) and e.op == "+" and (self._carries(e.left) or self._carries(e.right))
+
     def wanted(self, var: str | None, in_path: bool = False) -> bool:
         return in_path or "*" in self.used or (var is not None and bool(self.used.get(var)))
 
@@ -197,6 +238,8 @@ class Planner:
             op, x = tree
             if op == "is":
                 return x in m.labels
+            if op == "tag":
+                return x == m.tag
             if op == "not":
                 return not holds(x, m)
             return (all if op == "and" else any)(holds(t, m) for t in x)
@@ -215,12 +258,12 @@ class Planner:
         node = Node(f"{stem}_k", f"{stem}_l", mappings)
         for m in mappings:
             df = self.graph.rows(m)
-            cols = [self._key(m.key, text_key).alias(node.key), F.lit(m.label).alias(node.label)]
+            cols = [self._key(m.key, text_key).alias(node.key), F.lit(m.tag).alias(node.label)]
             for p, c in m.properties.items():
                 cols.append(col(c).alias(f"{stem}_p_{p}"))
                 types.setdefault(p, df.schema[c].dataType)
             for i, e in enumerate(self.graph.edges):
-                if isinstance(e, EdgeMapping) and len(mappings) == 1 and self._home(e) == m.label and e.table == m.table:
+                if isinstance(e, EdgeMapping) and len(mappings) == 1 and self._home(e) == m.tag and e.table == m.table:
                     other = e.target_key if self._source_home(e) else e.source_key
                     cols.append(self._key(other, False).alias(f"{stem}_f_{i}"))
                     node.held[i] = f"{stem}_f_{i}"
@@ -236,11 +279,11 @@ class Planner:
         return df, node
 
     def _text_keys(self, mappings: tuple[NodeMapping, ...]) -> bool:
-        kinds = {str(self.graph.rows(m).select(self._key(m.key, False).alias("k")).schema["k"].dataType) for m in mappings}
+        kinds = {self.graph.key_kind(m, self) for m in mappings}
         return len(kinds) > 1 and not all("Long" in k or "Integer" in k for k in kinds)
 
     def _source_home(self, e: EdgeMapping) -> bool:
-        return any(m.label == e.source and m.table == e.table and m.key == e.source_key for m in self.graph.nodes)
+        return any(m.tag == e.source and m.table == e.table and m.key == e.source_key for m in self.graph.nodes)
 
     def _home(self, e: EdgeMapping) -> str | None:
         """The label whose own table holds this edge as a foreign key."""
@@ -248,7 +291,7 @@ class Planner:
             return None
         if self._source_home(e):
             return e.source
-        if any(m.label == e.target and m.table == e.table and m.key == e.target_key for m in self.graph.nodes):
+        if any(m.tag == e.target and m.table == e.table and m.key == e.target_key for m in self.graph.nodes):
             return e.target
         return None
 
@@ -316,17 +359,22 @@ class Planner:
                 if i.var and i.var in state.scope and isinstance(i, A.RelPat) and i.variable:
                     raise SemanticFault(f"{i.var!r} is already bound")
         for part in parts:
-            df, scope = self.part(part, df, scope, rels, state)
+            df, scope = self.part(part, df, scope, rels, state, where)
         out = State(df, scope, state.order, state.corr, state.outer)
         return out
 
-    def part(self, part: A.Part, df: DataFrame | None, scope: dict[str, Binding], rels: list, state: State):
+    def part(self, part: A.Part, df: DataFrame | None, scope: dict[str, Binding], rels: list, state: State, where: A.Expr | None = None):
         items = list(part.items)
         bound = [i for i in range(0, len(items), 2) if items[i].var and items[i].var in scope]
         names: list[str | None] = [i.var for i in items]
         in_path = part.path is not None
+        if any(isinstance(i, A.RelPat) and i.mode in ("SHORTEST", "ALL SHORTEST") for i in items):
+            if len(items) != 3 or part.selector:
+                raise UnsupportedFault("SHORTEST needs a pattern of one relationship")
+            part = A.Part(part.path, part.items, "shortest" if items[1].mode == "SHORTEST" else "all_shortest")
+        self.fields = self.path_fields(part, scope) if in_path else {}
         if part.selector:
-            return self.shortest(part, df, scope, state)
+            return self.shortest(part, df, scope, state, where)
         start = bound[0] if bound else 0
         for i, item in enumerate(items):
             if names[i] is None:
@@ -339,16 +387,53 @@ class Planner:
         if part.path:
             if part.path in scope:
                 raise SemanticFault(f"{part.path!r} is already bound")
-            scope = scope | {part.path: Path(tuple(n for n in names))}
+            scope = scope | {part.path: Path(tuple(n for n in names), self.fields)}
         return df, scope
 
+    def involved(self, rel: A.RelPat) -> tuple[NodeMapping, ...]:
+        """The tables at the ends of the relationships that fit."""
+        ends = {x for e in self.graph.edges if not rel.types or e.type in rel.types for x in (e.source, e.target)}
+        return tuple(m for m in self.graph.nodes if m.tag in ends)
+
+    def path_fields(self, part: A.Part, scope: dict[str, Binding]) -> dict[str, T.DataType]:
+        """Node properties that a path's value carries: those read anywhere in the query, one type each."""
+        tables: dict[str, NodeMapping] = {}
+        for i, item in enumerate(part.items):
+            if isinstance(item, A.RelPat):
+                some = self.involved(item) if item.variable or part.selector else ()
+            else:
+                known = scope.get(item.var)
+                some = known.mappings if isinstance(known, Node) else self.candidates(item.labels)
+                for rel in part.items[max(0, i - 1) : i + 2 : 2]:
+                    if isinstance(rel, A.RelPat) and rel.types:
+                        near = {m.tag for m in self.involved(rel)}
+                        some = tuple(m for m in some if m.tag in near)
+            tables |= {m.tag: m for m in some}
+        out: dict[str, T.DataType] = {}
+        for m in tables.values():
+            wanted = {p: c for p, c in m.properties.items() if self.whole or p in self.keys}
+            if wanted:
+                schema = self.graph.rows(m).schema
+                for p, c in wanted.items():
+                    out[p] = joint(out.get(p), schema[c].dataType)
+        return out
+
+    def props_struct(self, props: dict[str, tuple[str, T.DataType]], fields: dict[str, T.DataType]) -> Column:
+        """The wanted properties of an entity as one struct; those it lacks are null."""
+        if not fields:
+            return F.struct(F.lit(None).cast("string").alias("_"))
+        return F.struct(*((col(props[p][0]).cast(t) if p in props else F.lit(None).cast(t)).alias(p) for p, t in fields.items()))
+
+    def node_value(self, n: Node, fields: dict[str, T.DataType]) -> Column:
+        return F.struct(col(n.key).cast("string").alias("_key"), col(n.label).alias("_label"), self.props_struct(n.props, fields).alias("properties"))
+
     def node(self, pat: A.NodePat, name: str, df: DataFrame | None, scope: dict[str, Binding], state: State, in_path: bool):
         if name in scope:
             b = scope[name]
             if not isinstance(b, Node):
                 if isinstance(b, Value) and isinstance(b.type, T.StructType) and "_key" in b.type.fieldNames():
                     scan, node = self.node_scan(self.candidates(pat.labels))
-                    df = df.join(scan, (col(node.key) == col(b.column).getField("_key")) & (col(node.label) == col(b.column).getField("_label")))
+                    df = df.join(scan, (col(node.key).cast("string") == col(b.column).getField("_key").cast("string")) & (col(node.label) == col(b.column).getField("_label")))
                     return df, scope | {name: node}
                 raise SemanticFault(f"{name!r} is not a node")
             if pat.labels is not None:
@@ -368,9 +453,9 @@ class Planner:
 
     def has_labels(self, b: Node, tree: Any) -> Column:
         op, x = tree
-        if op == "is":
-            ok = sorted({m.label for m in b.mappings if x in m.labels})
-            if b.single and ok:
+        if op in ("is", "tag"):
+            ok = sorted({m.tag for m in b.mappings if x in m.labels or (op == "tag" and x == m.tag)})
+            if set(ok) == {m.tag for m in b.mappings}:
                 return col(b.key).isNotNull()
             return col(b.label).isin(*ok) if ok else F.lit(False)
         if op == "not":
@@ -445,7 +530,7 @@ class Planner:
 
     def directed(self, rel: A.RelPat, direction: str, here: tuple[NodeMapping, ...], goal: tuple[NodeMapping, ...]):
         """Edges as (df, rel, near columns, far columns); both directions are a union."""
-        a, b = {m.label for m in here}, {m.label for m in goal}
+        a, b = {m.tag for m in here}, {m.tag for m in goal}
         ta, tb = self._text_keys(here) if here else False, self._text_keys(goal) if goal else False
         if direction == "out":
             got = self.edge_scan(rel, a, b, (ta, tb))
@@ -485,13 +570,13 @@ class Planner:
     def held_hop(self, rel, target, names, direction, df, scope, rels, state, in_path, goal, here):
         """One-join hops over a foreign key that lies in one endpoint's own row."""
         mine = [(i, e) for i, e in enumerate(self.graph.edges) if not rel.types or e.type in rel.types]
-        fits = [(i, e) for i, e in mine if (e.source if direction == "out" else e.target) in {m.label for m in here.mappings} and (e.target if direction == "out" else e.source) in {m.label for m in goal}]
+        fits = [(i, e) for i, e in mine if (e.source if direction == "out" else e.target) in {m.tag for m in here.mappings} and (e.target if direction == "out" else e.source) in {m.tag for m in goal}]
         if len(fits) != 1 or not isinstance(fits[0][1], EdgeMapping):
             return None
         i, e = fits[0]
         home = self._home(e)
         far_label = e.target if direction == "out" else e.source
-        far = tuple(m for m in goal if m.label == far_label)
+        far = tuple(m for m in goal if m.tag == far_label)
         if home is None or len(far) != 1 or not here.single:
             return None
         stem = fresh("r")
@@ -563,53 +648,94 @@ class Planner:
     # --- variable length -------------------------------------------------------------------
 
     def step_struct(self, r: Rel, with_props: bool) -> Column:
-        props = F.struct(*(col(c).alias(p) for p, (c, _) in r.props.items())) if r.props and with_props else F.struct(F.lit(None).cast("string").alias("_"))
+        props = {p: t for p, (_, t) in r.props.items()} if with_props else {}
         return F.struct(
             col(r.type).alias("_type"), col(r.id).cast("string").alias("_id"), col(r.source).cast("string").alias("_source"),
-            col(r.target).cast("string").alias("_target"), props.alias("properties"),
+            col(r.target).cast("string").alias("_target"), self.props_struct(r.props, props).alias("properties"),
         )
 
+    def steps(self, rel: A.RelPat, direction: str, show: bool, in_path: bool, stem: str):
+        """One row for each way along a fitting relationship: step, near key and label, far key and label, far node.
+
+        None where no relationship fits; the columns are named after `stem`.
+        """
+        tables = self.involved(rel)
+        edges = self.directed(rel, direction, tables, tables)
+        if edges is None:
+            return None
+        edf, r, near, far = edges
+        names = [f"{stem}_{x}" for x in ("s", "a", "al", "b", "bl", "bn")]
+        far_node = F.struct(col(far[0]).cast("string").alias("_key"), col(far[1]).alias("_label"), self.props_struct({}, {}).alias("properties"))
+        if in_path and self.fields:
+            scan, node = self.node_scan(tables)
+            edf = edf.join(scan, self.same_node(node, *far))
+            far_node = self.node_value(node, self.fields)
+        columns = [self.step_struct(r, show), col(near[0]), col(near[1]), col(far[0]), col(far[1]), far_node]
+        hops = edf.select(*(c.alias(n) for c, n in zip(columns, names, strict=True)), *(col(c) for c, _ in r.props.values()))
+        for key, e in rel.props:
+            hops = self.props_filter(r, ((key, e),), hops, {}, State(None)) if key in r.props else hops.where(F.lit(False))
+        if rel.step_where is not None:
+            step = names[0]
+            inner: dict[str, Binding] = {rel.step_vars[0]: Rel(step, step, step, step, (), r.props)}
+            hops = hops.where(self.arg(rel.step_where, Env(hops, inner)).col)
+        return hops.select(*names), names, r
+
     def var_hop(self, rel, target, names, direction, flipped, df, scope, rels, state, in_path, goal):
-        """Trails of a range of lengths: each step joins the edges and never repeats one."""
-        low, high = rel.low if rel.low is not None else 1, rel.high
+        """Walks of a range of lengths, each step a join with the edges. By mode: no relationship twice
+        (TRAIL, the default), no node twice (ACYCLIC), none but the first as the last (SIMPLE), or
+        any walk (WALK, which needs an upper bound)."""
+        low, high, mode = rel.low if rel.low is not None else 1, rel.high, rel.mode or "TRAIL"
+        if mode == "WALK" and high is None:
+            raise ArgumentFault("a WALK needs an upper bound")
         here, known = scope[names[0]], scope.get(names[2])
-        everyone = self.graph.nodes
-        edges = self.directed(rel, direction, everyone, everyone)
+        tables = self.involved(rel)
         stem = fresh("v")
         cur, label, trail, between = f"{stem}_c", f"{stem}_cl", f"{stem}_r", f"{stem}_n"
         real = None if names[1].startswith(" anon") else names[1]
         show = self.wanted(real, in_path)
-        any_text = self._text_keys(everyone)
+        if not isinstance(known, Node):
+            near = {m.tag for m in tables} | ({m.tag for m in here.mappings} if low == 0 else set())
+            goal = tuple(m for m in goal if m.tag in near)
+        any_text = self._text_keys(tuple(dict.fromkeys((*tables, *here.mappings, *goal))))
         start_key = col(here.key).cast("string") if any_text else col(here.key)
-        if edges is None:
-            kind_ = "array<struct<_type:string,_id:string,_source:string,_target:string,properties:struct<_:string>>>"
-        else:
-            edf, r, near, far = edges
-            kind_ = edf.select(F.array(self.step_struct(r, show)).alias("x")).schema["x"].dataType
-        at = df.select("*", start_key.alias(cur), col(here.label).alias(label), F.array().cast(kind_).alias(trail), F.array().cast("array<struct<_key:string,_label:string>>").alias(between))
+        got = self.steps(rel, direction, show, in_path, stem)
+        one = "struct<_type:string,_id:string,_source:string,_target:string,properties:struct<_:string>>"
+        fields = self.fields if in_path else {}
+        at_node = F.struct(start_key.cast("string").alias("_key"), col(here.label).alias("_label"), self.props_struct(here.props, fields).alias("properties"))
+        node_kind = df.select(at_node.alias("x")).schema["x"].dataType.simpleString()
+        kind_ = got[0].schema[got[1][0]].dataType.simpleString() if got is not None else one
+        met = f"{stem}_m"  # nodes met so far, the first included: for modes that never meet one twice
+        at = df.select("*", start_key.alias(cur), col(here.label).alias(label), F.array().cast(f"array<{kind_}>").alias(trail), F.array().cast(f"array<{node_kind}>").alias(between))
+        once = mode in ("ACYCLIC", "SIMPLE")
+        if once:
+            at = at.withColumn(met, F.array(F.struct(col(cur).alias("k"), col(label).alias("l"))))
         out = [at] if low == 0 else []
-        if edges is not None:
-            step, k, kl, f_, fl = (f"{stem}_{x}" for x in ("s", "a", "al", "b", "bl"))
-            hops = edf.select(self.step_struct(r, show).alias(step), col(near[0]).alias(k), col(near[1]).alias(kl), col(far[0]).alias(f_), col(far[1]).alias(fl), *(col(c) for c, _ in r.props.values()))
-            for key, e in rel.props:
-                hops = self.props_filter(r, ((key, e),), hops, {}, state) if key in r.props else hops.where(F.lit(False))
-            if rel.step_where is not None:
-                inner = {rel.step_vars[0]: Rel(step, step, step, step, (), r.props)}
-                hops = hops.where(self.arg(rel.step_where, Env(hops, inner)).col)
-            hops = hops.select(step, k, kl, f_, fl)
+        if got is not None:
+            hops, (step, k, kl, f_, fl, fn), _ = got
             depth, frontier = 0, at
             while high is None or depth < high:
-                grown = frontier.join(hops, (col(cur) == col(k)) & (col(label) == col(kl)))
-                grown = grown.where(~F.exists(col(trail), lambda x: (x["_type"] == col(step)["_type"]) & (x["_id"] == col(step)["_id"])))
-                for other, opat in rels:
+                grown = frontier.join(hops, (col(cur) == (col(k).cast("string") if any_text else col(k))) & (col(label) == col(kl)))
+                same = lambda x: (x["_type"] == col(step)["_type"]) & (x["_id"] == col(step)["_id"])
+                if mode != "WALK":
+                    grown = grown.where(~F.exists(col(trail), same))
+                for other, _ in rels if mode != "WALK" else ():
                     if isinstance(other, Rel):
                         grown = grown.where(~((col(step)["_type"] == col(other.type)) & (col(step)["_id"] == col(other.id).cast("string"))))
                     else:
-                        grown = grown.where(~F.exists(col(other.column), lambda x: (x["_type"] == col(step)["_type"]) & (x["_id"] == col(step)["_id"])))
-                hidden = {cur, label, trail, between}
+                        grown = grown.where(~F.exists(col(other.column), same))
+                hidden = {cur, label, trail, between, met}
                 keep = [col(c) for c in frontier.columns if c not in hidden]
-                been = F.array_append(col(between), F.struct(col(f_).cast("string").alias("_key"), col(fl).alias("_label"))) if show or in_path else col(between)
-                frontier = grown.select(*keep, col(f_).alias(cur), col(fl).alias(label), F.array_append(col(trail), col(step)).alias(trail), been.alias(between))
+                far_key = col(f_).cast("string") if any_text else col(f_)
+                more = []
+                if once:
+                    far = F.struct(far_key.alias("k"), col(fl).alias("l"))
+                    before = col(met) if mode == "ACYCLIC" else F.slice(col(met), 2, F.greatest(F.size(met), F.lit(1)))
+                    grown = grown.where(~F.array_contains(before, far))
+                    if mode == "SIMPLE":  # a walk that is back at its start ends there
+                        grown = grown.where((F.size(met) == 1) | (F.element_at(met, -1) != F.element_at(met, 1)))
+                    more = [F.array_append(col(met), far).alias(met)]
+                been = F.array_append(col(between), col(fn)) if in_path else col(between)
+                frontier = grown.select(*keep, far_key.alias(cur), col(fl).alias(label), F.array_append(col(trail), col(step)).alias(trail), been.alias(between), *more)
                 depth += 1
                 if high is None or high > UNROLL:
                     frontier = self.graph.settle(frontier)
@@ -620,46 +746,98 @@ class Planner:
         df = out[0] if out else at.where(F.lit(False))
         for o in out[1:]:
             df = df.unionByName(o)
-        rl = RelList(trail, between)
+        rl = RelList(trail, between, {p: t for p, (_, t) in got[2].props.items()} if got is not None and show else {}, fields)
         if flipped:
+            # read from the other end: the walk's first node is the last one, so nodes between shift by one
             df = df.withColumn(trail, F.reverse(col(trail)))
+            inner = F.slice(col(between), F.lit(1), F.greatest(F.lit(0), F.size(col(between)) - 1))
+            df = df.withColumn(between, F.when(F.size(col(between)) == 0, col(between)).otherwise(F.concat(F.reverse(inner), F.slice(col(between), -1, 1))))
         scope = scope | {names[1]: rl}
         rels.append((rl, rel))
         if isinstance(known, Node):
             key = col(known.key).cast("string") if any_text else col(known.key)
             df = df.where((key == col(cur)) & (col(known.label) == col(label)))
             return self.props_filter(known, target.props, df, scope, state), scope
+        sure = not any_text and all(getattr(e, "enforced", False) for e in self.graph.edges if not rel.types or e.type in rel.types)
+        if sure and low > 0 and not self.wanted(None if names[2].startswith(" anon") else names[2], in_path) and not target.props:
+            df = df.where(col(label).isin(*(m.tag for m in goal))) if len(goal) < len(tables) else df
+            return df, scope | {names[2]: Node(cur, label, goal)}
         scan, node = self.node_scan(goal)
         key = col(node.key).cast("string") if any_text else col(node.key)
         df = df.join(scan, (key == col(cur)) & (col(node.label) == col(label)))
         scope = scope | {names[2]: node}
         return self.props_filter(node, target.props, df, scope, state), scope
 
-    def shortest(self, part: A.Part, df, scope, state):
+    def shortest(self, part: A.Part, df, scope, state, where):
+        """Shortest paths between the ends: a breadth-first search from the distinct first nodes that
+        ends when every wanted last node is reached. Ends that are one node have a path only if the
+        lower bound is 0."""
         from ..operators import paths
 
         first, rel, last = part.items
         names = [i.var or fresh(" anon") for i in part.items]
         for pat, name in ((first, names[0]), (last, names[2])):
-            df, scope = self.node(pat, name, df, scope, state, True)
-        everyone = self.graph.nodes
-        edges = self.directed(rel, rel.direction, everyone, everyone)
-        if edges is None:
+            if name in scope and not isinstance(scope[name], Node):
+                raise SemanticFault(f"{name!r} is not a node")
+        low = 1 if rel.low is None else rel.low
+        high = rel.high if rel.variable else 1
+        direction = rel.direction
+        if names[0] not in scope and names[2] in scope:  # search from the end that is known
+            direction = {"out": "in", "in": "out"}.get(direction, direction)
+            first, last, names = last, first, names[::-1]
+            turned = True
+        else:
+            turned = False
+        df, scope = self.node(first, names[0], df, scope, state, True)
+        df = self.only(names[0], where, df, scope, state)
+        a, stem = scope[names[0]], fresh("p")
+        got = self.steps(rel, direction, True, part.path is not None, stem)
+        if got is None and low > 0:
             raise SemanticFault("no relationship fits the shortest path")
-        edf, r, near, far = edges
-        tag = lambda k, l: F.struct(col(l).alias("l"), col(k).cast("string").alias("k"))
-        steps = edf.select(tag(*near).alias("_a"), tag(*far).alias("_b"), self.step_struct(r, True).alias("_step"))
-        a, b = scope[names[0]], scope[names[2]]
-        seeds = df.select(tag(a.key, a.label).alias("_s")).distinct()
-        found = paths.shortest(seeds, steps, rel.high or 100, part.selector == "all_shortest")
-        stem = fresh("p")
-        found = found.select(col("_s").alias(f"{stem}_s"), col("_e").alias(f"{stem}_e"), col("_path").alias(f"{stem}_r"), F.array().cast("array<struct<_key:string,_label:string>>").alias(f"{stem}_n"))
-        df = df.join(found, (tag(a.key, a.label) == col(f"{stem}_s")) & (tag(b.key, b.label) == col(f"{stem}_e")))
-        scope = scope | {names[1]: RelList(f"{stem}_r", f"{stem}_n")}
+        tag = lambda n: F.struct(col(n.label).alias("l"), col(n.key).cast("string").alias("k"))
+        b = scope.get(names[2])
+        if b is not None:
+            df = self.props_filter(b, last.props, df, scope, state)
+            df = df.where(self.has_labels(b, last.labels)) if last.labels is not None else df
+            wanted, ends = df.select(tag(a).alias("_s"), tag(b).alias("_e")).distinct(), None
+        else:
+            goal = tuple(m for m in self.candidates(last.labels) if m in self.involved(rel) or low == 0)
+            ends, b = self.node_scan(goal)
+            ends = self.props_filter(b, last.props, ends, scope | {names[2]: b}, state)
+            ends = self.only(names[2], where, ends, {names[2]: b}, state)
+            wanted = ends.select(tag(b).alias("_e")).distinct()
+        seeds = df.select(tag(a).alias("_s")).distinct()
+        hops = None
+        if got is not None:
+            h, (step, k, kl, f_, fl, fn), r = got
+            pair = lambda x, y: F.struct(col(y).alias("l"), col(x).cast("string").alias("k"))
+            hops = h.select(pair(k, kl).alias("_a"), pair(f_, fl).alias("_b"), col(step).alias("_step"), col(fn).alias("_node"))
+        found = paths.shortest(seeds, wanted, hops, low, high, part.selector == "all_shortest", self.graph.settle)
+        steps, nodes = (F.reverse("_path"), F.reverse("_nodes")) if turned else (col("_path"), col("_nodes"))
+        if turned:  # without the node searched from, which is the pattern's last
+            size = F.size("_nodes")
+            nodes = F.when(size == 0, col("_nodes")).otherwise(F.concat(F.reverse(F.slice("_nodes", F.lit(1), F.greatest(size - 1, F.lit(0)))), F.slice("_nodes", -1, 1)))
+        found = found.select(col("_s").alias(f"{stem}_s"), col("_e").alias(f"{stem}_e"), steps.alias(f"{stem}_r"), nodes.alias(f"{stem}_n"))
+        if ends is not None:
+            found = found.join(ends, tag(b) == col(f"{stem}_e"))
+            df = df.join(found, tag(a) == col(f"{stem}_s"))
+            scope = scope | {names[2]: b}
+        else:
+            df = df.join(found, (tag(a) == col(f"{stem}_s")) & (tag(b) == col(f"{stem}_e")))
+        props = {p: t for p, (_, t) in r.props.items()} if got is not None else {}
+        rl = RelList(f"{stem}_r", f"{stem}_n", props, self.fields)
+        scope = scope | {names[1]: rl}
         if part.path:
-            scope = scope | {part.path: Path(tuple(names))}
+            scope = scope | {part.path: Path(tuple(names[::-1] if turned else names), self.fields)}
         return df, scope
 
+    def only(self, name: str, where: A.Expr | None, df: DataFrame, scope: dict[str, Binding], state: State) -> DataFrame:
+        """`df` with those conditions that read nothing but `name`: they bound a search before it begins."""
+        for c in conjuncts(where):
+            if variables(c) == {name} and not any(isinstance(x, (A.Sub, A.PatternComp)) for x in self._all(c)):
+                df = df.where(self.arg(c, Env(df, {name: scope[name]})).col.cast("boolean"))
+        return df
+
     # === OPTIONAL MATCH and subqueries =====================================================
 
     def linked(self, parts: tuple[A.Part, ...], where: A.Expr | None, state: State) -> tuple[State, Column] | None:
@@ -683,7 +861,7 @@ class Planner:
                 tree = i.labels
                 b = state.scope[i.var]
                 if tree is None and b.mappings:
-                    tree = ("or", tuple(("is", m.label) for m in b.mappings))
+                    tree = ("or", tuple(("tag", m.tag) for m in b.mappings))
                 return A.NodePat(swap[i.var], tree, i.props)
             return i
 
@@ -720,40 +898,79 @@ class Planner:
     def optional(self, m: A.Match, state: State) -> State:
         if state.df is None or not state.df.columns:
             state = State(self.spark.range(1).select(F.lit(1).alias(fresh("one"))), state.scope, state.order, state.corr, state.outer)
-        linked = self.linked(m.parts, m.where, state)
+        props = [e for part in m.parts for i in part.items for _, e in i.props]
+        reads = set().union(*(variables(e) for e in props), set()) & set(state.scope)
+        linked = None if reads else self.linked(m.parts, m.where, state)
         if linked is None:
-            raise UnsupportedFault("this OPTIONAL MATCH needs outer values inside a nested pattern")
+            return self.optional_per_import(m, state)
         inner, on = linked
         df = state.df.join(inner.df, on, "left")
         fresh_names = {n: b for n, b in inner.scope.items() if n not in state.scope}
         return State(df, state.scope | fresh_names, state.order, state.corr, state.outer)
 
+    def optional_per_import(self, m: A.Match, state: State) -> State:
+        """An optional pattern that reads further outer values: matched once per distinct import, joined back."""
+        names = sorted(n for n in self._outer_names((m.parts, m.where)) if n in state.scope)
+        inner, link = self.imported(state, names)
+        got = self.filtered(self.pattern(m.parts, inner, m.where), m.where)
+        new = {n: b for n, b in got.scope.items() if n not in state.scope}
+        keep = list(dict.fromkeys(c for b in new.values() for c in b.columns()))
+        if not link:
+            df = state.df.join(got.df.select(*(col(c) for c in keep)), F.lit(True), "left")
+        else:
+            df = self.joined_back(state.df, got.df, link, "left", keep)
+        return State(df, state.scope | new, state.order, state.corr, state.outer)
+
     def prepared(self, state: State, exprs: list[A.Expr]) -> tuple[State, Env]:
         """Join what subqueries in the expressions yield and make an environment that knows them."""
         df, swap = state.df, {}
         for e in exprs:
             for sub in self._all(e):
                 key = repr(sub)
-                if key in swap or not isinstance(sub, (A.Sub, A.PatternComp)):
+                if key in swap:
+                    continue
+                if isinstance(sub, A.Func) and sub.name in STARTS | ENDS and isinstance(sub.args[0], A.Var) and isinstance(state.scope.get(sub.args[0].name), Rel):
+                    df, node = self.end_of(state.scope[sub.args[0].name], sub.name in STARTS, df)
+                    c = self.value_of(node)
+                    swap[key] = (c, df.select(c.alias("x")).schema["x"].dataType)
+                    continue
+                if not isinstance(sub, (A.Sub, A.PatternComp)):
                     continue
                 df, c, t = self.subquery(sub, State(df, state.scope, state.order, state.corr, state.outer))
                 swap[key] = (c, t)
         return State(df, state.scope, state.order, state.corr, state.outer), Env(df, state.scope, {}, swap)
 
+    def end_of(self, r: Rel, start: bool, df: DataFrame) -> tuple[DataFrame, Node]:
+        """Join the node at one end of a relationship."""
+        fits = [e for e in self.graph.edges if not r.types or e.type in r.types]
+        tags = {e.source if start else e.target for e in fits}
+        scan, node = self.node_scan(tuple(m for m in self.graph.nodes if m.tag in tags))
+        key = r.source if start else r.target
+        on = col(node.key).cast("string") == col(key).cast("string") if df.schema[key].dataType != scan.schema[node.key].dataType else col(node.key) == col(key)
+        if r.ends is not None and not node.single:
+            on = on & (col(node.label) == col(r.ends[0 if start else 1]))
+        return df.join(scan, on, "left"), node
+
     def subquery(self, sub: A.Sub | A.PatternComp, state: State) -> tuple[DataFrame, Column, T.DataType]:
         if state.df is None or not state.df.columns:
             state = State(self.spark.range(1).select(F.lit(1).alias(fresh("one"))), state.scope)
         if isinstance(sub, A.Sub) and sub.query is not None:
-            return self.sub_full(sub, state)
+            return self.sub_full(sub.kind, sub.query, state)
         parts = sub.parts if isinstance(sub, A.Sub) else (sub.part,)
         outer = dict.fromkeys(i.var for p in parts for i in p.items if i.var and isinstance(state.scope.get(i.var), Node))
+        body = [*conjuncts(sub.where), *([sub.out] if getattr(sub, "out", None) is not None else []), *(e for part in parts for i in part.items for _, e in i.props)]
+        reads = set().union(*(variables(c) for c in body), set()) & set(state.scope)
+        bound = {i.var for part in parts for i in part.items if i.var and i.var in state.scope}
+        if reads - set(outer) or bound - set(outer):  # outer values beside the pattern's nodes: once per distinct import
+            item = A.Item(sub.out if getattr(sub, "out", None) is not None else A.Lit(1), "one")
+            match = A.Match(parts, sub.where, False)
+            whole = A.Query((A.Single((match, A.Return(A.Projection((item,), False, False, (), None, None)))),), ())
+            kind_ = "collect" if isinstance(sub, A.PatternComp) else sub.kind
+            return self.sub_full(kind_, whole, state)
         linked = self._linked_many(parts, sub.where, state)
         if linked is None:
-            raise UnsupportedFault("this subquery needs outer values that are no nodes of its pattern")
+            raise UnsupportedFault("a subquery whose pattern starts from a value")
         inner, on = linked
-        simple = not (set().union(*(variables(c) for c in conjuncts(sub.where)), set()) & set(state.scope) - set(outer))
-        if not simple:
-            raise UnsupportedFault("a subquery outside WHERE may read outer nodes of its own pattern only")
         keys = []
         for n in outer:
             keys += [inner.scope[n].key, inner.scope[n].label]
@@ -778,25 +995,26 @@ class Planner:
         n = F.coalesce(col(name), F.lit(0).cast("long"))
         return (df, n > 0, T.BooleanType()) if sub.kind == "exists" else (df, n, T.LongType())
 
-    def sub_full(self, sub: A.Sub, state: State) -> tuple[DataFrame, Column, T.DataType]:
+    def sub_full(self, what: str, q: A.Query, state: State) -> tuple[DataFrame, Column, T.DataType]:
         """EXISTS, COUNT or COLLECT over a whole query: run once per distinct import, then joined."""
-        q = sub.query
         free = sorted(n for n in self._outer_names(q) if n in state.scope)
         inner_state, link = self.imported(state, free)
         got = self.query(self._with_return(q), inner_state)
         name = fresh("q")
         grouped = got.df.groupBy(*inner_state.corr)
-        if sub.kind == "collect":
+        if what == "collect":
             only = next(iter(got.scope))
             c = self.value_of(got.scope[only])
-            grouped = grouped.agg(F.collect_list(c).alias(name))
+            kind_ = got.df.select(c.alias("x")).schema["x"].dataType
+            grouped = grouped.agg(F.collect_list(F.struct(c.alias("v"))).alias(name))
         else:
             grouped = grouped.agg(F.count(F.lit(1)).alias(name))
         df = self.joined_back(state.df, grouped, link, "left", [name])
-        if sub.kind == "collect":
-            return df, F.coalesce(col(name), F.array().cast(grouped.schema[name].dataType)), grouped.schema[name].dataType
+        if what == "collect":
+            t = T.ArrayType(kind_)
+            return df, F.coalesce(F.transform(col(name), lambda v: v["v"]), F.array().cast(t)), t
         n = F.coalesce(col(name), F.lit(0).cast("long"))
-        return (df, n > 0, T.BooleanType()) if sub.kind == "exists" else (df, n, T.LongType())
+        return (df, n > 0, T.BooleanType()) if what == "exists" else (df, n, T.LongType())
 
     def _with_return(self, q: A.Query) -> A.Query:
         parts = []
@@ -827,6 +1045,7 @@ class Planner:
 
     def imported(self, state: State, names: list[str]) -> tuple[State, list[tuple[str, str]]]:
         """Distinct imported values as a state of their own; hidden copies are the way back."""
+        names = list(dict.fromkeys(x for n in names for x in ((n, *state.scope[n].items) if isinstance(state.scope[n], Path) else (n,))))
         if not names:
             return State(None), []
         cols = list(dict.fromkeys(c for n in names for c in state.scope[n].columns()))
@@ -909,7 +1128,7 @@ class Planner:
         if isinstance(arg.type, T.NullType):
             arg = Arg(F.array().cast("array<string>"), T.ArrayType(T.StringType()))
         if not isinstance(arg.type, T.ArrayType):
-            arg = Arg(F.array(arg.col), T.ArrayType(arg.type))
+            arg = Arg(F.when(arg.col.isNotNull(), F.array(arg.col)), T.ArrayType(arg.type))
         pos = fresh("pos")
         df = df.select("*", F.posexplode(arg.col).alias(pos, name))
         scope = state.scope | {c.var: Value(name, arg.type.elementType)}
@@ -1090,11 +1309,14 @@ class Planner:
                 swap[repr(i.expr)] = (col(name), a.type)
         env = Env(df, state.scope, {}, env.swap)
         aggs, types = [], {}
+        self.discs: dict[str, Column] = {}
         for key, (name, f) in found.items():
             c, t, default = self.agg_column(f, env, state)
             aggs.append(c.alias(name))
             types[name] = (t, default)
             swap[key] = (F.coalesce(col(name), default) if default is not None else col(name), t)
+        if self.discs:
+            df = df.withColumns(self.discs)
         group = list(dict.fromkeys([*state.corr, *group]))
         firsts = [F.first(col(c)).alias(c) for c in dict.fromkeys(firsts) if c not in group]
         grouped = df.groupBy(*(col(g) for g in group)).agg(*aggs, *firsts) if group else df.agg(*aggs)
@@ -1142,7 +1364,7 @@ class Planner:
             b = env.scope[first.name]
             if f.name == "count":
                 ident = [col(c) for c in self._identity(b)]
-                return (F.count_distinct(*ident) if f.distinct else F.count(ident[-1] if isinstance(b, Rel) else ident[0])), T.LongType(), zero
+                return (F.count_distinct(*ident) if f.distinct else F.count(ident[0])), T.LongType(), zero
         a = self.arg(first, env)
         c = a.col
         if f.name == "count":
@@ -1157,7 +1379,7 @@ class Planner:
                 raise TypeFault("sum() needs numbers")
             return (F.sum_distinct(c) if f.distinct else F.sum(c.cast(t))).cast(t), t, F.lit(0).cast(t)
         if f.name == "avg":
-            return (self._distinct_avg(c) if f.distinct else F.avg(c)), T.DoubleType(), None
+            return (F.sum_distinct(c.cast("double")) / F.count_distinct(c) if f.distinct else F.avg(c)), T.DoubleType(), None
         if f.name in ("min", "max"):
             return (F.min(c) if f.name == "min" else F.max(c)), a.type, None
         if f.name == "stdev":
@@ -1170,9 +1392,9 @@ class Planner:
                 raise ArgumentFault("a percentile lies between 0 and 1")
             if f.name == "percentilecont":
                 return F.percentile(c.cast("double"), F.lit(float(p))), T.DoubleType(), None
-            values = F.sort_array(F.collect_list(c))
-            at = F.greatest(F.lit(0), F.ceil(F.lit(float(p)) * F.size(values)).cast("int") - 1)
-            return F.get(values, at), a.type, None
+            if not numeric(a.type):
+                raise TypeFault("percentileDisc() needs numbers")
+            return self._disc(c, float(p)).cast(a.type), a.type, None
         if f.name == "collect":
             t = T.ArrayType(a.type)
             keys = [(n, d) for n, d in state.order if n in env.df.columns]
@@ -1189,9 +1411,11 @@ class Planner:
             return F.to_json(F.map_from_entries(F.collect_list(F.struct(c.cast("string"), v.col)))), T.StringType(), F.lit("{}")
         raise UnsupportedFault(f"aggregate {f.name}")
 
-    def _distinct_avg(self, c: Column) -> Column:
-        xs = F.collect_set(c.cast("double"))
-        return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs))
+    def _disc(self, c: Column, p: float) -> Column:
+        """The least value at or below which a share `p` lies: Spark's own aggregate, which counts equal values together."""
+        name = fresh("d")
+        self.discs[name] = c
+        return F.expr(f"percentile_disc({p!r}D) WITHIN GROUP (ORDER BY `{name}`)")
 
     def _ordered_list(self, c: Column, keys: list[tuple[str, bool]]) -> Column:
         """collect() in the order of a preceding sort: Spark's own order of groups is not kept."""
@@ -1297,36 +1521,60 @@ class Planner:
             return F.when(col(b.id).isNotNull(), self.step_struct(b, True))
         if isinstance(b, RelList):
             return col(b.column)
-        nodes, rels = [], None
-        for n in b.items:
-            x = scope[n]
+        nodes, rels, fields = [], None, self.rel_fields(b, scope)
+        text = ("_type", "_id", "_source", "_target")
+        for n, before in zip(b.items, (None, *b.items), strict=False):
+            x, walk = scope[n], scope.get(before)
             if isinstance(x, Node):
-                nodes.append(F.array(F.struct(col(x.key).cast("string").alias("_key"), col(x.label).alias("_label"))))
+                one = F.array(self.node_value(x, b.fields))
+                # a walk of no step ends where it began
+                nodes.append(F.when(F.size(col(walk.column)) > 0, one).otherwise(F.slice(one, 1, 0)) if isinstance(walk, RelList) else one)
             elif isinstance(x, Rel):
-                one = F.array(F.struct(col(x.type).alias("_type"), col(x.id).cast("string").alias("_id"), col(x.source).cast("string").alias("_source"), col(x.target).cast("string").alias("_target")))
+                one = F.array(F.struct(col(x.type).alias("_type"), *(col(c).cast("string").alias(t) for t, c in zip(text[1:], (x.id, x.source, x.target), strict=True)), self.props_struct(x.props, fields).alias("properties")))
                 rels = one if rels is None else F.concat(rels, one)
             else:
-                some = F.transform(col(x.column), lambda s: F.struct(s["_type"].alias("_type"), s["_id"].alias("_id"), s["_source"].alias("_source"), s["_target"].alias("_target")))
+                some = self._plain_steps(x, fields)
                 rels = some if rels is None else F.concat(rels, some)
                 nodes.append(F.slice(col(x.between), F.lit(1), F.greatest(F.lit(0), F.size(col(x.between)) - 1)))
         if rels is None:
-            rels = F.array().cast("array<struct<_type:string,_id:string,_source:string,_target:string>>")
+            rels = F.array().cast("array<struct<_type:string,_id:string,_source:string,_target:string,properties:struct<_:string>>>")
         return F.struct(F.concat(*nodes).alias("nodes"), rels.alias("relationships"))
 
+    def _plain_steps(self, x: RelList, fields: dict[str, T.DataType]) -> Column:
+        """The relationships of a walk as elements with the wanted properties."""
+
+        def one(s: Column) -> Column:
+            props = [(s["properties"][p].cast(t) if p in x.props else F.lit(None).cast(t)).alias(p) for p, t in fields.items()]
+            names = ("_type", "_id", "_source", "_target")
+            return F.struct(*(s[n].alias(n) for n in names), F.struct(*(props or [F.lit(None).cast("string").alias("_")])).alias("properties"))
+
+        return F.transform(col(x.column), one)
+
+    def rel_fields(self, b: Path, scope: dict[str, Binding]) -> dict[str, T.DataType]:
+        out: dict[str, T.DataType] = {}
+        for n in b.items:
+            x = scope[n]
+            props = {p: t for p, (_, t) in x.props.items()} if isinstance(x, Rel) else x.props if isinstance(x, RelList) else {}
+            for p, t in props.items():
+                if self.whole or p in self.keys:
+                    out[p] = joint(out.get(p), t)
+        return out
+
     def value_type(self, b: Binding, scope: dict[str, Binding]) -> T.DataType:
         if isinstance(b, Value):
             return b.type
         text = lambda *ns: [T.StructField(n, T.StringType()) for n in ns]
-        props = lambda p: T.StructType([T.StructField(k, t) for k, (_, t) in p.items()] or text("_"))
+        props = lambda p: T.StructField("properties", T.StructType([T.StructField(k, t) for k, t in p.items()] or text("_")))
+        plain = lambda p: {k: t for k, (_, t) in p.items()}
         if isinstance(b, Node):
-            return T.StructType([T.StructField("_key", T.StringType() if not b.mappings else T.LongType()), *text("_label"), T.StructField("properties", props(b.props))])
-        step = T.StructType([*text("_type", "_id", "_source", "_target"), T.StructField("properties", props(b.props if isinstance(b, Rel) else {}))])
+            return T.StructType([T.StructField("_key", T.StringType() if not b.mappings else T.LongType()), *text("_label"), props(plain(b.props))])
+        step = lambda p: T.StructType([*text("_type", "_id", "_source", "_target"), props(p)])
         if isinstance(b, Rel):
-            return step
+            return step(plain(b.props))
         if isinstance(b, RelList):
-            return T.ArrayType(step)
-        node = T.StructType(text("_key", "_label"))
-        return T.StructType([T.StructField("nodes", T.ArrayType(node)), T.StructField("relationships", T.ArrayType(T.StructType(text("_type", "_id", "_source", "_target"))))])
+            return T.ArrayType(step(b.props))
+        node = T.StructType([*text("_key", "_label"), props(b.fields)])
+        return T.StructType([T.StructField("nodes", T.ArrayType(node)), T.StructField("relationships", T.ArrayType(step(self.rel_fields(b, scope))))])
 
     def _prop(self, e: A.Prop, env: Env) -> Arg:
         if isinstance(e.owner, A.Var) and e.owner.name not in env.locals:
@@ -1345,8 +1593,10 @@ class Planner:
         if isinstance(o.type, T.StructType):
             fields = {f.name: f.dataType for f in o.type.fields}
             if "properties" in fields and ("_label" in fields or "_type" in fields):
-                inner = {f.name: f.dataType for f in fields["properties"].fields}
+                inner = {f.name: f.dataType for f in fields["properties"].fields if f.name != "_"}
                 return Arg(o.col.getField("properties").getField(key), inner[key]) if key in inner else Arg(V.null(), T.NullType())
+            if "_key" in fields and key not in fields:
+                raise UnsupportedFault(f"property {key!r} of an element that has only its key here")
             return Arg(o.col.getField(key), fields[key]) if key in fields else Arg(V.null(), T.NullType())
         if isinstance(o.type, T.MapType):
             return Arg(F.try_element_at(o.col, F.lit(key)), o.type.valueType)
@@ -1378,6 +1628,8 @@ class Planner:
             return Arg(x & y if e.op == "AND" else x | y if e.op == "OR" else (x & ~y) | (~x & y), yes)
         if e.op in ("=", "<>"):
             same = self.entity_equal(e, env)
+            if same is None:
+                same = self.element_equal(a, b)
             same = V.equal(a, b) if same is None else same
             return Arg(same if e.op == "=" else ~same, yes)
         if e.op in ("<", "<=", ">", ">="):
@@ -1390,7 +1642,7 @@ class Planner:
             fn = {"STARTS": F.startswith, "ENDS": F.endswith, "CONTAINS": F.contains}[e.op]
             return Arg(fn(a.col, b.col), yes)
         if e.op == "=~":
-            return Arg(F.regexp_like(a.col, F.concat(F.lit("^(?:"), b.col, F.lit(")$"))), yes)
+            return Arg(F.regexp_like(a.col, F.concat(F.lit(r"\A(?:"), b.col, F.lit(r")\z"))), yes)
         return Arg(V.arithmetic(e.op, a, b), self.arithmetic_type(e.op, a, b))
 
     def arithmetic_type(self, op: str, a: Arg, b: Arg) -> T.DataType:
@@ -1418,6 +1670,15 @@ class Planner:
             return self.typed(V.arithmetic(op, Arg(V.null().cast(a.type), a.type), Arg(V.null().cast(b.type), b.type)), Env(None, {}))
         return T.DoubleType()
 
+    def element_equal(self, a: Arg, b: Arg) -> Column | None:
+        """Elements are equal by identity, whatever properties their values carry."""
+        if not (isinstance(a.type, T.StructType) and isinstance(b.type, T.StructType)):
+            return None
+        for x, y in (("_key", "_label"), ("_id", "_type")):
+            if all({x, y} <= set(t.fieldNames()) for t in (a.type, b.type)):
+                return (a.col[x].cast("string") == b.col[x].cast("string")) & (a.col[y] == b.col[y])
+        return None
+
     def entity_equal(self, e: A.Bin, env: Env) -> Column | None:
         got = [env.scope.get(x.name) if isinstance(x, A.Var) and x.name not in env.locals else None for x in (e.left, e.right)]
         if all(isinstance(b, Node) for b in got):
@@ -1540,7 +1801,8 @@ class Planner:
         if got is not None:
             return got
         args: list[Arg] = []
-        for i, x in enumerate(e.args):
+        e = self.positional(e)
+        for x in e.args:
             if isinstance(x, A.Lambda):
                 args.append(self.lambda_arg(x, args[0], env))
             else:
@@ -1548,6 +1810,26 @@ class Planner:
         c = registry.build(e.name, args, self.graph.functions)
         return Arg(c, self.function_type(e, args, env))
 
+    def positional(self, e: A.Func) -> A.Func:
+        """Arguments given by name, in the function's own order."""
+        if not any(isinstance(x, A.Named) for x in e.args):
+            return e
+        names = registry.PARAMETERS.get(e.name)
+        if names is None:
+            raise ArgumentFault(f"{e.name}() has no named arguments")
+        out: dict[str, A.Expr] = {}
+        for i, x in enumerate(e.args):
+            name = x.name if isinstance(x, A.Named) else names[i] if i < len(names) else ""
+            if name not in names or name in out:
+                raise ArgumentFault(f"{e.name}() takes {', '.join(names)}, each once")
+            out[name] = x.value if isinstance(x, A.Named) else x
+        given = [n in out for n in names]
+        if given != sorted(given, reverse=True):
+            raise ArgumentFault(f"{e.name}() lacks {names[given.index(False)]}")
+        import dataclasses
+
+        return dataclasses.replace(e, args=tuple(out[n] for n in names if n in out))
+
     def lambda_arg(self, x: A.Lambda, xs: Arg, env: Env) -> Arg:
         t = xs.type.elementType if isinstance(xs.type, T.ArrayType) else T.NullType()
         names = x.params
@@ -1570,26 +1852,34 @@ class Planner:
         c = registry.build(e.name, holders, self.graph.functions)
         return self.typed(c, Env(None, {}) if not any(a.fn for a in args) else env)
 
+    def labels_of(self, tag: Column, mappings: tuple[NodeMapping, ...], n: str) -> Arg:
+        """The first label, or all of them, of the table that a tag names."""
+        if n in ("label", "cypher_label"):
+            if all(m.tag == m.label for m in mappings):
+                return Arg(tag, T.StringType())
+            of = lambda m: F.lit(m.label)
+        else:
+            of = lambda m: F.array(*(F.lit(x) for x in m.labels)).cast("array<string>")
+        c = F.lit(None)
+        for m in mappings:
+            c = F.when(tag == m.tag, of(m)).otherwise(c)
+        return Arg(c, T.StringType() if n in ("label", "cypher_label") else T.ArrayType(T.StringType()))
+
     def entity_function(self, e: A.Func, env: Env) -> Arg | None:
         """Functions of nodes, relationships and paths."""
         b = None
         if e.args and isinstance(e.args[0], A.Var) and e.args[0].name not in env.locals:
             b = env.scope.get(e.args[0].name)
-        text, strings = T.StringType(), T.ArrayType(T.StringType())
+        text = T.StringType()
         n = e.name
         if isinstance(b, Node):
             if n in ("id", "internal_id", "cypher_id", "rowid"):
                 return Arg(col(b.key), self.typed(col(b.key), env))
             if n == "elementid":
                 return Arg(F.concat_ws(":", col(b.label), col(b.key).cast("string")), text)
-            if n in ("label", "cypher_label"):
-                return Arg(F.when(col(b.key).isNotNull(), col(b.label)), text)
-            if n in ("labels", "cypher_labels"):
-                c = None
-                for m in b.mappings:
-                    some = F.array(*(F.lit(x) for x in m.labels))
-                    c = F.when(col(b.label) == m.label, some) if c is None else c.when(col(b.label) == m.label, some)
-                return Arg(F.when(col(b.key).isNotNull(), c), strings)
+            if n in ("label", "cypher_label", "labels", "cypher_labels"):
+                got = self.labels_of(col(b.label), b.mappings, n)
+                return Arg(F.when(col(b.key).isNotNull(), got.col), got.type)
             if n in ("properties", "property_map"):
                 v = self.value_of(b).getField("properties")
                 return Arg(v, T.StructType([T.StructField(k, t) for k, (_, t) in b.props.items()]))
@@ -1600,8 +1890,8 @@ class Planner:
                 return Arg(col(b.id), self.typed(col(b.id), env))
             if n in ("type", "label", "cypher_type"):
                 return Arg(F.when(col(b.id).isNotNull(), col(b.type)), text)
-            if n in ("startnode", "start_node", "edge_src", "endnode", "end_node", "edge_dst"):
-                c = col(b.source if n in ("startnode", "start_node", "edge_src") else b.target)
+            if n in STARTS | ENDS:  # inside a list expression or an aggregate: the key alone
+                c = col(b.source if n in STARTS else b.target)
                 return Arg(F.struct(c.alias("_key")), T.StructType([T.StructField("_key", self.typed(c, env))]))
             if n in ("properties", "property_map"):
                 return Arg(self.value_of(b).getField("properties"), T.StructType([T.StructField(k, t) for k, (_, t) in b.props.items()]))
@@ -1620,10 +1910,12 @@ class Planner:
             if n in ("is_trail", "is_acyclic"):
                 items = v.col.getField("relationships" if n == "is_trail" else "nodes")
                 return Arg(F.size(F.array_distinct(items)) == F.size(items), T.BooleanType())
-        if n in ("type", "label", "id") and len(e.args) == 1 and b is None:
+        if n in ("type", "label", "labels", "id") and len(e.args) == 1 and b is None:
             a = self.arg(e.args[0], env)
             if isinstance(a.type, T.StructType):
                 names = a.type.fieldNames()
+                if n in ("label", "labels") and "_label" in names:
+                    return self.labels_of(a.col.getField("_label"), self.graph.nodes, n)
                 field_ = {"type": "_type", "label": "_type" if "_type" in names else "_label", "id": "_id" if "_id" in names else "_key"}[n]
                 if field_ in names:
                     return Arg(a.col.getField(field_), a.type[field_].dataType)

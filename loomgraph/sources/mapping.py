@@ -22,13 +22,19 @@ class NodeMapping:
     #: SQL text over the registered tables that stands for `table`, and a filter on its rows.
     query: str | None = None
     where: str | None = None
+    #: what tells this table's nodes from all others and names it in edges; the label where not given
+    name: str | None = None
+
+    @property
+    def tag(self) -> str:
+        return self.label if self.name is None else self.name
 
     @property
     def labels(self) -> tuple[str, ...]:
-        return (self.label, *self.extra_labels)
+        return tuple(x for x in (self.label, *self.extra_labels) if x)
 
     def __hash__(self) -> int:
-        return hash((self.label, self.table))
+        return hash((self.tag, self.table))
 
 
 @dataclass(frozen=True)
@@ -85,7 +91,7 @@ class Mapping:
 
     def node(self, label: str) -> NodeMapping:
         for n in self.nodes:
-            if n.label == label:
+            if n.tag == label:
                 return n
         raise SemanticFault(f"no node mapping for label {label!r}")
 
@@ -94,9 +100,9 @@ class Mapping:
         for n in self.nodes:
             if not n.key or len(set(n.key)) != len(n.key):
                 raise SemanticFault(f"label {n.label!r} needs distinct key columns")
-            if (n.label, n.table, n.where) in seen:
-                raise SemanticFault(f"label {n.label!r} is mapped twice to {n.table!r}")
-            seen.add((n.label, n.table, n.where))
+            if n.tag in seen:
+                raise SemanticFault(f"{n.tag!r} is mapped twice; give one of the tables a name of its own")
+            seen.add(n.tag)
         for e in (*self.edges, *self.computed):
             self.node(e.source), self.node(e.target)
         return self

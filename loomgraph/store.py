@@ -1,8 +1,14 @@
 """A managed graph: versioned Parquet tables that Cypher writes to.
 
 Each statement reads one immutable version and, if it writes, makes the next one: changed tables are
-written to new folders and a manifest is renamed into place last, so readers never see half a
-version. One writer at a time; a commit that finds another revision than it began with fails.
+written to new folders, and a manifest named after the revision is put into place last by a rename
+that fails where the name is taken. So readers never see half a version, a crash leaves the earlier
+one, and of two writers that began at one revision the second to commit fails. The version is the
+manifest of the greatest number. Inside a transaction a statement that fails latches it: nothing but
+a rollback is taken until then.
+
+A table holds the nodes of one set of labels, so no set hides another; setting or removing a label
+moves the node's row, and its relationships, to the tables of its new set.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         self.revision, self.tables = self._load()
         self.pending: dict[str, DataFrame] | None = None
+        self.failed = False
 
     # --- versions ---
 
@@ -40,22 +47,29 @@ class Store:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _load(self) -> tuple[int, dict[str, str]]:
-        fs, p = self._fs(f"{self.path}/manifest.json")
+        fs, p = self._fs(f"{self.path}/manifests")
         if not fs.exists(p):
             return 0, {}
-        doc = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json", wholetext=True).collect()))
+        names = (x.getPath().getName() for x in fs.listStatus(p))
+        numbers = [int(n.split(".")[0]) for n in names if n.endswith(".json") and n.split(".")[0].isdigit()]
+        if not numbers:
+            return 0, {}
+        rows = self.spark.read.text(f"{self.path}/manifests/{max(numbers):012d}.json", wholetext=True).collect()
+        doc = json.loads("\n".join(r.value for r in rows))
         return doc["revision"], doc["tables"]
 
     def begin(self) -> None:
         if self.pending is not None:
             raise SemanticFault("a transaction is open already")
-        self.pending = {}
+        self.pending, self.failed = {}, False
 
     def rollback(self) -> None:
-        self.pending = None
+        self.pending, self.failed = None, False
 
     def commit(self) -> int:
         """Write the pending tables and publish the next revision."""
+        if self.failed:
+            raise SemanticFault("a statement of this transaction failed; roll it back")
         pending, self.pending = self.pending or {}, None
         now, _ = self._load()
         if now != self.revision:
@@ -65,17 +79,28 @@ class Store:
             where = f"{self.path}/data/{uuid.uuid4().hex}"
             df.write.parquet(where)
             tables[name] = where
-        doc = json.dumps({"revision": self.revision + 1, "tables": tables})
-        fs, tmp = self._fs(f"{self.path}/manifest-{uuid.uuid4().hex}.tmp")
+        self._publish(self.revision + 1, json.dumps({"revision": self.revision + 1, "tables": tables}))
+        self.revision, self.tables = self.revision + 1, tables
+        return self.revision
+
+    def _publish(self, number: int, doc: str) -> None:
+        """Put a whole manifest into place unless its number is taken."""
+        fs, tmp = self._fs(f"{self.path}/staged/{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         out.write(bytearray(doc.encode()))
         out.close()
-        _, final = self._fs(f"{self.path}/manifest.json")
-        fs.delete(final, False)
-        if not fs.rename(tmp, final):
-            raise ConstraintFault("the manifest could not be published")
-        self.revision, self.tables = self.revision + 1, tables
-        return self.revision
+        _, folder = self._fs(f"{self.path}/manifests")
+        fs.mkdirs(folder)
+        jvm = self.spark._jvm
+        _, final = self._fs(f"{self.path}/manifests/{number:012d}.json")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+        try:
+            files.rename(fs.makeQualified(tmp), fs.makeQualified(final), options)
+        except Exception as e:
+            fs.delete(tmp, False)
+            raise ConstraintFault(f"revision {number} was committed meanwhile") from e
 
     def frame(self, name: str) -> DataFrame:
         if self.pending is not None and name in self.pending:
@@ -96,15 +121,16 @@ class Store:
             props = {c: c for c in df.columns if not c.startswith("_")}
             if kind == "n":
                 labels = rest[0].split("&")
-                nodes.append(NodeMapping(labels[0] or "", name, (ID,), props, tuple(labels[1:])))
+                nodes.append(NodeMapping(labels[0], name, (ID,), props, tuple(labels[1:]), name=rest[0]))
             else:
                 edges.append(EdgeMapping(rest[0], name, rest[1], rest[2], ("_source",), ("_target",), props, (ID,), enforced=True))
-        seen: dict[str, NodeMapping] = {n.label: n for n in nodes}
-        return Graph(self.spark, Mapping(tuple(seen.values()), tuple(edges)), frames, store=self)
+        return Graph(self.spark, Mapping(tuple(nodes), tuple(edges)), frames, store=self)
 
     def cypher(self, text: str, **params: Any) -> DataFrame:
         """Run one statement; outside a transaction a write commits by itself."""
         auto = self.pending is None
+        if self.failed:
+            raise SemanticFault("a statement of this transaction failed; roll it back")
         if auto:
             self.pending = {}
         try:
@@ -117,6 +143,8 @@ class Store:
         except Exception:
             if auto:
                 self.pending = None
+            else:
+                self.failed = True
             raise
 
     def writer(self, planner: Planner) -> Writer:
@@ -137,7 +165,7 @@ class Writer:
         if isinstance(c, A.SetClause):
             return self.set(c.items, state)
         if isinstance(c, A.Remove):
-            return self.set(tuple(A.SetItem("prop", i.target, A.Lit(None)) if i.kind == "prop" else i for i in c.items), state)
+            return self.set(tuple(A.SetItem("prop", i.target, A.Lit(None)) if i.kind == "prop" else i for i in c.items), state, remove=True)
         if isinstance(c, A.Delete):
             return self.delete(c, state)
         raise UnsupportedFault(type(c).__name__)
@@ -152,6 +180,7 @@ class Writer:
         g = self.planner.graph
         g.mapping, g.tables = fresh_graph.mapping, fresh_graph.tables
         g._frames.clear()
+        g._kinds.clear()
 
     def append(self, name: str, rows: DataFrame) -> None:
         if name in self.store.names():
@@ -209,8 +238,7 @@ class Writer:
             rows = df.select(col(ident).alias(ID), *(col(c).alias(k) for k, (c, _) in props.items()))
             self.append(f"n:{label}", rows)
             stem = fresh("n")
-            first = label.split("&")[0]
-            df = df.select("*", F.lit(first).alias(f"{stem}_l"))
+            df = df.select("*", F.lit(label).alias(f"{stem}_l"))
             mappings = tuple(m for m in self.planner.graph.nodes if m.table == f"n:{label}")
             scope[n] = Node(ident, f"{stem}_l", mappings, dict(props))
         for n, rel, a, b in new_rels:
@@ -232,11 +260,11 @@ class Writer:
         if tree[0] == "is":
             return [tree[1]]
         if tree[0] == "and" and all(t[0] == "is" for t in tree[1]):
-            return sorted(t[1] for t in tree[1])
+            return sorted({t[1] for t in tree[1]})
         raise SemanticFault("CREATE needs plain labels")
 
     def end_labels(self, b: Node) -> list[tuple[str, Column | None]]:
-        labels = sorted({m.label for m in b.mappings})
+        labels = sorted({m.tag for m in b.mappings})
         return [(labels[0], None)] if len(labels) == 1 else [(x, col(b.label) == x) for x in labels]
 
     def merge(self, m: A.Merge, state: State) -> State:
@@ -275,7 +303,43 @@ class Writer:
             return bool(self.planner.candidates(item.labels)) or (item.var is not None and item.labels is None)
         return any(e.type in item.types for e in g.edges)
 
-    def set(self, items: tuple[A.SetItem, ...], state: State) -> State:
+    def relabel(self, name: str, b: Node, change: set[str], remove: bool, state: State) -> State:
+        """Move a node's row, and the ends of its relationships, to the tables of its new labels."""
+        settle = self.planner.graph.settle
+        touched = settle(state.df.select(col(b.key).alias(ID), col(b.label).alias("_was")).where(col(ID).isNotNull()).distinct())
+        new_of = {}
+        for m in b.mappings:
+            labels = set(m.labels) - change if remove else set(m.labels) | change
+            new_of[m.tag] = "&".join(sorted(labels))
+        for tag, new in new_of.items():
+            if tag == new:
+                continue
+            gone = touched.where(col("_was") == tag).select(ID)
+            old = self.store.frame(f"n:{tag}")
+            moved = settle(old.join(gone, ID, "left_semi"))
+            self.put(f"n:{tag}", old.join(gone, ID, "left_anti"))
+            self.append(f"n:{new}", moved)
+            for edges in [n for n in self.store.names() if n.startswith("e:")]:
+                _, type_, la, lb = edges.split(":")
+                if tag not in (la, lb):
+                    continue
+                rows = self.store.frame(edges)
+                at = lambda c, end: F.lit(None).cast("boolean") if end != tag else c.isNotNull()
+                both = rows.join(gone.select(col(ID).alias("_source"), F.lit(1).alias("_a")), "_source", "left").join(gone.select(col(ID).alias("_target"), F.lit(1).alias("_b")), "_target", "left")
+                both = settle(both.select(*rows.columns, F.coalesce(at(col("_a"), la), F.lit(False)).alias("_a"), F.coalesce(at(col("_b"), lb), F.lit(False)).alias("_b")))
+                self.put(edges, both.where("NOT _a AND NOT _b").select(*rows.columns))
+                for a, c in ((True, False), (False, True), (True, True)):
+                    part = both.where((col("_a") == a) & (col("_b") == c)).select(*rows.columns)
+                    if not part.isEmpty():
+                        self.append(f"e:{type_}:{new if a else la}:{new if c else lb}", part)
+        tags = F.lit(None)
+        for tag, new in new_of.items():
+            tags = F.when(col(b.label) == tag, F.lit(new)).otherwise(tags)
+        stem = fresh("l")
+        mappings = tuple(m for m in self.planner.graph.nodes if m.tag in set(new_of.values()))
+        return State(state.df.select("*", tags.alias(stem)), state.scope | {name: Node(b.key, stem, mappings, b.props, b.held)}, state.order, state.corr, state.outer)
+
+    def set(self, items: tuple[A.SetItem, ...], state: State, remove: bool = False) -> State:
         state = self.settled(state)
         for i in items:
             owner = i.target.owner if isinstance(i.target, A.Prop) else i.target
@@ -283,7 +347,10 @@ class Writer:
             if not isinstance(b, (Node, Rel)):
                 raise SemanticFault("SET needs a node or relationship")
             if i.kind == "labels":
-                raise UnsupportedFault("labels are part of a node's table and cannot be changed in place")
+                if not isinstance(b, Node):
+                    raise SemanticFault("only nodes have labels")
+                state = self.relabel(owner.name, b, set(i.value), remove, state)
+                continue
             env = Env(state.df, state.scope)
             if i.kind == "prop":
                 a = self.planner.arg(i.value, env)
