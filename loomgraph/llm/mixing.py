@@ -18,7 +18,9 @@ Topics are clusters of word usage: centroids of hashed word shares by `LLOYD` ro
 documents, started from `SAMPLE` rows (those first in a hash order of the key). Shares are kept as
 bytes and their sums are whole numbers, so neither partitioning nor order changes a topic. Targets:
 a source's and a topic's share are its token shares to the powers `SOURCE_POWER` and `TOPIC_POWER`,
-renormalised; languages have `LANG_TARGETS`, any other sharing `REST` by tokens.
+renormalised; languages have `LANG_TARGETS`, any other sharing `REST` by tokens. No target is more
+than `LIFT` times a group's own share; what that takes away goes to the other groups in proportion,
+so a small group does not decide how little of all others is kept.
 
 One pass reads the texts and leaves `WIDTH` bytes a document; cells are summed map-side, so a source
 with a third of all rows is a few numbers a task. The cell table is raked on the driver while it has
@@ -46,6 +48,8 @@ TOPICS, SAMPLE, WIDTH, LLOYD = 8, 2000, 256, 10
 SOURCE_POWER, TOPIC_POWER, BUDGET = 0.7, 0.7, 0.8
 LANG_TARGETS = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 REST = 0.05
+#: How far a target may raise a group above its own share of the tokens.
+LIFT = 1.25
 #: Rounds of one budget and the change at which they end, rounds without a hundredth of progress, budgets tried, and what fits.
 ROUNDS, TOLERANCE, STALLED, TRIES, FIT = 200, 1e-9, 20, 12, 1e-4
 #: Cells raked on the driver, cells that a broadcast may carry.
@@ -159,13 +163,21 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def targets(names: list, tokens: np.ndarray, power: float | None) -> np.ndarray:
     """Target share of each group of a marginal; `power` None means the language table."""
     if power is not None:
-        share = tokens**power
-        return share / share.sum()
-    known = np.array([LANG_TARGETS.get(n, 0.0) for n in names])
-    rest = np.where(known == 0, tokens, 0.0)
-    if rest.sum() > 0:
-        known = known + REST * rest / rest.sum()
-    return known / known.sum()
+        wish = tokens**power
+    else:
+        wish = np.array([LANG_TARGETS.get(n, 0.0) for n in names])
+        rest = np.where(wish == 0, tokens, 0.0)
+        if rest.sum() > 0:
+            wish = wish + REST * rest / rest.sum()
+    most = LIFT * tokens / max(tokens.sum(), 1e-300)
+    rate = 1 / wish.sum()
+    while True:  # each turn holds more groups at their bound
+        held = rate * wish >= most
+        free = wish[~held].sum()
+        now = (1 - most[held].sum()) / free if free > 0 else rate
+        if now <= rate * (1 + 1e-12):
+            return np.minimum(rate * wish, most) / np.minimum(rate * wish, most).sum()
+        rate = now
 
 
 class Cells:
@@ -252,6 +264,16 @@ class FrameCells:
                 named = F.coalesce(known[F.col(m)], F.lit(0.0))
                 rest = sums.where(named == 0).agg(F.sum("_t")).first()[0] or 1.0
                 sums = sums.withColumn("_g", F.when(named > 0, named).otherwise(F.col("_t") * REST / rest))
+            most = F.col("_t") * LIFT / self.total
+            rate = 1 / (sums.agg(F.sum("_g")).first()[0] or 1.0)
+            while True:
+                held = F.col("_g") * rate >= most
+                at, free = sums.agg(F.sum(F.when(held, most)), F.sum(F.when(~held, F.col("_g")))).first()
+                now = (1 - (at or 0.0)) / free if free else rate
+                if now <= rate * (1 + 1e-12):
+                    break
+                rate = now
+            sums = sums.withColumn("_g", F.least(F.col("_g") * rate, most))
             whole = sums.agg(F.sum("_g")).first()[0] or 1.0
             self.goals[m] = saved(sums.select(m, "_t", (F.col("_g") / whole).alias("_g")))
         self.few = {m: g.count() <= MAX_GROUPS for m, g in self.goals.items()}

@@ -288,6 +288,16 @@ def test_draws_meet_the_marginals(budget):
         assert (cells.weights > 1).any()  # some cells are drawn whole, and the others make up for them
 
 
+def test_targets_never_ask_for_more_than_a_group_can_lift():
+    tokens = np.array([1000.0, 400.0, 30.0, 0.5, 0.0])
+    for power in (0.3, 0.7, 1.0):
+        goal = mixing.targets(list("abcde"), tokens, power)
+        assert abs(goal.sum() - 1) < 1e-12 and (goal <= mixing.LIFT * tokens / tokens.sum() + 1e-12).all()
+    assert np.allclose(mixing.targets(list("abcde"), tokens, 1.0), tokens / tokens.sum())
+    langs = mixing.targets(["en", "de", None], np.array([100.0, 800.0, 100.0]), None)
+    assert np.allclose(langs[0], 0.125) and abs(langs.sum() - 1) < 1e-12
+
+
 def test_contradicting_targets_end():
     cells = mixing.Cells(np.array([100.0, 200.0]), [np.array([0, 1])] * 2, [np.array([0.9, 0.1]), np.array([0.1, 0.9])])
     assert 0 < mixing.rake(cells) <= mixing.BUDGET and np.isfinite(cells.weights).all()
