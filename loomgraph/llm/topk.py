@@ -25,7 +25,6 @@ repeated query key asks once, with its least vector; a query's own key is exclud
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,9 @@ from .common import ready, table
 from .vectors import BLOCK_ROWS, GROUP_QUERIES, best, finite, matrix
 
 #: Share of a list that is read first, rows and components of a block, queries of a group, rows and bytes compared beforehand.
-FIRST, ROWS, HELD, GROUP, SAMPLE, SAMPLE_BYTES = 1 / 16, 2 * BLOCK_ROWS, 4 << 20, GROUP_QUERIES, 1024, 8 << 20
+FIRST, ROWS, HELD, GROUP, SAMPLE, SAMPLE_BYTES = 1 / 8, 2 * BLOCK_ROWS, 2 << 20, GROUP_QUERIES, 1024, 8 << 20
+#: Queries whose bounds are worked out together.
+TOGETHER = 64
 
 
 class Lists:
@@ -48,49 +49,61 @@ class Lists:
         self.ids, self.rows = ids[order], rows[order]
         self.order = np.ascontiguousarray(np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.take_along_axis(self.rows.T, self.order, axis=1).astype(np.float64)
-        self.read_rows = 0
+        self.depths: list[int] = []  # how far the lists were read for each query
 
-    def candidates(self, query: np.ndarray, k: int, bar: float, skip: slice) -> np.ndarray:
-        """Rows that may be among the k best; each list is only read from one end on."""
+    def search(self, queries: np.ndarray, owns: list[int], bars: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (ids, scores) of the k best rows, best first, smaller id first among equals.
+
+        Each list is read from both its ends, a slice at a time, into a matrix of what was read; a
+        query takes the high ends of the lists where it is positive, the low ends elsewhere.
+        """
         dims, n = self.values.shape
-        ways = [np.s_[::-1] if q > 0 else np.s_[:] for q in query.tolist()]  # where a list starts
-        ends = np.array([q * v[way][-1] for q, v, way in zip(query, self.values, ways, strict=True)])
-        partial, seen = np.zeros(n), np.zeros((n, dims), np.float32)
-        few, at, depth = max(8 * k, n // 64), 0, max(k, int(n * FIRST))
-        while True:
-            upto, last = min(n, depth), np.zeros(dims)
-            for d, way in enumerate(ways):
-                if query[d] == 0:
-                    seen[:, d] = 1
-                    continue
-                rows, read = self.order[d][way][at:upto], query[d] * self.values[d][way][at:upto]
-                partial[rows] += read
-                seen[rows, d] = 1
-                last[d] = read[-1]
-            at = upto
-            self.read_rows += upto
-            if at == n:
-                low = most = partial
-            else:
-                most = partial + last.sum() - seen @ last
-                low = partial + ends.sum() - seen @ ends
-            free = np.ones(n, bool)
-            free[skip] = False
-            if free.sum() >= k:
-                bar = max(bar, np.partition(low[free], -k)[-k])
-            rest = np.flatnonzero(free & (most >= bar - 1e-6 * (1 + abs(bar))))
-            if len(rest) <= few or at == n:
-                return rest
-            depth = upto * 2
-
-    def search(self, queries: np.ndarray, owns: list[int], bars: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query (ids, scores) of the k best rows, best first, smaller id first among equals."""
-        for query, own, bar in zip(queries, owns, bars.tolist(), strict=True):
-            mine = slice(*np.searchsorted(self.ids, [own, own + 1]))
-            rows = self.candidates(query.astype(np.float64), k, bar, mine)
-            scores = self.rows[rows] @ query
-            top = np.lexsort((self.ids[rows], -scores))[:k]
-            yield self.ids[rows[top]], scores[top]
+        q = queries.astype(np.float64)
+        sides = np.maximum(q, 0), np.minimum(q, 0)
+        bars, few = bars.copy(), max(8 * k, n // 64)
+        mine = [slice(*np.searchsorted(self.ids, [own, own + 1])) for own in owns]
+        read = np.zeros((2, n, dims))
+        seen = np.zeros((2, n, dims), np.float32)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(self.ids[:0], self.ids[:0])] * len(q)
+        at, depth, active = 0, max(k, int(n * FIRST)), np.arange(len(q))
+        while len(active):
+            upto = min(n, depth)
+            for side, new in enumerate((slice(n - upto, n - at), slice(at, upto))):
+                for d in range(dims):
+                    rows = self.order[d, new]
+                    read[side, rows, d] = self.values[d, new]
+                    seen[side, rows, d] = 1
+            last = self.values[:, n - upto], self.values[:, upto - 1]
+            ends = self.values[:, 0], self.values[:, -1]
+            left = []
+            for cut in range(0, len(active), TOGETHER):
+                some = active[cut : cut + TOGETHER]
+                w = [side[some] for side in sides]
+                low = most = read[0] @ w[0].T + read[1] @ w[1].T
+                if upto < n:
+                    unread = lambda v, w=w: sum((x * y).sum(1) - m @ (x * y).T for x, y, m in zip(w, v, seen, strict=True))
+                    low, most = low + unread(ends), most + unread(last)
+                for i, query in enumerate(some.tolist()):
+                    low[mine[query], i] = most[mine[query], i] = -np.inf
+                if n >= k:
+                    bars[some] = np.maximum(bars[some], np.partition(low, n - k, axis=0)[n - k])
+                hits = most >= bars[some] - 1e-6 * (1 + np.where(np.isfinite(bars[some]), np.abs(bars[some]), 0))
+                done = (hits.sum(axis=0) <= few) | (upto == n)
+                for i in np.flatnonzero(done).tolist():
+                    query = int(some[i])
+                    free = np.ones(n, bool)
+                    free[mine[query]] = False
+                    found[query] = self._resolved(np.flatnonzero(hits[:, i] & free), queries[query], k)
+                    self.depths.append(upto)
+                left.append(some[~done])
+            active, at, depth = np.concatenate(left), upto, upto * 2
+        return found
+
+    def _resolved(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The candidates' whole rows are looked up here, and only here."""
+        scores = self.rows[rows] @ query
+        top = np.lexsort((self.ids[rows], -scores))[:k]
+        return self.ids[rows[top]], scores[top]
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int, key: str = "vec_id", vec: str = "codes") -> DataFrame:
