@@ -675,8 +675,11 @@ class Planner:
         for key, e in rel.props:
             hops = self.props_filter(r, ((key, e),), hops, {}, State(None)) if key in r.props else hops.where(F.lit(False))
         if rel.step_where is not None:
-            step = names[0]
-            inner: dict[str, Binding] = {rel.step_vars[0]: Rel(step, step, step, step, (), r.props)}
+            inner: dict[str, Binding] = {rel.step_vars[0]: Rel(*(f"{stem}_w{i}" for i in range(4)), r.types, r.props)}
+            parts = [col(names[0]).getField(f).alias(f"{stem}_w{i}") for i, f in enumerate(("_type", "_id", "_source", "_target"))]
+            if rel.step_vars[1]:
+                inner[rel.step_vars[1]] = Value(names[5], hops.schema[names[5]].dataType)
+            hops = hops.select("*", *parts)
             hops = hops.where(self.arg(rel.step_where, Env(hops, inner)).col)
         return hops.select(*names), names, r
 

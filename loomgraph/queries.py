@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .demo import graph
 
-#: name: (Cypher, parameters, SQL or None)
-QUERIES: dict[str, tuple[str, dict[str, Any], str | None]] = {}
+#: name: (Cypher or a function of session and folder, parameters, SQL or None)
+QUERIES: dict[str, tuple[str | Callable[[SparkSession, str], DataFrame], dict[str, Any], str | None]] = {}
 
 
-def q(name: str, cypher: str, sql: str | None, **params: Any) -> None:
+def q(name: str, cypher: str | Callable[[SparkSession, str], DataFrame], sql: str | None, **params: Any) -> None:
     QUERIES[name] = (cypher, params, sql)
 
 
@@ -194,8 +194,13 @@ q("exists_full_query", "MATCH (c:Customer) WHERE EXISTS { MATCH (c)-[:PLACED]->(
   "SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING count(*) > 12")
 
 
+from . import families  # noqa: E402, F401  further queries, by family of operators and functions
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def runner(text: str, params: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
+    def runner(text: str | Callable, params: dict[str, Any]) -> Callable[[SparkSession, str], DataFrame]:
+        if callable(text):
+            return text
         return lambda spark, sf_dir: graph(spark, sf_dir).cypher(text, **params)
 
     return {n: runner(text, params) for n, (text, params, _) in QUERIES.items()}
