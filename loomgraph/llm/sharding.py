@@ -3,7 +3,8 @@
 `assign` orders rows by key and cuts the running byte sum at equal targets. The order is made by
 one range partitioning of (key, size, checksum) triples: the texts themselves never move. Per-
 partition totals, a table of one row per partition, give every partition its global offset; a
-window inside each partition does the rest, so no task ever holds more than its own range.
+window inside each partition does the rest, so no task ever holds more than its own range; a row
+repeated in a third of the table is spread over ranges like any other.
 
 Defined edge cases: a null text has size 1 and the checksum of the empty string; an empty table
 gives an empty result; rows repeated under one key keep one slot each, in the order of checksum
@@ -36,10 +37,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     """
     ready(docs.sparkSession)
     rows = docs.select(
-        F.col(key).alias("_k"), text_size(F.col(text)).alias("_size"), text_crc32(F.col(text)).alias("_crc")
+        F.col(key).alias("_k"), text_size(F.col(text)).alias("_size"), text_crc32(F.col(text)).alias("_crc"),
+        F.monotonically_increasing_id().alias("_n"),  # lets rows that repeat lie in several ranges
     )
     # a stored copy fixes which row lies in which partition, whatever is recomputed later
-    placed = saved(rows.repartitionByRange("_k", "_crc", "_size").withColumn("_p", F.spark_partition_id()))
+    placed = saved(rows.repartitionByRange("_k", "_crc", "_size", "_n").withColumn("_p", F.spark_partition_id()))
     totals = placed.groupBy("_p").agg(F.sum("_size").alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = totals.select(
@@ -48,7 +50,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_r0"),
         F.sum("_bytes").over(Window.partitionBy(F.lit(0))).alias("_all"),
     )
-    within = Window.partitionBy("_p").orderBy("_k", "_crc", "_size")
+    within = Window.partitionBy("_p").orderBy("_k", "_crc", "_size", "_n")
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     numbered = (
         placed.withColumn("_in", F.sum("_size").over(upto))
