@@ -40,8 +40,8 @@ from .common import ready, saved, table
 WIDTH, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints under one key that a task compares by itself, and rows it gathers before it does.
 HELD, GATHERED = 20_000, 100_000
-#: Links of one partition while components are sought.
-EDGES = 50_000
+#: Links of one partition while components are sought; links and roots up to which least neighbours are broadcast.
+EDGES, SENT = 50_000, 500_000
 #: The Golay code's generator polynomial: a fixed value.
 GENERATOR = 0b110001110101
 
@@ -283,10 +283,12 @@ def components(links: DataFrame) -> DataFrame:
         few = -(-mark[0] // EDGES)  # the loop shuffles as many files as the links fill, not as the session has partitions
         edges = edges.coalesce(few)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # a hub's links lie in many partitions: its least neighbour goes to them, not they to it
+        sent = F.broadcast if mark[0] <= SENT else lambda df: df
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        wide = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        wide = both.join(sent(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
-        narrow = wide.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        narrow = wide.join(sent(low), "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = saved(narrow.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(few))
     roots = edges.select(F.col("u").alias("fp"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct())
@@ -298,8 +300,10 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     firsts = saved(prints.groupBy("fp").agg(F.min(key).alias("_first")))
     member = components(link(firsts))
     named = firsts.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("_first").alias("component_id"))
-    lookup = saved(named.join(least, "root").select("fp", "component_id"))
+    # fingerprints alone under their root keep their own first key
+    least = saved(named.groupBy("root").agg(F.min("_first").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("root", "_least"))
+    least = F.broadcast(least) if least.limit(SENT + 1).count() <= SENT else least
+    lookup = saved(named.join(least, "root", "left").select("fp", F.coalesce("_least", "_first").alias("component_id")))
     return prints.join(lookup, "fp").select(key, "fp", "component_id")
 
 
