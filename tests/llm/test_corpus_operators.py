@@ -383,6 +383,54 @@ def test_pipeline_stages(spark, data):
     assert {r.doc_id for r in done} == texts
 
 
+def test_pipeline_run_equals_its_stages_by_hand(spark, data):
+    """run() against the parts each stage is made of: what is dropped, kept once, covered, drawn and encoded."""
+    import corpus_pipeline
+    from loomgraph.llm import nearcopies, pii, tokens
+
+    import public_tokenizers as P
+
+    docs = common.table(common.ready(spark), data, "documents")
+    labels = common.table(spark, data, "labels")
+    scorer = toxicity.train(docs, labels)
+    words = scorer.tokens()
+    rows = {r.doc_id: r for r in docs.collect() if scorer.score(r.text or "", words) < 0.5}
+    left = spark.createDataFrame(list(rows.values()), docs.schema)
+    of = {r.doc_id: r.component_id for r in nearcopies.groups(left).collect()}
+    rows = {i: r for i, r in rows.items() if of[i] == i}
+    model = pii.Model.fit()
+    covered = {i: pii.cover(r.text, model.select([r.text])[0][1]) for i, r in rows.items()}
+    left = spark.createDataFrame([(i, covered[i], r.lang, r.source, len(covered[i])) for i, r in rows.items()], docs.schema)
+    drawn = {r.doc_id for r in mixing.mix(left).collect() if r.drawn}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, data).collect()}
+    assert set(got) == drawn
+    plain = tokens.encode_documents(left, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    want = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in plain}
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[i] for i, r in got.items())
+
+
+def test_every_stage_takes_odd_rows(spark, data):
+    """Nulls in any column, empty, repeated and long texts, an empty table, and columns of clashing names."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(4000))
+    rows = [(1, None, None, None, None), (None, "a few words", "en", "s", 11), (2, "", "en", None, 0), (3, long, None, "s", 9), (3, long, None, "s", 9), (4, "same text here", "en", "s", 14), (4, "other text here", "en", "s", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(("score", "_toxicity", "id", "d", "r", "n", "p", "component_id", "_k", "_drawn", "_topic", "_tokens", "weight", "fp", "drawn", "ids", "spans"))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for given in (docs, clash):
+            out = stage(spark, given, data)
+            assert out.columns == given.columns, name
+            kept = [r.doc_id for r in out.collect()]
+            if name == "near_duplicates":
+                assert sorted(kept, key=str) == sorted([1, None, 3, 3, 4, 4], key=str) or sorted(kept, key=str) == sorted([1, None, 2, 3, 3, 4, 4], key=str)
+            if name == "pii":
+                assert len(kept) == len(rows)
+        assert stage(spark, docs.where("false"), data).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(r.n_tokens for r in last(spark, docs, data).collect())[:2] == [0, 0] and last(spark, docs.where("false"), data).count() == 0
+
+
 def test_pipeline_keeps_one_of_each_group(spark, data):
     import corpus_pipeline
 
