@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def pairs(graph: Any, e: ComputedMapping) -> tuple[DataFrame, dict[str, Column]]
         return left.join(right, on).select("_a", "_b"), {}
     if e.kind == "as_of":
         by = o.get("partition", [])
-        df = asof(left, right, f"a_{o['source_time']}", f"b_{o['target_time']}", [f"a_{x}" for x, _ in by], [f"b_{y}" for _, y in by], "_b")
+        df = asof(left, right, f"a_{o['source_time']}", f"b_{o['target_time']}", [f"a_{x}" for x, _ in by], [f"b_{y}" for _, y in by], "_b", bool(o.get("cut")))
         return df.select("_a", "_b"), {}
     if e.kind == "top_k":
         return _top_k(left, right, e.source == e.target, o), {"score": F.col("score"), "rank": F.col("rank")}
@@ -47,30 +49,77 @@ def pairs(graph: Any, e: ComputedMapping) -> tuple[DataFrame, dict[str, Column]]
     raise SemanticFault(f"{e.type}: unknown kind {e.kind!r}")
 
 
+#: Targets of a block and sources of a group: what a task holds of each side.
+BLOCK, GROUP = 4096, 1024
+
+
 def _top_k(left: DataFrame, right: DataFrame, loops: bool, o: dict[str, Any]) -> DataFrame:
     """The k targets of best score per source; an optional first stage keeps `candidates` by another vector.
 
-    Every source meets every target: the sources should be few or carry a filter (`where`). The rank
-    filter is pushed below the shuffle by Spark, so k rows a task and source move.
+    Targets are dealt into blocks and sources into groups by a hash; each block meets each group once,
+    as two matrices, and leaves k rows a source. Work grows with sources times targets: the sources
+    should be few or carry a filter (`where`). Vectors that are null, of another length or, for the
+    cosine, zero have no score; equal scores go to the smaller target key.
     """
     measure, k = o.get("measure", "cosine"), int(o.get("k", 10))
     if "where" in o:
         left = left.where(F.expr(o["where"].replace("a.", "a_")))
-
-    def score(x: str, y: str) -> Column:
-        u, v = F.col(f"a_{x}").cast("array<double>"), F.col(f"b_{y}").cast("array<double>")
+    first, kept = (o["first"], int(o["candidates"])) if "first" in o else (o["vector"], k)
+    found = _best(left, right, first, measure, kept, loops)
+    if "first" in o:
+        x, y = o["vector"]
+        u, v = F.col("u").cast("array<double>"), F.col("v").cast("array<double>")
         if measure == "l2":
-            return -F.sqrt(F.aggregate(F.zip_with(u, v, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
-        if measure == "dot":
-            return dot(u, v)
-        return dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
-
-    both = left.crossJoin(right)
-    if loops:
-        both = both.where("_a <> _b")
-    stages = [(o["first"], int(o["candidates"])), (o["vector"], k)] if "first" in o else [(o["vector"], k)]
-    for (x, y), n in stages:
-        both = both.withColumn("score", score(x, y)).where(F.col("score").isNotNull())
-        w = Window.partitionBy("_a").orderBy(F.desc("score"), "_b")
-        both = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return both.select("_a", "_b", F.col("score"), "rank")
+            score = -F.sqrt(F.aggregate(F.zip_with(u, v, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
+        else:
+            score = dot(u, v) if measure == "dot" else dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
+        pairs = found.select("_a", "_b").join(left.select("_a", F.col(f"a_{x}").alias("u")), "_a").join(right.select("_b", F.col(f"b_{y}").alias("v")), "_b")
+        found = pairs.where(F.size("u") == F.size("v")).select("_a", "_b", score.alias("score")).where("score IS NOT NULL AND NOT isnan(score)")
+    w = Window.partitionBy("_a").orderBy(F.desc("score"), "_b")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("_a", "_b", "score", "rank")
+
+
+def _best(left: DataFrame, right: DataFrame, vectors: list[str], measure: str, k: int, loops: bool) -> DataFrame:
+    """(_a, _b, score) of the k best targets of every source, by blocks."""
+    x, y = vectors
+    vector = lambda c: F.col(c).cast("array<double>").alias("v")
+    sane = "v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x))"
+    a = left.select("_a", vector(f"a_{x}")).where(sane).withColumn("d", F.size("v"))
+    b = right.select("_b", vector(f"b_{y}")).where(sane).withColumn("d", F.size("v"))
+    blocks, groups = max(1, -(-b.count() // BLOCK)), max(1, -(-a.count() // GROUP))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    a = a.withColumn("g", deal("_a", groups)).withColumn("b", each(blocks))
+    b = b.withColumn("b", deal("_b", blocks)).withColumn("g", each(groups))
+    kinds = dict(left.dtypes)["_a"], dict(right.dtypes)["_b"]
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+    def meet(sources: pa.Table, targets: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        if sources.num_rows and targets.num_rows:
+            p, q = matrix(sources["v"]), matrix(targets["v"])
+            if measure == "cosine":
+                p, q = (z / np.where((n := np.sqrt((z * z).sum(1, keepdims=True))) > 0, n, np.nan) for z in (p, q))
+            near = p @ q.T
+            if measure == "l2":
+                near = 2 * near - (q * q).sum(1)
+            mine, theirs = sources["_a"].to_pylist(), targets["_b"].to_pylist()
+            same = {key: i for i, key in enumerate(theirs)}
+            for i, row in enumerate(near):
+                row = np.where(np.isnan(row), -np.inf, row)
+                if loops and mine[i] in same:
+                    row[[j for j, key in enumerate(theirs) if key == mine[i]]] = -np.inf
+                bar = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+                some = np.flatnonzero((row >= bar - 1e-9 * (1 + abs(bar))) & (row > -np.inf)) if bar > -np.inf else np.flatnonzero(row > -np.inf)
+                # scored again one by one, so that equal vectors have equal scores
+                score = -np.sqrt(((q[some] - p[i]) ** 2).sum(1)) if measure == "l2" else (q[some] * p[i]).sum(1)
+                order = sorted(range(len(some)), key=lambda j: (-score[j], theirs[some[j]]))[:k]
+                take = some[order]
+                out.append(pa.table({"_a": pa.array([mine[i]] * len(take), sources["_a"].type), "_b": targets["_b"].take(pa.array(take)).combine_chunks(), "score": score[order]}))
+        empty = pa.table({"_a": pa.array([], sources["_a"].type), "_b": pa.array([], targets["_b"].type), "score": pa.array([], pa.float64())})
+        return pa.concat_tables(out) if out else empty
+
+    by = ["g", "b", "d"]
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(meet, f"_a {kinds[0]}, _b {kinds[1]}, score double")

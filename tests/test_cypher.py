@@ -252,3 +252,24 @@ def test_queries_equal_their_sql(spark, data, name):
     assert cols == sorted(want.columns)
     at = [want.columns.index(c) for c in cols]
     assert sorted([tuple(norm(r[c]) for c in cols) for r in df.collect()], key=repr) == sorted([tuple(norm(r[i]) for i in at) for r in want.fetchall()], key=repr)
+
+
+@pytest.mark.parametrize("by,cut", [([], False), (["k"], False), (["k"], True)])
+def test_asof_plans_agree_with_a_search(spark, by, cut, monkeypatch):
+    import random
+
+    from loomgraph.operators import asof as module
+
+    monkeypatch.setattr(module, "BUCKETS", 5)
+    rng = random.Random(3)
+    left = [(i, rng.choice("ab"), rng.choice([None, *range(40)])) for i in range(60)]
+    right = [(i, rng.choice("abc"), rng.choice([None, *range(40)])) for i in range(50)]
+    l = spark.createDataFrame(left, "i long, lk string, lt long").repartition(3)
+    r = spark.createDataFrame(right, "_b long, rk string, rt long").repartition(3)
+    got = module.asof(l, r, "lt", "rt", ["lk"] if by else [], ["rk"] if by else [], "_b", cut)
+    want = {}
+    for i, k, t in left:
+        fits = [(u, -j) for j, m, u in right if t is not None and u is not None and u <= t and (not by or k == m)]
+        if fits:
+            want[i] = -max(fits)[1]
+    assert {x.i: x._b for x in got.collect()} == want
