@@ -46,7 +46,7 @@ BLOCK_IDS, STEP, LIMIT, RANGE_ROWS = 1 << 15, 128, 16, 4096
 MAX_RANGES = 16_384
 MAGIC = b"LGH1"
 #: Cache entries of a worker, per cache.
-CACHE = 250_000
+CACHE = 450_000
 LOWEST = np.iinfo(np.int64).min
 
 
