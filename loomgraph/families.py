@@ -256,3 +256,108 @@ def _procedure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 q("procedure_and_function", _procedure, "SELECT p_partkey AS k, p_size / 2.0::DOUBLE AS h FROM part WHERE p_brand = 'Brand#11'")
+
+
+# --- sources, catalog, declared functions ---------------------------------------------------
+PARTS_OF = {
+    "nodes": [
+        {"label": "Vector", "table": "embeddings", "key": "vec_id", "properties": {"vec_id": "vec_id"}},
+        {"label": "Part", "table": "embeddings", "key": ["vec_id", "at"], "properties": {"at": "at", "value": "value"}, "collection": {"column": "embedding", "as": "value", "ordinality": "at"}},
+        {"label": "Field", "table": "events", "key": ["event_id", "field"], "properties": {"event_id": "event_id", "field": "field"}, "collection": {"expr": "json_object_keys(props)", "as": "field", "outer": True}},
+    ],
+    "edges": [{"type": "HAS", "table": "embeddings", "source": "Vector", "target": "Part", "source_key": "vec_id", "target_key": ["vec_id", "at"], "id": ["vec_id", "at"], "collection": {"column": "embedding", "as": "value", "ordinality": "at"}}],
+}
+
+
+def _parts(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = {t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in ("embeddings", "events")}
+        return Graph(spark, from_dict(PARTS_OF), tables).cypher(text)
+
+    return run
+
+
+q("collection_ordinality", _parts("MATCH (v:Vector)-[:HAS]->(p:Part) RETURN v.vec_id AS v, p.at AS i, p.value AS x"),
+  "SELECT vec_id AS v, (i - 1)::INTEGER AS i, embedding[i] AS x FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding)")
+q("collection_of_json", _parts("MATCH (f:Field) RETURN f.field AS f, count(*) AS n"), "SELECT unnest(json_keys(props)) AS f, count(*) AS n FROM events GROUP BY 1")
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by their names in the session's catalog."""
+    name = f"parts_{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView(name)
+    doc = {"nodes": [{"label": "Part", "table": name, "key": "p_partkey", "properties": {"size": "p_size"}}]}
+    return Graph(spark, from_dict(doc)).cypher("MATCH (p:Part) RETURN p.size AS s, count(*) AS n")
+
+
+q("registered_view", _views, "SELECT p_size AS s, count(*) AS n FROM part GROUP BY 1")
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = graph(spark, sf_dir).declare("agg.spread", lambda x: F.max(x) - F.min(x), ["int64"], "int64", aggregate=True)
+    g.declare("plus_tax", lambda x, t: x * (1 + t), ["float64", "float64"], "float64")
+    return g.cypher("MATCH (p:Part) RETURN p.brand AS b, agg.spread(p.size) AS s, round(sum(plus_tax(p.retailprice, '0.5')), 2) AS t")
+
+
+q("declared_functions", _declared, "SELECT p_brand AS b, (max(p_size) - min(p_size))::BIGINT AS s, round(sum(p_retailprice * 1.5::DOUBLE), 2) AS t FROM part GROUP BY 1")
+q("statistics", lambda spark, d: graph(spark, d).statistics().where("kind = 'node' AND table IN ('customer', 'part', 'orders', 'nation') AND name <> 'BigOrder'").select("name", "rows"),
+  "SELECT 'Customer' AS name, count(*) AS rows FROM customer UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'Nation', count(*) FROM nation")
+q("explain", lambda spark, d: graph(spark, d).cypher("EXPLAIN MATCH (p:Part) WHERE p.size > 40 RETURN p.name").select(F.contains("plan", F.lit("Scan parquet")).alias("scan"), F.contains("plan", F.lit("GreaterThan(p_size,40)")).alias("pushed")),
+  "SELECT true AS scan, true AS pushed")
+
+
+def _cataloged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relationship registered in a catalog, used, and gone again in a later revision."""
+    from .catalog import Catalog
+    from .demo import MAPPING, TABLES
+    from .sources.mapping import ComputedMapping
+
+    tables = {t: (lambda t=t: spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in TABLES}
+    c = Catalog(spark, from_dict(MAPPING), tables)
+    same = ComputedMapping("SAME_NATION", "Customer", "Supplier", "cypher", {"query": "MATCH (c:Customer)-[:FROM_NATION]->(n)<-[:FROM_NATION]-(s:Supplier) RETURN c.custkey AS source, s.suppkey AS target"})
+    seen = c.register(same, 0)
+    c.remove("SAME_NATION", seen.revision)
+    return c.graph(seen).cypher("MATCH (c:Customer)-[:SAME_NATION]->(s:Supplier) RETURN s.suppkey AS s, count(*) AS n")
+
+
+q("catalog_revisions", _cataloged, "SELECT s_suppkey AS s, count(*) AS n FROM supplier JOIN customer ON c_nationkey = s_nationkey GROUP BY 1")
+
+
+def _subscribed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Cypher subscription over a change log: the frames it sends, the last one of each key."""
+    from pyspark.sql import types as T
+
+    fields = [T.StructField("id", T.StringType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())]
+    doc = {"nodes": [{"label": "User", "table": "events", "key": "id", "properties": {"id": "id", "kind": "event_type", "value": "value"}}]}
+    g = Graph(spark, from_dict(doc), {"events": spark.createDataFrame([], T.StructType(fields))})
+    where = _store(spark).path
+    _log(spark, sf_dir).write.parquet(f"{where}-log")
+    stream = spark.readStream.schema(changes.SCHEMA).parquet(f"{where}-log")
+    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{where}-frames/n={n}")
+    text = "MATCH (u:User) WHERE u.value > 50 RETURN u.kind AS kind, u.value * 2 AS twice"
+    changes.subscribe_query(g, text, stream, "events", T.StructType(fields), sink, f"{where}-cp", f"{where}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}-frames").groupBy("key").agg(F.max_by(F.struct("version", "deleted", "kind", "twice"), "n").alias("r")).select("key", "r.*")
+
+
+q("stream_subscription", _subscribed,
+  "WITH l AS (SELECT user_id::VARCHAR AS key, max(event_id) AS version, arg_max(event_type, event_id) AS k, arg_max(value, event_id) AS v FROM events GROUP BY 1) SELECT key, version, NOT (k <> 'error' AND v > 50) AS deleted, CASE WHEN k <> 'error' AND v > 50 THEN k END AS kind, CASE WHEN k <> 'error' AND v > 50 THEN v * 2 END AS twice FROM l")
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as edges of a log: valid and allowed as a whole, and seen where both ends are live."""
+    from pyspark.sql import types as T
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    row = lambda table, key, data: [F.lit(0).alias("partition"), key.cast("long").alias("offset"), F.lit(table).alias("table"), key.cast("string").alias("key"), F.lit(1).cast("long").alias("version"), data.alias("data")]
+    alive = F.when(F.col("c_acctbal") >= 0, F.to_json(F.struct(F.col("c_acctbal").alias("balance"))))
+    log = c.select(row("customer", F.col("c_custkey"), alive)).unionByName(o.select(row("order", F.col("o_orderkey"), F.to_json(F.struct(F.col("o_custkey").alias("by"), F.col("o_custkey").alias("of"))))))
+    rules = {
+        "customer": changes.Rule(T.StructType([T.StructField("balance", T.DoubleType())]), ("balance",), "see", "write"),
+        "order": changes.Rule(T.StructType([T.StructField("by", T.LongType()), T.StructField("of", T.LongType())]), ("by",), "see", "write", ("customer", "by", "customer", "of")),
+    }
+    log = changes.authorized(changes.validated(log, rules), rules, lambda p: True)
+    return changes.visible(changes.latest(log, tombstones=True), rules).groupBy("table").agg(F.count("*").alias("n"))
+
+
+q("change_checks", _checked, "SELECT 'customer' AS \"table\", count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'order', count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0")

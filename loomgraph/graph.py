@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 import tempfile
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import SemanticFault
+from .errors import ArgumentFault, SemanticFault
 from .operators import computed
 from .plans import parser
 from .plans.planner import Planner
 from .policy import Policy
 from .sources.mapping import ComputedMapping, EdgeMapping, Mapping, NodeMapping
+from .sources.types import spark_type
 
-Source = DataFrame | Callable[[], DataFrame] | str
+Source = DataFrame | pa.Table | Callable[[], DataFrame] | str
 
 
 class Graph:
@@ -31,6 +34,7 @@ class Graph:
         self.spark, self.mapping, self.tables = spark, mapping.check(), dict(tables or {})
         self.policy, self.store = policy, store
         self.functions: dict[str, Callable[..., Column]] = {}
+        self.aggregates: dict[str, Callable[..., Column]] = {}
         self.procedures: dict[str, Callable[..., DataFrame]] = {}
         self._frames: dict[str, DataFrame] = {}
         self._kinds: dict[str, str] = {}
@@ -53,6 +57,8 @@ class Graph:
                 df = self.spark.table(name)
             elif isinstance(got, str):
                 df = self.spark.sql(got)
+            elif isinstance(got, pa.Table):
+                df = self.spark.createDataFrame(got)
             else:
                 df = got if isinstance(got, DataFrame) else got()
             self._frames[name] = self.policy.secure(name, df) if self.policy is not None else df
@@ -60,6 +66,12 @@ class Graph:
 
     def _source(self, m: NodeMapping | EdgeMapping) -> DataFrame:
         df = self.query_source(m.query) if m.query else self.table(m.table)
+        if m.collection:
+            c = m.collection
+            items = F.expr(c["expr"]) if "expr" in c else F.col(f"`{c['column']}`")
+            ordinal = c.get("ordinality", "_ordinality")
+            df = df.select("*", (F.posexplode_outer if c.get("outer") else F.posexplode)(items).alias(ordinal, c["as"]))
+            df = df if "ordinality" in c else df.drop(ordinal)
         return df.where(m.where) if m.where else df
 
     def query_source(self, sql: str) -> DataFrame:
@@ -120,14 +132,65 @@ class Graph:
     # --- use ---
 
     def cypher(self, text: str, **params: Any) -> DataFrame:
-        """The result of a query as a lazy DataFrame."""
+        """The result of a query as a lazy DataFrame; `EXPLAIN [COST | FORMATTED] query` gives its plan in one row."""
+        asked = re.match(r"\s*EXPLAIN\s+(?:(COST|FORMATTED|EXTENDED)\s+)?", text, re.IGNORECASE)
+        if asked:
+            plan = self.explain(text[asked.end() :], (asked[1] or "formatted").lower(), **params)
+            return self.spark.createDataFrame([(plan,)], "plan string")
         if self.policy is not None:
             self.policy.may_query(text)
         return Planner(self, params).run(parser.parse(text))
 
-    def explain(self, text: str, **params: Any) -> str:
-        """The physical plan as text."""
-        return self.cypher(text, **params)._jdf.queryExecution().toString()
+    def explain(self, text: str, mode: str = "extended", **params: Any) -> str:
+        """The plan as text: extended, formatted, or cost (with the sizes and row counts Spark estimates)."""
+        run = self.cypher(text, **params)._jdf.queryExecution()
+        jvm = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode
+        return run.explainString(jvm.fromString(mode))
+
+    def arrow(self, text: str, **params: Any) -> pa.Table:
+        """The result of a query as an Arrow table on the driver: for results that fit there."""
+        return self.cypher(text, **params).toArrow()
+
+    def statistics(self, columns: bool = False) -> DataFrame:
+        """Rows of every mapped table, and with `columns` the distinct and null values of each property.
+
+        One aggregation a table, combined map-side; distinct values are estimated (HyperLogLog).
+        """
+        out = []
+        for m in (*self.nodes, *self.mapping.edges):
+            df, name = self._source(m), m.tag if isinstance(m, NodeMapping) else m.type
+            props = m.properties if columns else {}
+            aggs = [F.count(F.lit(1)).alias("n")]
+            for p, c in props.items():
+                aggs += [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d_{p}"), F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"z_{p}")]
+            one = df.agg(*aggs)
+            rows = [F.struct(F.lit(None).cast("string").alias("property"), F.lit(None).cast("long").alias("distinct"), F.lit(None).cast("long").alias("nulls"))]
+            rows += [F.struct(F.lit(p).alias("property"), F.col(f"d_{p}").alias("distinct"), F.col(f"z_{p}").alias("nulls")) for p in props]
+            kind = "node" if isinstance(m, NodeMapping) else "relationship"
+            one = one.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(m.table).alias("table"), "n", F.explode(F.array(*rows)).alias("r"))
+            out.append(one.select("kind", "name", "table", F.col("n").alias("rows"), "r.*"))
+        df = out[0]
+        for o in out[1:]:
+            df = df.unionByName(o)
+        return df
+
+    def declare(self, name: str, fn: Callable[..., Column], params: list[str], returns: str, aggregate: bool = False) -> Graph:
+        """A function with declared types: arguments are cast to `params`, the result to `returns`.
+
+        The name of an aggregate begins with `agg.`; its function makes an aggregate column.
+        """
+        low = name.lower()
+        if aggregate != low.startswith("agg."):
+            raise SemanticFault("the name of an aggregate, and of nothing else, begins with agg.")
+        kinds, result = [spark_type(p) for p in params], spark_type(returns)
+
+        def build(*args: Any) -> Column:
+            if len(args) != len(kinds):
+                raise ArgumentFault(f"{name}() takes {len(kinds)} arguments")
+            return fn(*(a.col.cast(t) for a, t in zip(args, kinds, strict=True))).cast(result)
+
+        (self.aggregates if aggregate else self.functions)[low] = build
+        return self
 
     def register(self, name: str, fn: Callable[..., Column]) -> Graph:
         """A scalar function of columns under a Cypher name."""
@@ -146,5 +209,5 @@ class Graph:
         edges = (*m.edges, *(x for x in more if isinstance(x, EdgeMapping)))
         extra = (*m.computed, *(x for x in more if isinstance(x, ComputedMapping)))
         g = Graph(self.spark, dataclasses.replace(m, nodes=nodes, edges=edges, computed=extra), self.tables, self.policy, self.store)
-        g.functions, g.procedures = dict(self.functions), dict(self.procedures)
+        g.functions, g.procedures, g.aggregates = dict(self.functions), dict(self.procedures), dict(self.aggregates)
         return g

@@ -110,8 +110,13 @@ def variables(e: Any) -> set[str]:
     return set().union(*(variables(c) for c in children(e)), set())
 
 
+def is_aggregate(e: Any) -> bool:
+    """Built-in aggregates, and declared ones, whose names begin with `agg.`."""
+    return isinstance(e, A.Func) and (e.name in AGGREGATES or e.name.startswith("agg."))
+
+
 def aggregated(e: Any) -> bool:
-    if isinstance(e, A.Func) and e.name in AGGREGATES:
+    if is_aggregate(e):
         return True
     return not isinstance(e, A.Sub) and any(aggregated(c) for c in children(e))
 
@@ -283,15 +288,15 @@ class Planner:
         return len(kinds) > 1 and not all("Long" in k or "Integer" in k for k in kinds)
 
     def _source_home(self, e: EdgeMapping) -> bool:
-        return any(m.tag == e.source and m.table == e.table and m.key == e.source_key for m in self.graph.nodes)
+        return not e.collection and any(m.tag == e.source and m.table == e.table and m.key == e.source_key and not m.collection for m in self.graph.nodes)
 
     def _home(self, e: EdgeMapping) -> str | None:
         """The label whose own table holds this edge as a foreign key."""
-        if e.query or e.where:
+        if e.query or e.where or e.collection:
             return None
         if self._source_home(e):
             return e.source
-        if any(m.tag == e.target and m.table == e.table and m.key == e.target_key for m in self.graph.nodes):
+        if any(m.tag == e.target and m.table == e.table and m.key == e.target_key and not m.collection for m in self.graph.nodes):
             return e.target
         return None
 
@@ -307,7 +312,7 @@ class Planner:
                 continue
             df, a, b, ident, props = self.graph.edge_rows(e, self)
             a, b = (x.cast("string") if t else x for x, t in zip((a, b), text, strict=True))
-            cols = [F.lit(e.type).alias(r.type), F.concat_ws("|", F.lit(e.table if isinstance(e, EdgeMapping) else e.type), ident).alias(r.id) if not self._plain_ids(rel) else ident.alias(r.id), a.alias(r.source), b.alias(r.target), F.lit(e.source).alias(r.ends[0]), F.lit(e.target).alias(r.ends[1])]
+            cols = [F.lit(e.type).alias(r.type), self.identity(e, ident, not self._plain_ids(rel)).alias(r.id), a.alias(r.source), b.alias(r.target), F.lit(e.source).alias(r.ends[0]), F.lit(e.target).alias(r.ends[1])]
             for p, c in props.items():
                 cols.append(c.alias(f"{stem}_p_{p}"))
                 types[p] = None
@@ -321,6 +326,13 @@ class Planner:
             r.props[p] = (f"{stem}_p_{p}", df.schema[f"{stem}_p_{p}"].dataType)
         return df, r
 
+    def identity(self, e: Any, ident: Column, text: bool) -> Column:
+        """What tells a relationship from all others of its type: where several tables hold the type, the
+        table is part of it, whatever pattern asks."""
+        if sum(x.type == e.type for x in self.graph.edges) > 1:
+            return F.concat_ws("|", F.lit(e.table if isinstance(e, EdgeMapping) else e.type), F.lit(e.source), F.lit(e.target), ident.cast("string"))
+        return ident.cast("string") if text else ident
+
     def _plain_ids(self, rel: A.RelPat) -> bool:
         return sum(1 for e in self.graph.edges if not rel.types or e.type in rel.types) == 1
 
@@ -606,7 +618,7 @@ class Planner:
                 extra[p] = source.props[back[e.properties[p]]]
             else:
                 return None
-        df = df.select("*", F.lit(e.type).alias(r.type), col(ident).alias(r.id), col(a.key).alias(r.source), col(b.key).alias(r.target))
+        df = df.select("*", F.lit(e.type).alias(r.type), self.identity(e, col(ident), False).alias(r.id), col(a.key).alias(r.source), col(b.key).alias(r.target))
         r.props = extra
         scope = scope | {names[1]: r, names[2]: node}
         df = self.distinct_rels(df, r, rel, rels)
@@ -1282,7 +1294,7 @@ class Planner:
         found: dict[str, tuple[str, A.Func]] = {}
 
         def gather(e: Any) -> None:
-            if isinstance(e, A.Func) and e.name in AGGREGATES:
+            if is_aggregate(e):
                 if any(aggregated(x) for x in e.args):
                     raise SemanticFault("aggregates cannot be nested")
                 found.setdefault(repr(e), (fresh("a"), e))
@@ -1362,6 +1374,11 @@ class Planner:
         zero = F.lit(0).cast("long")
         if f.star:
             return F.count(F.lit(1)), T.LongType(), zero
+        if f.name.startswith("agg."):
+            if f.name not in self.graph.aggregates:
+                raise SemanticFault(f"unknown aggregate {f.name}()")
+            c = self.graph.aggregates[f.name](*(self.arg(x, env) for x in f.args))
+            return c, self.base(State(env.df)).agg(c.alias("x")).schema["x"].dataType, None
         first = f.args[0]
         if isinstance(first, A.Var) and isinstance(env.scope.get(first.name), (Node, Rel)):
             b = env.scope[first.name]
@@ -1798,7 +1815,7 @@ class Planner:
     _patterncomp = _sub
 
     def _func(self, e: A.Func, env: Env) -> Arg:
-        if e.name in AGGREGATES:
+        if is_aggregate(e):
             raise SemanticFault(f"{e.name}() is not allowed here")
         got = self.entity_function(e, env)
         if got is not None:

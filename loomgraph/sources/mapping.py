@@ -22,6 +22,8 @@ class NodeMapping:
     #: SQL text over the registered tables that stands for `table`, and a filter on its rows.
     query: str | None = None
     where: str | None = None
+    #: rows of a list: {"column" or "expr", "as", optionally "ordinality" and "outer"}, one row an item
+    collection: dict[str, Any] | None = None
     #: what tells this table's nodes from all others and names it in edges; the label where not given
     name: str | None = None
 
@@ -55,6 +57,8 @@ class EdgeMapping:
     id: tuple[str, ...] = ()
     query: str | None = None
     where: str | None = None
+    #: as in NodeMapping: one relationship for each item of a list
+    collection: dict[str, Any] | None = None
     #: every end is known to be a row of its node table, so a join to it may be left out
     enforced: bool = False
 
@@ -95,6 +99,36 @@ class Mapping:
                 return n
         raise SemanticFault(f"no node mapping for label {label!r}")
 
+    def without(self, type_: str) -> Mapping:
+        """This mapping less every relationship of a type; refused while another one is made from it."""
+        rest = tuple(c for c in self.computed if c.type != type_)
+        users = sorted(c.type for c in rest if c.kind == "cypher" and type_ in types_of(c.options["query"]))
+        if users:
+            raise SemanticFault(f"{type_!r} is used by {users}")
+        left = Mapping(self.nodes, tuple(e for e in self.edges if e.type != type_), rest)
+        if len(left.edges) + len(left.computed) == len(self.edges) + len(self.computed):
+            raise SemanticFault(f"no relationship {type_!r}")
+        return left
+
+    def _acyclic(self) -> None:
+        """Relationships made from Cypher may use each other, but not in a circle."""
+        uses = {}
+        for c in self.computed:
+            if c.kind == "cypher":
+                uses.setdefault(c.type, set()).update(types_of(c.options["query"]))
+        done: set[str] = set()
+
+        def visit(t: str, above: tuple[str, ...]) -> None:
+            if t in above:
+                raise SemanticFault(f"relationships depend on each other: {' -> '.join((*above, t))}")
+            if t not in done:
+                for u in sorted(uses.get(t, ())):
+                    visit(u, (*above, t))
+                done.add(t)
+
+        for t in sorted(uses):
+            visit(t, ())
+
     def check(self) -> Mapping:
         seen = set()
         for n in self.nodes:
@@ -105,9 +139,34 @@ class Mapping:
             seen.add(n.tag)
         for e in (*self.edges, *self.computed):
             self.node(e.source), self.node(e.target)
+        for m in (*self.nodes, *self.edges):
+            c = m.collection
+            if c is not None and (set(c) - {"column", "expr", "as", "ordinality", "outer"} or "as" not in c or ("column" in c) == ("expr" in c)):
+                raise SemanticFault(f"a collection of {m.table!r} needs column or expr, and as; ordinality and outer may follow")
+        self._acyclic()
         return self
 
 
+def types_of(query: str) -> set[str]:
+    """The relationship types that a query's patterns name."""
+    from ..plans import ast, parser
+
+    found: set[str] = set()
+
+    def visit(e: Any) -> None:
+        if isinstance(e, ast.RelPat):
+            found.update(e.types)
+        if isinstance(e, (tuple, list)):
+            for x in e:
+                visit(x)
+        elif hasattr(e, "__dataclass_fields__"):
+            for f in e.__dataclass_fields__:
+                visit(getattr(e, f))
+
+    visit(parser.parse(query))
+    return found
+
+
 def _tuple(value: Any) -> tuple[str, ...]:
     return (value,) if isinstance(value, str) else tuple(value or ())
 

@@ -7,13 +7,19 @@ with the same data too, the same version with other data is an error.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CypherError, SemanticFault
+from ..errors import CypherError, PolicyFault, SemanticFault, UnsupportedFault
+from ..plans import ast as A
+from ..plans import parser
+from ..plans.planner import Planner, aggregated
 
 SCHEMA = "partition int, offset long, `table` string, key string, version long, data string"
 
@@ -122,3 +128,138 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     """One row per user and burst of events no more than `gap` apart."""
     out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
+
+
+# --- what may enter and leave a log ---------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One table of a log: its payload, the permissions it needs, and for an edge where its ends are.
+
+    `edge` is (source table, source field, target table, target field); the fields hold keys.
+    """
+
+    schema: T.StructType
+    required: tuple[str, ...] = ()
+    read: str | None = None
+    write: str | None = None
+    edge: tuple[str, str, str, str] | None = None
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What one snapshot may read, and how long it may take."""
+
+    entities: int = 1_000_000
+    records: int = 10_000_000
+    seconds: float = 60.0
+
+
+def validated(records: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """`records`, refused as a whole where a table is unknown, data are malformed or a required field is missing."""
+    wrong = ~F.col("table").isin(*rules)
+    for name, rule in rules.items():
+        fields = T.StructType([*rule.schema.fields, T.StructField("_bad", T.StringType())])
+        got = F.from_json("data", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        bad = got["_bad"].isNotNull()
+        for f in rule.required:
+            bad = bad | got[f].isNull()
+        wrong = wrong | ((F.col("table") == name) & F.col("data").isNotNull() & bad)
+    first = records.where(wrong).orderBy("partition", "offset").select("partition", "offset", "table").limit(1).collect()
+    if first:
+        raise SemanticFault(f"record {first[0]['offset']} of partition {first[0]['partition']} is no valid {first[0]['table']!r}")
+    return records
+
+
+def authorized(records: DataFrame, rules: dict[str, Rule], may: Callable[[str], Any], write: bool = True) -> DataFrame:
+    """`records`, refused as a whole unless every permission they need is granted; any error denies."""
+    for name in sorted(r["table"] for r in records.select("table").distinct().collect()):  # at most one row a table
+        need = None if name not in rules else rules[name].write if write else rules[name].read
+        try:
+            granted = name in rules and (need is None or may(need) is True)
+        except Exception as e:
+            raise PolicyFault(f"{need} could not be decided") from e
+        if not granted:
+            raise PolicyFault(f"{'writing' if write else 'reading'} {name} is denied")
+    return records
+
+
+def visible(state: DataFrame, rules: dict[str, Rule]) -> DataFrame:
+    """The live records of `state`; an edge only where both its ends are live."""
+    live = state.where("data IS NOT NULL")
+    for name, rule in rules.items():
+        if rule.edge is None:
+            continue
+        got = F.from_json("data", rule.schema)
+        edges, rest = live.where(F.col("table") == name), live.where(F.col("table") != name)
+        for table, field in (rule.edge[:2], rule.edge[2:]):
+            ends = live.where(F.col("table") == table).select(F.col("key").alias("_end"))
+            edges = edges.join(ends, got[field].cast("string") == F.col("_end"), "left_semi")
+        live = rest.unionByName(edges)
+    return live
+
+
+def limited(log: DataFrame, start: dict[int, int], end: dict[int, int], limits: Limits = Limits(), base: DataFrame | None = None) -> DataFrame:
+    """A snapshot that is refused beyond its limits: records are counted before they are read."""
+    began = time.monotonic()
+    records = sum(end[p] - start[p] for p in start)
+    if records > limits.records:
+        raise SemanticFault(f"{records} records, {limits.records} allowed")
+    out = snapshot(log, start, end, base)
+    entities = out.count()
+    if entities > limits.entities:
+        raise SemanticFault(f"{entities} entities, {limits.entities} allowed")
+    if time.monotonic() - began > limits.seconds:
+        raise SemanticFault(f"the snapshot took more than {limits.seconds} s")
+    return out
+
+
+def frames(df: DataFrame, size: int = 4096) -> Iterator[list[Row]]:
+    """The rows in frames of at most `size`, one partition at a time on the driver; an empty frame, the heartbeat, ends them."""
+    held: list[Row] = []
+    for row in df.toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+    yield []
+
+
+def subscribe_query(graph: Any, text: str, stream: DataFrame, table: str, schema: T.StructType, sink: Callable[[DataFrame, int], None], checkpoint: str, state_path: str, **params: Any):
+    """A continuous Cypher query over one label: MATCH (n:Label) [WHERE ...] RETURN ... without aggregation.
+
+    The label's table is `table` of the log, its key the records' key (as the table's key column).
+    Frames are those of `subscribe`, with the columns that the query returns.
+    """
+    parts = parser.parse(text).parts
+    clauses = parts[0].clauses
+    fits = len(parts) == 1 and len(clauses) == 2 and isinstance(clauses[0], A.Match) and not clauses[0].optional and isinstance(clauses[1], A.Return)
+    fits = fits and len(clauses[0].parts) == 1 and len(clauses[0].parts[0].items) == 1
+    body = clauses[1].body if fits else None
+    if not fits or body.distinct or body.star or body.order or body.skip is not None or body.limit is not None or any(aggregated(i.expr) for i in body.items):
+        raise UnsupportedFault("a subscription is one MATCH of one node, a filter and a projection")
+    node = clauses[0].parts[0].items[0]
+    (mapping,) = [m for m in graph.nodes if m.table == table]
+    name = node.var or " subject"
+    key = A.Item(A.Func("id", (A.Var(name),)), "_subject")
+    named = A.Match((A.Part(None, (A.NodePat(name, node.labels, node.props),)),), clauses[0].where, False)
+    query = A.Query((A.Single((named, A.Return(A.Projection((*body.items, key), False, False, (), None, None)))),), ())
+
+    def answer(rows: DataFrame) -> DataFrame:
+        """The query's rows over some rows of the table."""
+        g = type(graph)(graph.spark, graph.mapping, {**graph.tables, table: rows}, graph.policy)
+        g.functions = graph.functions
+        return Planner(g, params).run(query)
+
+    columns = [i.name for i in body.items]
+
+    def frame(df: DataFrame, number: int) -> None:
+        rows = df.where("NOT deleted").select(F.col("key").cast(schema[mapping.key[0]].dataType).alias(mapping.key[0]), *(c for c in schema.fieldNames() if c != mapping.key[0]))
+        found = answer(rows).withColumn("_subject", F.col("_subject").cast("string"))
+        out = df.select("key", "version").join(found, F.col("key") == F.col("_subject"), "left")
+        sink(out.select("key", "version", F.col("_subject").isNull().alias("deleted"), *(F.col(f"`{c}`") for c in columns)), number)
+
+    return subscribe(stream, table, schema, "true", schema.fieldNames(), frame, checkpoint, state_path)
