@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import threading
 from typing import Any
 
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from .errors import ConstraintFault, SemanticFault
 from .graph import Graph
-from .sources.mapping import ComputedMapping, EdgeMapping, Mapping, NodeMapping
+from .sources.mapping import ComputedMapping, EdgeMapping, Mapping, NodeMapping, from_dict, to_dict
 
 
 @dataclasses.dataclass(frozen=True)
@@ -47,6 +48,20 @@ class Catalog:
             raise SemanticFault("a node, edge or computed mapping is needed")
         return self._change(seen, lambda m: dataclasses.replace(m, **{section: (*getattr(m, section), what)}))
 
+    def save(self, path: str) -> None:
+        """Write the current snapshot as one JSON line below `path`, a folder that any store of Spark's may hold."""
+        now = self._now
+        line = json.dumps({"revision": now.revision, "mapping": to_dict(now.mapping)})
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, tables: dict[str, Any] | None = None, **graph_options: Any) -> Catalog:
+        """The catalog that `save` wrote, at its revision."""
+        doc = json.loads(spark.read.text(path).first()["value"])
+        out = cls(spark, from_dict(doc["mapping"]), tables, **graph_options)
+        out._now = Snapshot(doc["revision"], out._now.mapping)
+        return out
+
     def remove(self, type_: str, seen: int) -> Snapshot:
         """Remove all relationships of a type, unless another one is made from it."""
         return self._change(seen, lambda m: m.without(type_))

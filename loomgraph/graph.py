@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import ArgumentFault, SemanticFault
+from .functions import registry
 from .operators import computed
 from .plans import parser
 from .plans.planner import Planner
@@ -109,6 +110,10 @@ class Graph:
             "db.relationshiptypes": ("relationshipType", sorted({e.type for e in self.edges})),
             "db.propertykeys": ("propertyKey", sorted({p for m in (*self.nodes, *self.mapping.edges) for p in m.properties})),
         }
+        if low == "db.functions":
+            known = {**dict.fromkeys(registry.FUNCTIONS, "function"), **dict.fromkeys(registry.AGGREGATES, "aggregate")}
+            known |= {**dict.fromkeys(self.functions, "function"), **dict.fromkeys(self.aggregates, "aggregate")}
+            return self.spark.createDataFrame(sorted(known.items()), "name string, kind string")
         if low not in lists:
             raise SemanticFault(f"unknown procedure {name}")
         column, values = lists[low]

@@ -285,7 +285,7 @@ class Planner:
 
     def _text_keys(self, mappings: tuple[NodeMapping, ...]) -> bool:
         kinds = {self.graph.key_kind(m, self) for m in mappings}
-        return len(kinds) > 1 and not all("Long" in k or "Integer" in k for k in kinds)
+        return len(kinds) > 1 and not kinds <= {"LongType()", "IntegerType()", "ShortType()", "ByteType()"}
 
     def _source_home(self, e: EdgeMapping) -> bool:
         return not e.collection and any(m.tag == e.source and m.table == e.table and m.key == e.source_key and not m.collection for m in self.graph.nodes)

@@ -176,6 +176,8 @@ def _build(kind: type, item: dict[str, Any]) -> Any:
     if extra := set(item) - set(known):
         raise SemanticFault(f"unknown fields {sorted(extra)} in {kind.__name__}")
     wide = {k: _tuple(v) if known[k].type == "tuple[str, ...]" else v for k, v in item.items()}
+    if kind is NodeMapping:
+        wide.setdefault("properties", {})
     return kind(**wide)
 
 
@@ -190,6 +192,16 @@ def from_dict(doc: dict[str, Any]) -> Mapping:
     ).check()
 
 
+def to_dict(mapping: Mapping) -> dict[str, Any]:
+    """The document form of a mapping: what `from_dict` reads back."""
+
+    def item(x: Any) -> dict[str, Any]:
+        got = {f.name: getattr(x, f.name) for f in fields(x)}
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in got.items() if v not in (None, (), {})}
+
+    return {s: [item(x) for x in getattr(mapping, s)] for s in ("nodes", "edges", "computed")}
+
+
 def from_json(text: str) -> Mapping:
     return from_dict(json.loads(text))
 

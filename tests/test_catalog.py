@@ -90,3 +90,60 @@ def test_readers(spark, tmp_path, data):
     for open_ in (readers.iceberg(spark, "a.b", 3), readers.delta(spark, "/x", 1), readers.kafka(spark, "h:1", "t"), readers.jdbc(spark, "jdbc:none:x", "t", "id", (0, 9), 3)):
         with pytest.raises(UnsupportedFault):
             open_()
+
+
+def test_catalog_is_saved_and_loaded(spark, boxes, tmp_path):
+    c = Catalog(spark, from_dict(DOC), boxes)
+    c.register(EdgeMapping("NEAR", "boxes", "Box", "Box", ("id",), ("size",)), 0)
+    c.save(str(tmp_path / "catalog"))
+    again = Catalog.load(spark, str(tmp_path / "catalog"), boxes)
+    assert again.snapshot() == c.snapshot() and rows(again.graph().cypher("MATCH (b:Box)-[:HOLDS]->(i) RETURN i.what")) == [("a",), ("b",), ("c",), (None,)]
+
+
+def test_functions_are_listed(spark, boxes):
+    got = dict(rows(Graph(spark, from_dict(DOC), boxes).register("mine", lambda x: x).cypher("CALL db.functions() YIELD name, kind RETURN name, kind")))
+    assert got["substring"] == "function" and got["collect"] == "aggregate" and got["mine"] == "function"
+
+
+ML = """<?xml version="1.0"?>
+<graphml>
+  <key id="labelV" for="node" attr.name="labelV" attr.type="string"/>
+  <key id="labelE" for="edge" attr.name="labelE" attr.type="string"/>
+  <key id="k0" for="node" attr.name="age" attr.type="int"/>
+  <key id="k1" for="edge" attr.name="weight" attr.type="double"/>
+  <graph id="G" edgedefault="directed">
+    <node id="1"><data key="labelV">cat</data><data key="k0">3</data></node>
+    <node id="2"><data key="labelV">cat</data><data key="k0">5</data></node>
+    <node id="3"><data key="labelV">toy</data></node>
+    <edge id="7" source="1" target="2"><data key="labelE">likes</data><data key="k1">0.5</data></edge>
+    <edge id="8" source="2" target="3"><data key="labelE">likes</data><data key="k1">0.25</data></edge>
+  </graph>
+</graphml>
+"""
+
+
+def test_graph_files(spark, tmp_path):
+    from loomgraph.sources import graphfiles as G
+
+    (tmp_path / "g.xml").write_text(ML)
+    nodes, edges, types = G.graphml(spark, str(tmp_path / "g.xml"))
+    g = G.mapped(nodes, edges, types)
+    asked = "MATCH (a:cat)-[r:likes]->(b) RETURN a.age AS a, label(b) AS l, r.weight AS w"
+    assert rows(g.cypher(asked)) == [(3, "cat", 0.5), (5, "toy", 0.25)]
+    G.write_graphson(nodes, edges, str(tmp_path / "out"))
+    again = G.mapped(*G.graphson(spark, str(tmp_path / "out")), types)
+    assert rows(again.cypher(asked)) == rows(g.cypher(asked))
+    typed = '{"id":{"@type":"g:Int32","@value":1},"label":"p","outE":{"knows":[{"id":{"@type":"g:Int32","@value":9},"inV":{"@type":"g:Int32","@value":2},"properties":{"w":{"@type":"g:Double","@value":1.5}}}]},"properties":{"name":[{"id":{"@type":"g:Int64","@value":0},"value":"ann"}]}}\n{"id":{"@type":"g:Int32","@value":2},"label":"p","properties":{"name":[{"value":"bob"}]}}\n'
+    (tmp_path / "t.json").write_text(typed)
+    got = G.mapped(*G.graphson(spark, str(tmp_path / "t.json")), {("edge", "w"): "double"})
+    assert rows(got.cypher("MATCH (a)-[r:knows]->(b) RETURN a.name, r.w, b.name")) == [("ann", 1.5, "bob")]
+
+
+def test_typed_fixtures(spark):
+    from loomgraph.sources import fixtures
+
+    doc = {"t": {"columns": {"id": "int64", "at": "timestamp", "tags": "list:string"}, "rows": [[1, "2020-01-02 03:04:05", ["a"]], {"id": 2}]}}
+    df = fixtures.tables(spark, doc)["t"]
+    assert [t for _, t in df.dtypes][0] == "bigint" and [(r.id, str(r["at"]), r.tags) for r in df.orderBy("id").collect()] == [(1, "2020-01-02 03:04:05", ["a"]), (2, "None", None)]
+    with pytest.raises(SemanticFault):
+        fixtures.tables(spark, {"t": {"columns": {"id": "int64"}, "rows": [[1, 2]]}})
