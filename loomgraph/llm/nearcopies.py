@@ -52,8 +52,8 @@ BITS = 57
 SMALL, HELD, GATHERED = 8, 20_000, 100_000
 #: Texts and shingles of a block that is verified, texts that stand for a component of a large group.
 BLOCK, HASHES, SAMPLE = 256, 2_000_000, 32
-#: Rows up to which the texts to verify are named by a broadcast; beyond, the texts are shuffled.
-BROADCAST_ROWS = 500_000
+#: Rows up to which groups, and the texts to verify, are named by a broadcast; beyond, their other side is shuffled.
+BROADCAST_ROWS = 300_000
 #: Odd factors that mix a shingle's hash into further words.
 FACTORS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -387,11 +387,18 @@ def verified(rows: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     return saved(grouped.mapInArrow(run, f"u {kind}, v {kind}").distinct())
 
 
-def _blocks(rows: DataFrame, by: str | list[str]) -> DataFrame:
-    """`rows` with the number of blocks `_b` that each of its groups `by` fills."""
-    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_h"))
+def _sent(groups: DataFrame) -> DataFrame:
+    """One row a group, broadcast up to a bound: a large group's rows then stay where they are."""
+    groups = saved(groups)
+    return F.broadcast(groups) if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else groups
+
+
+def _blocks(rows: DataFrame, by: str | list[str], least: int = 1) -> DataFrame:
+    """`rows` of groups `by` of at least so many, with the number of blocks `_b` that a group fills."""
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_h")).where(F.col("_m") >= least)
     need = F.greatest(F.ceil(F.col("_m") / BLOCK), F.ceil(F.col("_h") / HASHES)).cast("int")
-    return rows.join(sums.withColumn("_b", need), by)
+    named = [by] if isinstance(by, str) else by
+    return rows.join(_sent(sums.select(*named, need.alias("_b"))), by)
 
 
 def settled(large: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -409,14 +416,14 @@ def settled(large: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
     rows = named(first)
     sizes = rows.groupBy("p", "c").agg(F.count(F.lit(1)).alias("_s"))
     some = F.pmod(F.xxhash64(F.lit("b"), "d"), F.greatest(F.lit(1), F.floor(F.col("_s") / SAMPLE))) == 0
-    stand = rows.join(sizes, ["p", "c"]).where(some | (F.col("id") == F.col("c"))).drop("_s")
+    stand = rows.join(_sent(sizes), ["p", "c"]).where(some | (F.col("id") == F.col("c"))).drop("_s")
     second = verified(deal(_blocks(stand, "p"), "c").select("id", "d", "c", "p", "g"), texts, width, least)
     links = first.unionByName(second).distinct()
     # what is outside a group's largest component meets every block of the group
     rows = named(links)
     sizes = rows.groupBy("p", "c").agg(F.count(F.lit(1)).alias("_s"))
     most = sizes.groupBy("p").agg(F.max(F.struct("_s", "c")).alias("_w")).select("p", F.col("_w.c").alias("_w"))
-    sided = rows.join(most, "p").withColumn("_out", F.col("c") != F.col("_w")).drop("_w")
+    sided = rows.join(_sent(most), "p").withColumn("_out", F.col("c") != F.col("_w")).drop("_w")
     sided = saved(deal(_blocks(sided, ["p", "_out"]), "e").select("id", "d", "c", "p", "_out", "_b", "g"))
     if sided.where("_out").isEmpty():
         return links
@@ -429,7 +436,7 @@ def settled(large: DataFrame, texts: DataFrame, width: int, least: float) -> Dat
         F.transform(every("_i"), lambda t: F.concat_ws("/", F.lit("x"), F.col("g"), t)),
         F.transform(every("_o"), lambda t: F.concat_ws("/", F.lit("o"), F.least(t, F.col("g")), F.greatest(t, F.col("g")))),
     )
-    met = sided.join(counts, "p").withColumn("g", F.explode(F.when(F.col("_out"), outer).otherwise(inner)))
+    met = sided.join(_sent(counts), "p").withColumn("g", F.explode(F.when(F.col("_out"), outer).otherwise(inner)))
     return links.unionByName(verified(met.select("id", "d", "c", "p", "g"), texts, width, least)).distinct()
 
 
@@ -440,7 +447,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     member = components(linked(firsts)).distinct()
     near = firsts.select("id", "d", "n", "r").join(member, F.col("r") == F.col("fp"), "left")
     near = near.select("id", "d", "n", F.coalesce("root", "r").alias("p"))
-    sized = saved(_blocks(near, "p").where("_m > 1").drop("_m", "_h"))
+    sized = saved(_blocks(near, "p", 2))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     small = sized.where("_b = 1").select("id", "d", F.col("id").alias("c"), "p", F.lit(0).alias("g"))
     links = verified(small, texts, width, least)
