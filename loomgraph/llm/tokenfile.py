@@ -29,7 +29,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +45,8 @@ BLOCK_IDS, STEP, LIMIT, RANGE_ROWS = 1 << 15, 128, 16, 4096
 #: Most key ranges; a task sorts its range with spilling and packs it as a stream, so ranges may be large.
 MAX_RANGES = 16_384
 MAGIC = b"LGH1"
-#: Cache entries of a worker, per cache.
-CACHE = 450_000
+#: Entries of a worker's caches of parts and of words, and as many older ones.
+CACHE = 200_000
 LOWEST = np.iinfo(np.int64).min
 
 
@@ -153,18 +153,30 @@ def unpack_blocks(blocks: list[bytes], table: np.ndarray) -> list[tuple[np.ndarr
 # --- tokenising -----------------------------------------------------------------------------
 
 
+def _narrow(text: str) -> bool:
+    """Whether a text is Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Words:
     """Ids of texts by a tokenizers file, looked up word by word.
 
     Added tokens are cut out of a text first, as the library does. The normaliser works character by
     character and the splitting never joins over white space, so the rest may be cut at blanks, tabs
-    and line breaks. Words of Latin-1 characters are lowered, split
-    and byte-mapped here, as the file says, and their parts go to its merge model; others go to the
-    library whole.
+    and line breaks. Latin-1 text is lowered, split and byte-mapped here, as the file says, and its
+    parts go to the file's merge model; a text beyond Latin-1 is cut into words, and those beyond it go
+    to the library whole.
     """
 
-    #: Contractions, letters, single numerals, other signs: the file's split over lower-case Latin-1.
-    SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\t-\r \u0085\u00a0a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+    #: Letters, single numerals, contractions, other signs: the file's split over lower-case Latin-1.
+    SPLIT = re.compile(
+        "[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|'s|'t|'re|'ve|'m|'ll|'d|"
+        "[^\t-\r \u0085\u00a0a-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u00b2\u00b3\u00b9\u00bc-\u00be]+"
+    )
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -181,38 +193,40 @@ class Words:
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.size = self.lib.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        outer = self
-
         class Cache(dict):
-            def __missing__(self, word: str) -> bytes:
-                if not word:
-                    ids = b""
-                elif word.isascii() or max(word) <= "\u00ff":
-                    ids = b"".join([outer.part(p) for p in outer.SPLIT.findall(word.lower())])
-                else:
-                    ids = outer.direct(word)
-                if len(word) <= 40:
+            """What `make` gives for each key. When it is full, its entries become the older half; those met again come back."""
+
+            def __init__(self, make: Callable[[str], bytes]):
+                super().__init__()
+                self.make, self.older = make, {}
+
+            def __missing__(self, key: str) -> bytes:
+                ids = self.older.get(key)
+                if ids is None:
+                    ids = self.make(key)
+                if len(key) <= 40:
                     if len(self) >= CACHE:
+                        self.older = dict(self)
                         self.clear()
-                    self[word] = ids
+                    self[key] = ids
                 return ids
 
-        self.words = Cache()
-        self.parts: dict[str, bytes] = {}
+        self.parts, self.words = Cache(self.merged), Cache(self.word)
 
     def direct(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            mapped = part.encode().decode("latin-1").translate(self.letters)
-            ids = array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.merge(mapped)]).tobytes()
-            if len(part) <= 40:
-                if len(self.parts) >= CACHE:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
+    def merged(self, part: str) -> bytes:
+        """Ids of one lower-case Latin-1 part."""
+        mapped = part.encode().decode("latin-1").translate(self.letters)
+        return array("H" if self.kind.itemsize == 2 else "I", [t.id for t in self.merge(mapped)]).tobytes()
+
+    def latin(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.SPLIT.findall(text.lower())))
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word of a text that goes beyond Latin-1."""
+        return self.latin(word) if _narrow(word) else self.direct(word)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
@@ -224,9 +238,10 @@ class Words:
         return b"".join(np.array([self.added[p]], self.kind).tobytes() if i % 2 else self.ordinary(p) for i, p in enumerate(parts))
 
     def ordinary(self, text: str) -> bytes:
-        words = self.words
+        if _narrow(text):
+            return self.latin(text)
         cut = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join([words[w] for w in cut])
+        return b"".join(map(self.words.__getitem__, cut))
 
 
 _tokenisers: dict[str, Words] = {}
@@ -273,7 +288,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "d
         words = _words(tokenizer)
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
-            ids = pa.array([words.encode(t.as_py() or "") + end for t in batch.column(1)], pa.binary())
+            ids = pa.array([words.encode(t or "") + end for t in batch.column(1).to_pylist()], pa.binary())
             keys = pc.fill_null(batch.column(0), LOWEST).to_numpy()
             low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
             # a key that fills several ranges is dealt by its ids: the same on any recomputation
