@@ -56,6 +56,8 @@ class Rel:
     types: tuple[str, ...]
     props: dict[str, tuple[str, T.DataType]] = field(default_factory=dict)
     ends: tuple[str, str] | None = None  # label columns of source and target
+    #: type, table, source and target label of the relationships it may be; None: not known
+    homes: set[tuple[str, str, str, str]] | None = None
 
     def columns(self) -> list[str]:
         return [self.type, self.id, self.source, self.target, *(self.ends or ()), *(c for c, _ in self.props.values())]

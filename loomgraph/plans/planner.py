@@ -7,6 +7,7 @@ them to the outer row. Catalyst does the rest.
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 from dataclasses import dataclass, field
 from typing import Any
@@ -20,9 +21,10 @@ from ..functions import registry, temporal
 from ..functions import values as V
 from ..functions.registry import AGGREGATES
 from ..functions.values import Arg
-from ..sources.mapping import EdgeMapping, NodeMapping
+from ..sources.mapping import ComputedMapping, EdgeMapping, NodeMapping
 from ..sources.types import fraction, is_duration, kind, numeric, whole
 from . import ast as A
+from . import parser
 from .bindings import Binding, Node, Path, Rel, RelList, Value, col
 
 #: Functions whose result holds no element, whatever they are given.
@@ -48,6 +50,32 @@ class State:
     outer: DataFrame | None = None
 
 
+@dataclass
+class Tally:
+    """A run of MATCHes whose rows are only counted by the projection that follows.
+
+    Before a hop, rows that agree in all that is still read become one row with a weight, so no
+    plan makes the pairs (or longer combinations) that a count sums up.
+    """
+
+    run: list[A.Match]
+    #: variables that the projection reads
+    reads: set[str]
+    #: the column that says how many rows a row stands for; None while each is one
+    weight: str | None = None
+    #: names of which no two rows have the same node
+    unique: set[str] = field(default_factory=set)
+    #: conditions that were applied before the rest of their WHERE
+    done: set[str] = field(default_factory=set)
+    #: nodes whose keys may not be null
+    solid: set[str] = field(default_factory=set)
+
+    def later(self, m: A.Match) -> set[str]:
+        """Variables read after this MATCH."""
+        rest = self.run[next(i for i, x in enumerate(self.run) if x is m) + 1 :]
+        return self.reads.union(*(variables(i) for x in rest for p in x.parts for i in p.items), *(variables(x.where) for x in rest if x.where is not None))
+
+
 @dataclass
 class Env:
     """Where an expression is compiled: scope, lambda variables and replaced subtrees."""
@@ -115,6 +143,24 @@ def is_aggregate(e: Any) -> bool:
     return isinstance(e, A.Func) and (e.name in AGGREGATES or e.name.startswith("agg."))
 
 
+#: Aggregates that can be worked out from weighted rows.
+COUNTED = frozenset(("count", "min", "max"))
+
+
+def renamed(e: Any, names: dict[str, str]) -> Any:
+    """A pattern or expression with other variable names."""
+    if isinstance(e, tuple):
+        return tuple(renamed(x, names) for x in e)
+    if isinstance(e, A.Var):
+        return A.Var(names.get(e.name, e.name))
+    if not dataclasses.is_dataclass(e):
+        return e
+    if isinstance(e, (A.NodePat, A.RelPat)):
+        e = dataclasses.replace(e, var=names.get(e.var, e.var))
+        return dataclasses.replace(e, props=renamed(e.props, names))
+    return dataclasses.replace(e, **{f: renamed(getattr(e, f), names) for f in e.__dataclass_fields__})
+
+
 def aggregated(e: Any) -> bool:
     if is_aggregate(e):
         return True
@@ -129,6 +175,8 @@ class Planner:
         self.keys: set[str] = set()
         self.whole = False
         self.fields: dict[str, T.DataType] = {}
+        #: of the last hop: "one" if each row met one far node at most, "many" if each far node met one row at most
+        self.fan: str | None = None
 
     # === queries ===========================================================================
 
@@ -156,14 +204,18 @@ class Planner:
 
     def single(self, s: A.Single, start: State) -> State:
         state = State(start.df, dict(start.scope), list(start.order), list(start.corr), start.outer)
+        tally: Tally | None = None
         for i, c in enumerate(s.clauses):
             last = i == len(s.clauses) - 1
             if isinstance(c, A.Match):
-                state = self.match(c, state)
+                if i == 0 or not isinstance(s.clauses[i - 1], A.Match):
+                    first, tally = i, self.tallying(s.clauses[i:], state)
+                state = self.match(tally.run[i - first] if tally else c, state, tally)
             elif isinstance(c, A.Unwind):
                 state = self.unwind(c, state)
             elif isinstance(c, (A.With, A.Return)):
-                state = self.project(c.body, state, isinstance(c, A.Return))
+                state = self.project(c.body, state, isinstance(c, A.Return), tally.weight if tally else None)
+                tally = None
             elif isinstance(c, A.CallSub):
                 state = self.call_sub(c, state)
             elif isinstance(c, A.CallProc):
@@ -303,7 +355,7 @@ class Planner:
     def edge_scan(self, rel: A.RelPat, sources: set[str] | None, targets: set[str] | None, text: tuple[bool, bool]) -> tuple[DataFrame, Rel] | None:
         """All relationships of the wanted types from `sources` to `targets` labels."""
         stem = fresh("r")
-        r = Rel(f"{stem}_t", f"{stem}_i", f"{stem}_a", f"{stem}_b", rel.types, {}, (f"{stem}_al", f"{stem}_bl"))
+        r = Rel(f"{stem}_t", f"{stem}_i", f"{stem}_a", f"{stem}_b", rel.types, {}, (f"{stem}_al", f"{stem}_bl"), set())
         frames, types = [], {}
         for e in self.graph.edges:
             if rel.types and e.type not in rel.types:
@@ -316,6 +368,7 @@ class Planner:
             for p, c in props.items():
                 cols.append(c.alias(f"{stem}_p_{p}"))
                 types[p] = None
+            r.homes.add(self.home_of(e))
             frames.append(df.select(*cols).where(col(r.source).isNotNull() & col(r.target).isNotNull()))
         if not frames:
             return None
@@ -338,31 +391,147 @@ class Planner:
 
     # === MATCH =============================================================================
 
-    def match(self, m: A.Match, state: State) -> State:
+    def match(self, m: A.Match, state: State, tally: Tally | None = None) -> State:
         if not m.optional:
-            return self.filtered(self.pattern(m.parts, state, m.where), m.where)
+            state = self.pattern(m.parts, state, m.where, m, tally)
+            return self.filtered(state, m.where, tally.done if tally else set())
         return self.optional(m, state)
 
-    def filtered(self, state: State, where: A.Expr | None) -> State:
+    def filtered(self, state: State, where: A.Expr | None, done: set[str] = frozenset()) -> State:
         for c in conjuncts(where):
-            state = self.condition(c, state)
+            if repr(c) not in done:
+                state = self.condition(c, state)
         return state
 
-    def condition(self, c: A.Expr, state: State) -> State:
-        negated = isinstance(c, A.Un) and c.op == "NOT" and isinstance(c.arg, A.Sub) and c.arg.kind == "exists"
-        sub = c.arg if negated else c
-        if isinstance(sub, A.Sub) and sub.kind == "exists" and sub.query is None and state.df is not None:
-            linked = self.linked(sub.parts, sub.where, state)
-            if linked is not None:
-                inner, on = linked
-                return State(state.df.join(inner.df, on, "left_anti" if negated else "left_semi"), state.scope, state.order, state.corr, state.outer)
-        state, env = self.prepared(state, [c])
-        arg = self.arg(c, env)
-        if kind(arg.type) not in ("boolean", "null"):
-            raise TypeFault("WHERE needs a boolean")
-        return State(self.base(state).where(arg.col.cast("boolean")), state.scope, state.order, state.corr, state.outer)
-
-    def pattern(self, parts: tuple[A.Part, ...], state: State, where: A.Expr | None = None) -> State:
+    # --- patterns that are only counted ----------------------------------------------------
+
+    def tallying(self, clauses: tuple[Any, ...], state: State) -> Tally | None:
+        """For MATCHes followed by a projection that counts: how their rows may be put together."""
+        run = list(itertools.takewhile(lambda c: isinstance(c, A.Match), clauses))
+        after = clauses[len(run)] if len(run) < len(clauses) else None
+        if not isinstance(after, (A.With, A.Return)) or after.body.star or state.corr or any(m.optional for m in run):
+            return None
+        exprs = [*(i.expr for i in after.body.items), *(o.expr for o in after.body.order)]
+        every = [x for e in exprs for x in self._all(e)]
+        if not any(aggregated(e) for e in exprs) or any(isinstance(x, (A.Sub, A.PatternComp)) or (is_aggregate(x) and x.name not in COUNTED) for x in every):
+            return None
+        parts = [p for m in run for p in m.parts]
+        if any(p.path or p.selector or any(isinstance(i, A.RelPat) and (i.variable or i.mode) for i in p.items) for p in parts):
+            return None
+        tally = Tally([], set().union(*(variables(e) for e in exprs), set()))
+        tally.run = [self.inlined(m, tally) for m in run]
+        return tally
+
+    def inlined(self, m: A.Match, tally: Tally) -> A.Match:
+        """One relationship that a plain Cypher pattern makes is replaced by that pattern."""
+        rels = [i for p in m.parts for i in p.items if isinstance(i, A.RelPat)]
+        for k, p in enumerate(m.parts):
+            for i in range(1, len(p.items), 2):
+                got = self._inline(p.items[i], p.items[i - 1], p.items[i + 1], rels)
+                if got is not None:
+                    chain, where = got
+                    tally.solid |= {chain[0].var, chain[-1].var}
+                    self._demand((chain, where))
+                    new = A.Part(None, (*p.items[: i - 1], *chain, *p.items[i + 2 :]))
+                    both = where if m.where is None else m.where if where is None else A.Bin("AND", m.where, where)
+                    return A.Match((*m.parts[:k], new, *m.parts[k + 1 :]), both, False)
+        return m
+
+    def _inline(self, rel: A.RelPat, left: A.NodePat, right: A.NodePat, rels: list[A.RelPat]) -> tuple[tuple[Any, ...], A.Expr | None] | None:
+        """The pattern behind a relationship, from `left` to `right`; None where it is more than one chain of
+        nodes, keeps other rows than its pattern, or its relationships could meet others of the same MATCH."""
+        fits = [e for e in self.graph.edges if e.type in rel.types]
+        e = fits[0] if len(fits) == 1 else None
+        if not isinstance(e, ComputedMapping) or e.kind != "cypher" or e.options.get("parameters") or rel.var or rel.props or rel.direction == "both":
+            return None
+        q = parser.parse(e.options["query"])
+        if len(q.parts) != 1 or len(q.parts[0].clauses) != 2:
+            return None
+        inner, ret = q.parts[0].clauses
+        if not isinstance(inner, A.Match) or inner.optional or len(inner.parts) != 1 or not isinstance(ret, A.Return):
+            return None
+        b, chain = ret.body, inner.parts[0]
+        if b.distinct or b.star or b.order or b.skip is not None or b.limit is not None or any(aggregated(i.expr) for i in b.items):
+            return None
+        hops = chain.items[1::2]
+        if chain.path or chain.selector or any(r.variable or r.mode for r in hops):
+            return None
+        if any(isinstance(x, (A.Sub, A.PatternComp, A.ListComp, A.Quant, A.Reduce, A.Lambda)) for x in self._all((chain.items, inner.where))):
+            return None
+        names = [i.var for i in chain.items if i.var]
+        ends = {i.name: i.expr for i in b.items}
+        tips = {}
+        for side, tag in (("source", e.source), ("target", e.target)):
+            x, home = ends.get(side), self.graph.mapping.node(tag)
+            if not isinstance(x, A.Prop) or not isinstance(x.owner, A.Var) or len(home.key) != 1 or home.properties.get(x.key) != home.key[0]:
+                return None
+            at = [i for i in (chain.items[0], chain.items[-1]) if i.var == x.owner.name]
+            if len(at) != 1 or self.candidates(at[0].labels) != (home,):
+                return None
+            tips[side] = at[0]
+        if len(set(names)) != len(names) or tips["source"] is tips["target"]:
+            return None
+        others = [r for r in rels if r is not rel]
+        if any(not r.types or e.type in r.types or any(not h.types or set(h.types) & set(r.types) for h in hops) for r in others):
+            return None
+        # a relationship of another computed type may hide one of these
+        if any(isinstance(x, ComputedMapping) and x.kind == "cypher" for r in others for x in self.graph.edges if x.type in r.types):
+            return None
+        if self.graph.policy is not None:
+            self.graph.policy.may_query(e.options["query"])
+        near, far = ("source", "target") if rel.direction == "out" else ("target", "source")
+        swap = {n: fresh(n) for n in names} | {tips[near].var: left.var or fresh("in"), tips[far].var: right.var or fresh("in")}
+        items = list(renamed(chain.items, swap))
+        if chain.items[0] is not tips[near]:
+            items = [dataclasses.replace(i, direction={"out": "in", "in": "out"}.get(i.direction, i.direction)) if isinstance(i, A.RelPat) else i for i in reversed(items)]
+        for k, outer, tag in ((0, left, e.source if near == "source" else e.target), (-1, right, e.target if far == "target" else e.source)):
+            labels = ("tag", tag) if outer.labels is None else ("and", (outer.labels, ("tag", tag)))
+            items[k] = A.NodePat(items[k].var, labels, (*outer.props, *items[k].props))
+        return tuple(items), renamed(inner.where, swap)
+
+    def rel_homes(self, rel: A.RelPat, left: A.NodePat, right: A.NodePat, scope: dict[str, Binding]) -> set[tuple[str, str, str, str]]:
+        """What the identities of a pattern's relationships begin with."""
+        def tags(n: A.NodePat) -> set[str]:
+            b = scope.get(n.var)
+            return {m.tag for m in (b.mappings if isinstance(b, Node) else self.candidates(n.labels))}
+
+        a, b = tags(left), tags(right)
+        ways = {"out": [(a, b)], "in": [(b, a)], "both": [(a, b), (b, a)]}[rel.direction]
+        return {self.home_of(e) for e in self.graph.edges if (not rel.types or e.type in rel.types) and any(e.source in x and e.target in y for x, y in ways)}
+
+    def home_of(self, e: Any) -> tuple[str, str, str, str]:
+        return e.type, e.table if isinstance(e, EdgeMapping) else e.type, e.source, e.target
+
+    def put_together(self, tally: Tally, m: A.Match, at: str, walk: list[tuple[A.RelPat, A.NodePat, A.NodePat]], needed: set[str], df: DataFrame, scope: dict[str, Binding], rels: list, state: State):
+        """Before a hop from `at`: rows that agree in what is still needed become one."""
+        for c in conjuncts(m.where):
+            if repr(c) not in tally.done and variables(c) and variables(c) <= set(scope):
+                df = self.condition(c, State(df, scope)).df
+                tally.done.add(repr(c))
+        needed = needed.union({at}, *(variables(c) for c in conjuncts(m.where) if repr(c) not in tally.done))
+        kept = {n: b for n, b in scope.items() if n in needed}
+        if len(kept) == len(scope) or tally.unique & set(kept) or any(isinstance(b, (Path, RelList)) for b in kept.values()):
+            return df, scope
+        ahead = set().union(*(self.rel_homes(*w, scope) for w in walk), set())
+        if any(r.homes is None or r.homes & ahead for r, _ in rels):
+            return df, scope
+        everything = "*" in self.used
+        new: dict[str, Binding] = {}
+        for n, b in kept.items():
+            read = self.used.get(n, set())
+            if not isinstance(b, Value) and not everything and "*" not in read:
+                b = dataclasses.replace(b, props={p: c for p, c in b.props.items() if p in read})
+            new[n] = b
+        columns = list(dict.fromkeys(c for b in new.values() for c in b.columns()))
+        if any(isinstance(df.schema[c].dataType, (T.MapType, T.VariantType)) for c in columns):
+            return df, scope
+        name = fresh("w")
+        df = df.groupBy(*(col(c) for c in columns)).agg((F.count(F.lit(1)) if tally.weight is None else F.sum(col(tally.weight))).alias(name))
+        tally.weight, tally.unique = name, {at} if set(kept) == {at} else set()
+        rels.clear()
+        return df, new
+
+    def pattern(self, parts: tuple[A.Part, ...], state: State, where: A.Expr | None = None, m: A.Match | None = None, tally: Tally | None = None) -> State:
         """Join the parts to the state; relationships of one MATCH differ from each other."""
         scope, df = dict(state.scope), state.df
         rels: list[tuple[Rel | RelList, A.RelPat]] = []
@@ -370,12 +539,12 @@ class Planner:
             for i in part.items:
                 if i.var and i.var in state.scope and isinstance(i, A.RelPat) and i.variable:
                     raise SemanticFault(f"{i.var!r} is already bound")
-        for part in parts:
-            df, scope = self.part(part, df, scope, rels, state, where)
+        for k, part in enumerate(parts):
+            df, scope = self.part(part, df, scope, rels, state, where, tally and (tally, m, parts[k + 1 :]))
         out = State(df, scope, state.order, state.corr, state.outer)
         return out
 
-    def part(self, part: A.Part, df: DataFrame | None, scope: dict[str, Binding], rels: list, state: State, where: A.Expr | None = None):
+    def part(self, part: A.Part, df: DataFrame | None, scope: dict[str, Binding], rels: list, state: State, where: A.Expr | None = None, counted: tuple[Tally, A.Match, tuple[A.Part, ...]] | None = None):
         items = list(part.items)
         bound = [i for i in range(0, len(items), 2) if items[i].var and items[i].var in scope]
         names: list[str | None] = [i.var for i in items]
@@ -391,17 +560,45 @@ class Planner:
         for i, item in enumerate(items):
             if names[i] is None:
                 names[i] = fresh(" anon")
+        if counted and not bound:
+            start = self.best_start(items, names, counted)
+        alone = df is None
         df, scope = self.node(items[start], names[start], df, scope, state, in_path)
-        for i in range(start, len(items) - 1, 2):
-            df, scope = self.hop(items[i + 1], items[i + 2], names[i : i + 3], False, df, scope, rels, state, in_path)
-        for i in range(start, 0, -2):
-            df, scope = self.hop(items[i - 1], items[i - 2], [names[i], names[i - 1], names[i - 2]], True, df, scope, rels, state, in_path)
+        if counted and not bound:
+            counted[0].unique = {names[start]} if alone else set()
+        df = self.solid(names[start], df, scope, counted)
+        steps = [(i, i + 1, i + 2, False) for i in range(start, len(items) - 1, 2)] + [(i, i - 1, i - 2, True) for i in range(start, 0, -2)]
+        for k, (a, r, b, flipped) in enumerate(steps):
+            three = [names[a], names[r], names[b]]
+            if counted:
+                tally, m, after = counted
+                walk = [(items[y], items[min(x, z)], items[max(x, z)]) for x, y, z, _ in steps[k:]]
+                walk += [(p.items[y], p.items[y - 1], p.items[y + 1]) for p in after for y in range(1, len(p.items), 2)]
+                rest = tally.later(m).union(*(variables(i) for p in after for i in p.items), *(variables(items[z].props) for s in steps[k:] for z in s[1:3]))
+                ends = {names[z] for s in steps[k:] for z in s[:3]}
+                df, scope = self.put_together(tally, m, three[0], walk, rest | ends, df, scope, rels, state)
+            self.fan = None
+            df, scope = self.hop(items[r], items[b], three, flipped, df, scope, rels, state, in_path)
+            df = self.solid(names[b], df, scope, counted)
+            if counted and self.fan != "one":
+                counted[0].unique = {names[b]} if self.fan == "many" and names[a] in counted[0].unique else set()
         if part.path:
             if part.path in scope:
                 raise SemanticFault(f"{part.path!r} is already bound")
             scope = scope | {part.path: Path(tuple(n for n in names), self.fields)}
         return df, scope
 
+    def best_start(self, items: list[Any], names: list[str], counted: tuple[Tally, A.Match, tuple[A.Part, ...]]) -> int:
+        """Which end of a counted pattern comes first: one that nothing reads, so that it is soon put together
+        with others."""
+        tally, m, after = counted
+        read = tally.later(m).union(*(variables(i) for p in after for i in p.items), *(variables(c) for c in conjuncts(m.where)))
+        first, last = names[0] in read, names[-1] in read
+        return len(items) - 1 if len(items) > 3 and first and not last else 0
+
+    def solid(self, name: str, df: DataFrame, scope: dict[str, Binding], counted: tuple[Tally, A.Match, tuple[A.Part, ...]] | None) -> DataFrame:
+        return df.where(col(scope[name].key).isNotNull()) if counted and name in counted[0].solid and name in scope else df
+
     def involved(self, rel: A.RelPat) -> tuple[NodeMapping, ...]:
         """The tables at the ends of the relationships that fit."""
         ends = {x for e in self.graph.edges if not rel.types or e.type in rel.types for x in (e.source, e.target)}
@@ -565,6 +762,7 @@ class Planner:
                 df = df.where(~((col(q.source) == col(q.target)) & (col(q.ends[0]) == col(q.ends[1]))))
             if r is None:
                 r = q
+            r.homes |= q.homes
             renamed = [col(c).alias(d) for c, d in zip(q.columns(), self._aligned(q, r), strict=True)]
             frames.append(df.select(*renamed, col(n[0]).alias(near[0]), col(n[1]).alias(near[1]), col(f[0]).alias(far[0]), col(f[1]).alias(far[1])))
         if not frames:
@@ -592,7 +790,7 @@ class Planner:
         if home is None or len(far) != 1 or not here.single:
             return None
         stem = fresh("r")
-        r = Rel(f"{stem}_t", f"{stem}_i", f"{stem}_a", f"{stem}_b", (e.type,), {})
+        r = Rel(f"{stem}_t", f"{stem}_i", f"{stem}_a", f"{stem}_b", (e.type,), {}, homes={self.home_of(e)})
         if i in here.held:  # the key is in the row already
             if not self.wanted(None if names[2].startswith(" anon") else names[2], in_path) and not target.props and e.enforced:
                 df = df.where(col(here.held[i]).isNotNull())
@@ -620,6 +818,7 @@ class Planner:
                 return None
         df = df.select("*", F.lit(e.type).alias(r.type), self.identity(e, col(ident), False).alias(r.id), col(a.key).alias(r.source), col(b.key).alias(r.target))
         r.props = extra
+        self.fan = "one" if i in here.held else "many"
         scope = scope | {names[1]: r, names[2]: node}
         df = self.distinct_rels(df, r, rel, rels)
         df = self.props_filter(r, rel.props, df, scope, state)
@@ -650,6 +849,8 @@ class Planner:
         for other, opat in rels:
             if pat.types and opat.types and not set(pat.types) & set(opat.types):
                 continue
+            if isinstance(other, Rel) and r.homes is not None and other.homes is not None and not r.homes & other.homes:
+                continue  # from different tables or between other labels
             if isinstance(other, RelList):
                 df = df.where(~F.exists(col(other.column), lambda x: (x["_type"] == col(r.type)) & (x["_id"] == col(r.id).cast("string"))))
             else:
@@ -1149,7 +1350,7 @@ class Planner:
         scope = state.scope | {c.var: Value(name, arg.type.elementType)}
         return State(df, scope, [*state.order, (pos, False)], state.corr, state.outer)
 
-    def project(self, p: A.Projection, state: State, final: bool) -> State:
+    def project(self, p: A.Projection, state: State, final: bool, weight: str | None = None) -> State:
         items = list(p.items)
         if p.star:
             if not state.scope and not items:
@@ -1162,7 +1363,7 @@ class Planner:
         has_agg = any(aggregated(i.expr) for i in items)
         state, env = self.prepared(state, [*(i.expr for i in items), *(o.expr for o in order)])
         if has_agg:
-            out, order_cols = self.aggregate(items, order, state, env)
+            out, order_cols = self.aggregate(items, order, state, env, weight)
         else:
             out, order_cols = self.select(items, order, state, env, p.distinct)
         if p.distinct:
@@ -1289,7 +1490,7 @@ class Planner:
 
     # --- aggregation -----------------------------------------------------------------------
 
-    def aggregate(self, items, order, state: State, env: Env):
+    def aggregate(self, items, order, state: State, env: Env, weight: str | None = None):
         keys = [i for i in items if not aggregated(i.expr)]
         found: dict[str, tuple[str, A.Func]] = {}
 
@@ -1326,7 +1527,7 @@ class Planner:
         aggs, types = [], {}
         self.discs: dict[str, Column] = {}
         for key, (name, f) in found.items():
-            c, t, default = self.agg_column(f, env, state)
+            c, t, default = self.agg_column(f, env, state, weight)
             aggs.append(c.alias(name))
             types[name] = (t, default)
             swap[key] = (F.coalesce(col(name), default) if default is not None else col(name), t)
@@ -1370,10 +1571,11 @@ class Planner:
                 uniq.append(c)
         return State(grouped.select(*uniq), final, order_cols, state.corr, state.outer), order_cols
 
-    def agg_column(self, f: A.Func, env: Env, state: State) -> tuple[Column, T.DataType, Column | None]:
+    def agg_column(self, f: A.Func, env: Env, state: State, weight: str | None = None) -> tuple[Column, T.DataType, Column | None]:
         zero = F.lit(0).cast("long")
+        count = lambda c: F.count(c) if weight is None else F.sum(F.when(c.isNotNull(), col(weight)))
         if f.star:
-            return F.count(F.lit(1)), T.LongType(), zero
+            return count(F.lit(1)), T.LongType(), zero
         if f.name.startswith("agg."):
             if f.name not in self.graph.aggregates:
                 raise SemanticFault(f"unknown aggregate {f.name}()")
@@ -1384,11 +1586,11 @@ class Planner:
             b = env.scope[first.name]
             if f.name == "count":
                 ident = [col(c) for c in self._identity(b)]
-                return (F.count_distinct(*ident) if f.distinct else F.count(ident[0])), T.LongType(), zero
+                return (F.count_distinct(*ident) if f.distinct else count(ident[0])), T.LongType(), zero
         a = self.arg(first, env)
         c = a.col
         if f.name == "count":
-            return (F.count_distinct(c) if f.distinct else F.count(c)), T.LongType(), zero
+            return (F.count_distinct(c) if f.distinct else count(c)), T.LongType(), zero
         if f.name == "count_if":
             return F.count_if(c if kind(a.type) == "boolean" else c != 0), T.LongType(), zero
         if f.name == "sum":
