@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import SemanticFault
 from ..functions import text
 from ..functions.registry import dot
-from ..sources.mapping import ComputedMapping
+from ..sources.mapping import ComputedMapping, NodeMapping
 from .asof import asof
 
 
-def pairs(graph: Any, e: ComputedMapping) -> tuple[DataFrame, dict[str, Column]]:
-    """Rows `_a`, `_b` (keys of source and target) and the properties they carry."""
+def sides(graph: Any, e: ComputedMapping) -> tuple[DataFrame, DataFrame, NodeMapping, NodeMapping]:
+    """Sources as `_a` and `a_` properties, targets as `_b` and `b_` properties, and their mappings."""
     a, b = (graph.rows(graph.mapping.node(x)) for x in (e.source, e.target))
     ma, mb = graph.mapping.node(e.source), graph.mapping.node(e.target)
     if len(ma.key) != 1 or len(mb.key) != 1:
         raise SemanticFault(f"{e.type}: computed relationships need single-column keys")
     left = a.select(*(F.col(f"`{c}`").alias(f"a_{p}") for p, c in ma.properties.items()), F.col(f"`{ma.key[0]}`").alias("_a"))
     right = b.select(*(F.col(f"`{c}`").alias(f"b_{p}") for p, c in mb.properties.items()), F.col(f"`{mb.key[0]}`").alias("_b"))
+    return left, right, ma, mb
+
+
+def pairs(graph: Any, e: ComputedMapping) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows `_a`, `_b` (keys of source and target) and the properties they carry."""
+    left, right, _, _ = sides(graph, e)
     o = e.options
     if e.kind == "predicate":
         on = F.expr(o["on"].replace("a.", "a_").replace("b.", "b_"))
@@ -49,6 +57,74 @@ def pairs(graph: Any, e: ComputedMapping) -> tuple[DataFrame, dict[str, Column]]
     raise SemanticFault(f"{e.type}: unknown kind {e.kind!r}")
 
 
+#: One comparison of a predicate relationship; those with AND between them are counted without their pairs.
+TERM = re.compile(r"\s*([ab])\.(\w+)\s*(=|<=|>=|<|>)\s*([ab])\.(\w+)\s*")
+FLIP = {"=": "=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+#: Ranges of the compared value in which a count runs, so that no task has all rows of one group.
+RANGES = 32
+
+
+def degrees(graph: Any, e: ComputedMapping, turned: bool) -> DataFrame | None:
+    """(`_k`, `_n`): keys of sources and how many targets each has, or of targets and sources if `turned`.
+
+    For predicates that are equalities and at most one inequality between properties of one type;
+    None for others. Equal rows of the far side are summed first. With an inequality both sides are
+    sorted within the equal values and the range of the compared value, and far rows are summed on
+    the way; sums of earlier ranges are added. Numbers and times are cut into ranges at quantiles.
+    """
+    left, right, ma, mb = sides(graph, e)
+    equal: list[tuple[str, str]] = []
+    bound: list[tuple[str, str, str]] = []
+    for term in re.split(r"\s+AND\s+", e.options["on"], flags=re.IGNORECASE):
+        t = TERM.fullmatch(term)
+        if t is None or t[1] == t[4]:
+            return None
+        x, op, y = (t[2], t[3], t[5]) if t[1] == "a" else (t[5], FLIP[t[3]], t[2])
+        if x not in ma.properties or y not in mb.properties or left.schema[f"a_{x}"].dataType != right.schema[f"b_{y}"].dataType:
+            return None
+        if op == "=":
+            equal.append((f"a_{x}", f"b_{y}"))
+        else:
+            bound.append((f"a_{x}", op, f"b_{y}"))
+    if len(bound) > 1:
+        return None
+    mine, theirs, key, far, i = (right, left, "_b", "_a", 1) if turned else (left, right, "_a", "_b", 0)
+    by = [f"_g{n}" for n in range(len(equal))]
+    kind = left.schema[bound[0][0]].dataType if bound else None
+    value = lambda c: F.col(f"`{c}`") + F.lit(0.0).cast(kind) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")
+
+    def rows(df: DataFrame, own: str, j: int) -> DataFrame:
+        cols = [F.col(f"`{pair[j]}`").alias(g) for g, pair in zip(by, equal, strict=True)]
+        cols += [value(bound[0][2 * j]).alias("_x")] if bound else []
+        df = df.select(F.col(own).alias("_k"), *cols)
+        return df.where(" AND ".join(f"{c} IS NOT NULL" for c in df.columns))
+
+    mine, theirs = rows(mine, key, i), rows(theirs, far, 1 - i)
+    if not bound:
+        many = theirs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        return mine.join(many, by).select("_k", "_n")
+    op = FLIP[bound[0][1]] if turned else bound[0][1]
+    many = theirs.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    # far rows that fit come before: greater ones for <, and equal ones unless the comparison is strict
+    first = 0 if "=" in op else 1
+    both = mine.select(*by, "_x", "_k", F.lit(1 - first).alias("_s"), F.lit(None).cast("long").alias("_c"))
+    both = both.unionByName(many.select(*by, "_x", F.lit(None).cast(mine.schema["_k"].dataType).alias("_k"), F.lit(first).alias("_s"), "_c"))
+    at = F.unix_micros(F.col("_x").cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col("_x")
+    if isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        at = at.cast("double")
+        cuts = theirs.agg(F.percentile_approx(at, [n / RANGES for n in range(1, RANGES)], F.lit(10 * RANGES)).alias("_cuts"))
+        both = both.crossJoin(F.broadcast(cuts)).withColumn("_r", F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c <= at))).drop("_cuts")
+    else:
+        both = both.withColumn("_r", F.lit(0))
+    way = F.desc if "<" in op else F.asc
+    w = Window.partitionBy(*by, "_r").orderBy(way("_x"), "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_m", F.sum("_c").over(w)).where(F.col("_s") == 1 - first)
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(way("_r")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    spans = both.groupBy(*by, "_r").agg(F.sum("_c").alias("_c")).select(*by, "_r", F.sum("_c").over(before).alias("_e"))
+    found = inside.join(spans, [*by, "_r"]).select("_k", (F.coalesce("_m", F.lit(0)) + F.coalesce("_e", F.lit(0))).alias("_n"))
+    return found.where(F.col("_n") > 0)
+
+
 #: Targets of a block and sources of a group: what a task holds of each side.
 BLOCK, GROUP = 4096, 1024
 

@@ -531,6 +531,45 @@ class Planner:
         rels.clear()
         return df, new
 
+    def degree(self, rel: A.RelPat, target: A.NodePat, names: list[str], flipped: bool, alone: bool, needed: set[str], df: DataFrame, scope: dict[str, Binding], tally: Tally) -> DataFrame | None:
+        """A hop over a predicate whose far node is only counted: the number of far nodes becomes a weight."""
+        from ..operators import computed
+
+        e, here = self.predicate(rel), scope[names[0]]
+        if e is None or rel.direction == "both" or rel.props or target.props or not alone or not isinstance(here, Node) or not here.single:
+            return None
+        turned = (rel.direction == "in") != flipped
+        near, far = (e.target, e.source) if turned else (e.source, e.target)
+        goal = {m.tag for m in self.candidates(target.labels)}
+        if names[2] in scope or {names[1], names[2]} & needed or here.mappings[0].tag != near or far not in goal:
+            return None
+        found = computed.degrees(self.graph, e, turned)
+        if found is None:
+            return None
+        k, n, w = fresh("k"), fresh("n"), fresh("w")
+        df = df.join(found.select(col("_k").alias(k), col("_n").alias(n)), col(here.key) == col(k))
+        df = df.withColumn(w, col(n) if tally.weight is None else col(n) * col(tally.weight))
+        tally.weight = w
+        return df
+
+    def predicate(self, rel: A.RelPat) -> ComputedMapping | None:
+        fits = [e for e in self.graph.edges if e.type in rel.types]
+        return fits[0] if len(fits) == 1 and isinstance(fits[0], ComputedMapping) and fits[0].kind == "predicate" else None
+
+    def condition(self, c: A.Expr, state: State) -> State:
+        negated = isinstance(c, A.Un) and c.op == "NOT" and isinstance(c.arg, A.Sub) and c.arg.kind == "exists"
+        sub = c.arg if negated else c
+        if isinstance(sub, A.Sub) and sub.kind == "exists" and sub.query is None and state.df is not None:
+            linked = self.linked(sub.parts, sub.where, state)
+            if linked is not None:
+                inner, on = linked
+                return State(state.df.join(inner.df, on, "left_anti" if negated else "left_semi"), state.scope, state.order, state.corr, state.outer)
+        state, env = self.prepared(state, [c])
+        arg = self.arg(c, env)
+        if kind(arg.type) not in ("boolean", "null"):
+            raise TypeFault("WHERE needs a boolean")
+        return State(self.base(state).where(arg.col.cast("boolean")), state.scope, state.order, state.corr, state.outer)
+
     def pattern(self, parts: tuple[A.Part, ...], state: State, where: A.Expr | None = None, m: A.Match | None = None, tally: Tally | None = None) -> State:
         """Join the parts to the state; relationships of one MATCH differ from each other."""
         scope, df = dict(state.scope), state.df
@@ -577,6 +616,12 @@ class Planner:
                 rest = tally.later(m).union(*(variables(i) for p in after for i in p.items), *(variables(items[z].props) for s in steps[k:] for z in s[1:3]))
                 ends = {names[z] for s in steps[k:] for z in s[:3]}
                 df, scope = self.put_together(tally, m, three[0], walk, rest | ends, df, scope, rels, state)
+                only = not any(p is not items[r] and (not p.types or set(p.types) & set(items[r].types)) for q in m.parts for p in q.items if isinstance(p, A.RelPat))
+                beyond = rest.union({names[z] for s in steps[k + 1 :] for z in s[:3]}, *(variables(c) for c in conjuncts(where)))
+                got = self.degree(items[r], items[b], three, flipped, only, beyond, df, scope, tally)
+                if got is not None:
+                    df = got
+                    continue
             self.fan = None
             df, scope = self.hop(items[r], items[b], three, flipped, df, scope, rels, state, in_path)
             df = self.solid(names[b], df, scope, counted)
@@ -590,10 +635,12 @@ class Planner:
 
     def best_start(self, items: list[Any], names: list[str], counted: tuple[Tally, A.Match, tuple[A.Part, ...]]) -> int:
         """Which end of a counted pattern comes first: one that nothing reads, so that it is soon put together
-        with others."""
+        with others; over a predicate the one that is read, as the other becomes a number."""
         tally, m, after = counted
         read = tally.later(m).union(*(variables(i) for p in after for i in p.items), *(variables(c) for c in conjuncts(m.where)))
         first, last = names[0] in read, names[-1] in read
+        if len(items) == 3 and self.predicate(items[1]) is not None:
+            return 2 if last and not first else 0
         return len(items) - 1 if len(items) > 3 and first and not last else 0
 
     def solid(self, name: str, df: DataFrame, scope: dict[str, Binding], counted: tuple[Tally, A.Match, tuple[A.Part, ...]] | None) -> DataFrame:
