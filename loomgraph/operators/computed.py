@@ -44,9 +44,10 @@ def pairs(graph: Any, e: ComputedMapping) -> tuple[DataFrame, dict[str, Column]]
         return _top_k(left, right, e.source == e.target, o), {"score": F.col("score"), "rank": F.col("rank")}
     if e.kind == "search":
         q, d = o["text"]
-        found = text.bm25(left.select(F.col("_a").alias("q"), F.col(f"a_{q}").alias("text")), right.select(F.col("_b").alias("d"), F.col(f"b_{d}").alias("text")))
+        k = int(o.get("k", 10))
+        found = text.best(left.select(F.col("_a").alias("q"), F.col(f"a_{q}").alias("text")), right.select(F.col("_b").alias("d"), F.col(f"b_{d}").alias("text")), k)
         w = Window.partitionBy("q").orderBy(F.desc("score"), "d")
-        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= o.get("k", 10))
+        ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         return ranked.select(F.col("q").alias("_a"), F.col("d").alias("_b"), "score", "rank"), {"score": F.col("score"), "rank": F.col("rank")}
     if e.kind == "cypher":
         df = graph.cypher(o["query"], **o.get("parameters", {}))
