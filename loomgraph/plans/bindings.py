@@ -84,6 +84,8 @@ class Path:
     items: tuple[str, ...]
     #: node properties that its value carries
     fields: dict[str, T.DataType] = field(default_factory=dict)
+    #: whether its relationships go without their identities
+    plain: bool = False
 
     def columns(self) -> list[str]:
         return []

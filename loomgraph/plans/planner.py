@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 import itertools
+from collections import Counter
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -177,13 +178,63 @@ class Planner:
         self.fields: dict[str, T.DataType] = {}
         #: of the last hop: "one" if each row met one far node at most, "many" if each far node met one row at most
         self.fan: str | None = None
+        #: paths of which no relationship's identity is read
+        self.plain: set[str] = set()
 
     # === queries ===========================================================================
 
     def run(self, q: A.Query) -> DataFrame:
         self._demand(q)
+        self.plain = self.plain_paths(q)
         return self.query(q, State(None)).df
 
+    def plain_paths(self, q: A.Query) -> set[str]:
+        """Paths that are read for nodes, lengths, and properties and types of relationships alone.
+
+        Where a table declares no identity, all of its columns are one: then a path that nobody compares
+        or returns should not carry it.
+        """
+        steps, named, read, fine = ("relationships", "rels", "cypher_relationships"), set(), Counter(), Counter()
+
+        def path(e: Any, functions: tuple[str, ...]) -> str | None:
+            ok = isinstance(e, A.Func) and e.name in functions and len(e.args) == 1 and isinstance(e.args[0], A.Var)
+            return e.args[0].name if ok else None
+
+        def uses(e: Any, var: str) -> bool:
+            """Whether `var` is read for properties and types only."""
+            if isinstance(e, A.Var):
+                return e.name != var
+            if isinstance(e, A.Prop) and isinstance(e.owner, A.Var):
+                return e.owner.name != var or not e.key.startswith("_")
+            if isinstance(e, A.Func) and e.name == "type" and len(e.args) == 1 and isinstance(e.args[0], A.Var):
+                return True
+            return not isinstance(e, (A.Sub, A.PatternComp)) and all(uses(c, var) for c in children(e))
+
+        def visit(e: Any) -> None:
+            if isinstance(e, A.Part) and e.path:
+                named.add(e.path)
+            if isinstance(e, A.Var):
+                read[e.name] += 1
+            p = path(e, ("nodes", "cypher_nodes", "length"))
+            if isinstance(e, A.Func) and e.name in ("size", "length", "type") and len(e.args) == 1:
+                inner = e.args[0]
+                p = p or path(inner.owner if e.name == "type" and isinstance(inner, A.Index) else inner if e.name != "type" else None, steps)
+            if isinstance(e, A.Prop) and isinstance(e.owner, A.Index) and not e.key.startswith("_"):
+                p = path(e.owner.owner, steps)
+            if isinstance(e, A.ListComp) and e.out is not None and uses(e.out, e.var) and (e.where is None or uses(e.where, e.var)):
+                p = path(e.source, steps)
+            if p is not None:
+                fine[p] += 1
+            if isinstance(e, (tuple, list)):
+                for x in e:
+                    visit(x)
+            elif hasattr(e, "__dataclass_fields__"):
+                for f in e.__dataclass_fields__:
+                    visit(getattr(e, f))
+
+        visit(q)
+        return set() if "*" in self.used else {p for p in named if read[p] == fine[p]}
+
     def query(self, q: A.Query, start: State) -> State:
         states = [self.single(s, start) for s in q.parts]
         out = states[0]
@@ -623,14 +674,16 @@ class Planner:
                     df = got
                     continue
             self.fan = None
-            df, scope = self.hop(items[r], items[b], three, flipped, df, scope, rels, state, in_path)
+            alone_said = lambda n: any(variables(c) == {n} and not any(isinstance(x, (A.Sub, A.PatternComp)) for x in self._all(c)) for c in conjuncts(where))
+            sharp = len(scope) == 1 and not items[a].props and not alone_said(three[0]) and alone_said(three[2])
+            df, scope = self.hop(items[r], items[b], three, flipped, df, scope, rels, state, in_path, where if sharp else None)
             df = self.solid(names[b], df, scope, counted)
             if counted and self.fan != "one":
                 counted[0].unique = {names[b]} if self.fan == "many" and names[a] in counted[0].unique else set()
         if part.path:
             if part.path in scope:
                 raise SemanticFault(f"{part.path!r} is already bound")
-            scope = scope | {part.path: Path(tuple(n for n in names), self.fields)}
+            scope = scope | {part.path: Path(tuple(n for n in names), self.fields, part.path in self.plain)}
         return df, scope
 
     def best_start(self, items: list[Any], names: list[str], counted: tuple[Tally, A.Match, tuple[A.Part, ...]]) -> int:
@@ -722,8 +775,11 @@ class Planner:
             out = c if out is None else (out & c if op == "and" else out | c)
         return out
 
-    def hop(self, rel: A.RelPat, target: A.NodePat, names: list[str], flipped: bool, df: DataFrame, scope: dict[str, Binding], rels: list, state: State, in_path: bool):
-        """Extend from the bound node names[0] over the relationship to names[2]."""
+    def hop(self, rel: A.RelPat, target: A.NodePat, names: list[str], flipped: bool, df: DataFrame, scope: dict[str, Binding], rels: list, state: State, in_path: bool, said: A.Expr | None = None):
+        """Extend from the bound node names[0] over the relationship to names[2].
+
+        `said` is a WHERE that bounds the far node and not the near one: the far node is then met first.
+        """
         direction = rel.direction
         if flipped and direction != "both":
             direction = "in" if direction == "out" else "out"
@@ -751,11 +807,18 @@ class Planner:
         on = self.same_node(here, near[0], near[1])
         if isinstance(known, Node):
             on = on & self.same_node(known, far[0], far[1])
+        met = None
+        if said is not None and known is None:
+            scan, met = self.node_scan(goal)
+            edf = edf.join(self.only(names[2], said, scan, {names[2]: met}, state), self.same_node(met, *far))
         df = df.join(edf, on)
         scope = scope | {names[1]: r}
         df = self.distinct_rels(df, r, rel, rels)
         df = self.props_filter(r, rel.props, df, scope, state)
-        if known is None:
+        if met is not None:
+            scope = scope | {names[2]: met}
+            df = self.props_filter(met, target.props, df, scope, state)
+        elif known is None:
             df, scope = self.arrive(names[2], target, far, goal, df, scope, state, in_path, rel)
         else:
             df = self.props_filter(known, target.props, df, scope, state)
@@ -1799,7 +1862,8 @@ class Planner:
                 # a walk of no step ends where it began
                 nodes.append(F.when(F.size(col(walk.column)) > 0, one).otherwise(F.slice(one, 1, 0)) if isinstance(walk, RelList) else one)
             elif isinstance(x, Rel):
-                one = F.array(F.struct(col(x.type).alias("_type"), *(col(c).cast("string").alias(t) for t, c in zip(text[1:], (x.id, x.source, x.target), strict=True)), self.props_struct(x.props, fields).alias("properties")))
+                ident = F.lit(None) if b.plain else col(x.id)
+                one = F.array(F.struct(col(x.type).alias("_type"), *(c.cast("string").alias(t) for t, c in zip(text[1:], (ident, col(x.source), col(x.target)), strict=True)), self.props_struct(x.props, fields).alias("properties")))
                 rels = one if rels is None else F.concat(rels, one)
             else:
                 some = self._plain_steps(x, fields)
